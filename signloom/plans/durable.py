@@ -2,27 +2,43 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_folders: dict[str, tuple[SparkSession, str]] = {}
 
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; a private one only where that setting is absent."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = tempfile.mkdtemp(prefix="signloom-checkpoint-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    context = spark.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(path)
+
+def shared_folder(spark: SparkSession) -> str:
+    """This application's folder inside ``spark.checkpoint.dir``; a private one only where that setting is absent."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        base = "file://" + tempfile.mkdtemp(prefix="signloom-")
+        spark.conf.set("spark.checkpoint.dir", base)
+    path = f"{base.rstrip('/')}/signloom-{spark.sparkContext.applicationId}"
+    if path not in _folders:
+        _folders[path] = (spark, path)
+        atexit.register(_clear, path)
     return path
 
 
+def _clear(path: str) -> None:
+    spark, _ = _folders.pop(path)
+    try:
+        jvm = spark.sparkContext._jvm
+        place = jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+    except Exception:  # the session is gone; the folder belongs to its cluster
+        pass
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared checkpoint folder, so that later steps survive lost executors."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write ``df`` to the shared folder and read it again: later steps survive lost executors and read only the columns they need."""
+    path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def table(spark: SparkSession, root: str, name: str) -> DataFrame:
