@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from signloom.llm import canonical, copies, house_form, term_counts, units
+from signloom.llm import canonical, copies, house_form, overlap, term_counts, units
 from signloom.plans.durable import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -69,3 +69,16 @@ def p7_collapsed(spark: SparkSession, root: str) -> DataFrame:
 def p6_found(spark: SparkSession, root: str) -> DataFrame:
     found = units.units(table(spark, root, "split_data"), table(spark, root, "scrape_tslcorpus_full"))
     return found.filter("id <> unit").select(F.col("unit").alias("id_a"), F.col("id").alias("id_b"))
+
+
+@query
+def p5_found(spark: SparkSession, root: str) -> DataFrame:
+    pairs = overlap.cross_split_pairs(table(spark, root, "tsl_sentences"), "id", "split", ["chinese", "gloss_text"])
+    return pairs.select(F.least("id", "other").alias("id_a"), F.greatest("id", "other").alias("id_b")).distinct()
+
+
+@query
+def p5_by_split_and_source(spark: SparkSession, root: str) -> DataFrame:
+    rows = table(spark, root, "tsl_sentences")
+    pairs = overlap.cross_split_pairs(rows, "id", "split", ["chinese", "gloss_text"])
+    return pairs.join(rows.select("id", "split", "source"), "id").groupBy("split", "source").agg(F.count(F.lit(1)).alias("pairs"), F.countDistinct("id").alias("records"))
