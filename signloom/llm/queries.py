@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from signloom.llm import canonical, copies, house_form, overlap, term_counts, units
+from signloom.llm import canonical, copies, house_form, overlap, packing, term_counts, tokens, units
 from signloom.plans.durable import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -82,3 +83,19 @@ def p5_by_split_and_source(spark: SparkSession, root: str) -> DataFrame:
     rows = table(spark, root, "tsl_sentences")
     pairs = overlap.cross_split_pairs(rows, "id", "split", ["chinese", "gloss_text"])
     return pairs.join(rows.select("id", "split", "source"), "id").groupBy("split", "source").agg(F.count(F.lit(1)).alias("pairs"), F.countDistinct("id").alias("records"))
+
+
+def tokenizer_file(name: str = "byte_bpe_50k.json", folder: str | None = None) -> str:
+    """Path of a public tokenizer's file, in ``folder`` or where the tokenizers are installed."""
+    return os.path.join(folder or os.environ.get("PUBLIC_TOKENIZERS", "/opt/tokenizers"), name)
+
+
+@query
+def p8_ids(spark: SparkSession, root: str) -> DataFrame:
+    return tokens.encode_texts(table(spark, root, "documents"), "doc_id", "text", tokenizer_file())
+
+
+@query
+def p9_packed(spark: SparkSession, root: str) -> DataFrame:
+    sizes = tokens.count_tokens(table(spark, root, "documents"), "doc_id", "text", tokenizer_file())
+    return packing.pack(sizes, "doc_id", "tokens", capacity=2048)
