@@ -31,9 +31,9 @@ LOOK_ALIKE = dict(
 FULL_MARKS = dict(zip(",?!:;()_", "，？！：；（）＿", strict=True))
 SLASHES = "／⁄∕⧸"
 # Characters without a glyph.
-INVISIBLE = "­͏؜ᅟᅠ឴឵᠋᠌᠍᠎​‌‍‎‏‪‫‬‭‮⁠⁡⁢⁣⁤⁦⁧⁨⁩⁪⁫⁬⁭⁮⁯ㅤ﻿ﾠ"
+INVISIBLE = "\u00ad\u034f\u061c\u115f\u1160\u17b4\u17b5\u180b\u180c\u180d\u180e\u200b\u200c\u200d\u200e\u200f\u202a\u202b\u202c\u202d\u202e\u2060\u2061\u2062\u2063\u2064\u2066\u2067\u2068\u2069\u206a\u206b\u206c\u206d\u206e\u206f\u3164\ufeff\uffa0"
 SELECTORS = [*range(0xFE00, 0xFE10), *range(0xE0100, 0xE01F0)]
-ZWJ, EMOJI_STYLE = "‍", ("︎", "️")
+ZWJ, EMOJI_STYLE = "\u200d", ("\ufe0e", "\ufe0f")
 EMOJI_CLASS = r"[\x{203C}\x{2049}\x{2122}\x{2139}\x{2190}-\x{2BFF}\x{3030}\x{303D}\x{3297}\x{3299}\x{1F000}-\x{1FAFF}]"
 
 
@@ -133,14 +133,16 @@ def rebuild(dirty: DataFrame, keys: Sequence[str], text: str, out: str) -> DataF
     letter = r"\p{IsLatin}\p{IsGreek}\p{IsCyrillic}"
     unseen = r"\p{M}\x{AD}\x{200B}-\x{200F}\x{2060}\x{FEFF}"
     words = F.regexp_extract_all(F.col(text), F.lit(f"[{letter}][{letter}{unseen}]*|[^{letter}]+"), F.lit(0))
-    clusters = F.regexp_extract_all(F.col("__run"), F.lit(f"(?s:.)[{unseen}]*"), F.lit(0))
+    # a stretch that is house form whatever stands beside it travels as one piece
+    clusters = F.regexp_extract_all(F.col("__run"), F.lit(f"(?:[{HOUSE_CLASS}](?![{unseen}]))+|(?s:.)[{unseen}]*"), F.lit(0))
+    pieces = F.when(F.col("__cluster").rlike(f"^[{HOUSE_CLASS}]+$"), F.array("__cluster")).otherwise(F.split("__cluster", ""))
     points = (
         dirty.select(*keys, F.posexplode(words).alias("__seg", "__run"))
         .withColumn("__mixed", F.col("__run").rlike(r"\p{IsLatin}") & F.col("__run").rlike(r"[\p{IsGreek}\p{IsCyrillic}]"))
         .withColumn("__clusters", clusters)
         .select(*keys, "__seg", "__mixed", "__clusters", F.posexplode("__clusters").alias("__at", "__cluster"))
         .withColumn("__next", F.get("__clusters", F.col("__at") + 1))
-        .select(*keys, "__seg", "__mixed", "__at", "__cluster", "__next", F.posexplode(F.split("__cluster", "")).alias("__k", "__ch"))
+        .select(*keys, "__seg", "__mixed", "__at", "__cluster", "__next", F.posexplode(pieces).alias("__k", "__ch"))
     )
     on_emoji = F.col("__cluster").rlike(f"^{EMOJI_CLASS}")
     joiner = (F.col("__ch") == ZWJ) & on_emoji & F.col("__cluster").rlike(f"{ZWJ}$") & F.col("__next").rlike(f"^{EMOJI_CLASS}")
