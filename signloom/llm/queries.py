@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from signloom.llm import canonical, copies, house_form, overlap, packing, term_counts, tokens, units
+from signloom.llm import canonical, copies, house_form, overlap, packing, residue, term_counts, tokens, units
 from signloom.plans.durable import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -99,3 +99,13 @@ def p8_ids(spark: SparkSession, root: str) -> DataFrame:
 def p9_packed(spark: SparkSession, root: str) -> DataFrame:
     sizes = tokens.count_tokens(table(spark, root, "documents"), "doc_id", "text", tokenizer_file())
     return packing.pack(sizes, "doc_id", "tokens", capacity=2048)
+
+
+@query
+def p10_found(spark: SparkSession, root: str) -> DataFrame:
+    return residue.judge(table(spark, root, "documents"), "doc_id", "text").filter("is_residue").select("doc_id").distinct()
+
+
+@query
+def p10_kept(spark: SparkSession, root: str) -> DataFrame:
+    return residue.judge(table(spark, root, "documents"), "doc_id", "text").filter("not is_residue").select("doc_id")
