@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from signloom.llm import canonical, copies, house_form, overlap, packing, residue, term_counts, tokens, units
+from signloom.llm import answers, canonical, copies, house_form, overlap, packing, residue, term_counts, tokens, units
 from signloom.plans.durable import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -109,3 +109,8 @@ def p10_found(spark: SparkSession, root: str) -> DataFrame:
 @query
 def p10_kept(spark: SparkSession, root: str) -> DataFrame:
     return residue.judge(table(spark, root, "documents"), "doc_id", "text").filter("not is_residue").select("doc_id")
+
+
+@query
+def p4_found(spark: SparkSession, root: str) -> DataFrame:
+    return answers.defects(table(spark, root, "finetuned_e4b_ep2_test"), "id", "chinese", "ref", "raw", table(spark, root, "gloss_master"))
