@@ -37,7 +37,7 @@ def _clear(path: str) -> None:
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it again: later steps survive lost executors and read only the columns they need."""
     path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
