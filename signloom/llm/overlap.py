@@ -1,13 +1,13 @@
 """Records of evaluation splits that also stand, exactly or almost, in the training split.
 
 Equal texts become one class first. Classes get minwise hashes of their pairs of adjacent characters,
-in bands; a band's key is a bucket. A bitmap of fixed size over the keys of the evaluation side keeps
-training rows that can meet nobody from being shuffled. Buckets join across splits only; a 64-bit
+in bands; a band's key is a bucket. Bitmaps of fixed size over the keys of either side keep rows that
+can meet nobody on the other from being shuffled. Buckets join across splits only; a 64-bit
 sketch of the same hashes turns most chance meetings away before exact Jaccard similarity is computed
 from the texts.
 
 ``BANDS`` x ``ROWS`` lose a pair of similarity 0.7 with probability (1 - 0.7 ** 4) ** 24 = 0.0014, one of
-0.75 with 0.0001, and the sketch one in a million; there is no cap on buckets or candidates.
+0.75 with 0.0001, and the sketch one of 0.7 with some 0.0002; there is no cap on buckets or candidates.
 """
 
 from __future__ import annotations
@@ -24,8 +24,8 @@ from signloom.llm.house_form import bare, house_columns
 from signloom.plans.durable import cut
 
 BANDS, ROWS = 24, 4
-SKETCH_DIFFERENT = 24
-FILTER_BITS = 26
+SKETCH_DIFFERENT = 20
+FILTER_BITS = 27
 CHUNK = 4096
 SIMILAR = 0.7
 
@@ -68,15 +68,23 @@ def _signatures(texts: pa.Array, fields: np.ndarray) -> tuple[np.ndarray, np.nda
     return keys, sketch
 
 
-def _filter_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _chunks(keys: Iterator[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """The non-empty chunks of a bitmap with the leading bits of all keys."""
     bitmap = np.zeros(2**FILTER_BITS // 8, np.uint8)
-    for batch in batches:
-        if batch.num_rows:
-            at = _signatures(batch.column("text"), batch.column("field").to_numpy())[0].ravel() >> np.uint64(64 - FILTER_BITS)
-            np.bitwise_or.at(bitmap, at >> np.uint64(3), (1 << (at & np.uint64(7))).astype(np.uint8))
+    for some in keys:
+        at = some >> np.uint64(64 - FILTER_BITS)
+        np.bitwise_or.at(bitmap, at >> np.uint64(3), (1 << (at & np.uint64(7))).astype(np.uint8))
     chunks = bitmap.reshape(-1, CHUNK)
-    some = np.flatnonzero(chunks.any(axis=1))
-    yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([chunks[i].tobytes() for i in some], pa.binary())], names=["chunk", "bits"])
+    used = np.flatnonzero(chunks.any(axis=1))
+    yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array([chunks[i].tobytes() for i in used], pa.binary())], names=["chunk", "bits"])
+
+
+def _of_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    yield from _chunks(_signatures(b.column("text"), b.column("field").to_numpy())[0].ravel() for b in batches if b.num_rows)
+
+
+def _of_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    yield from _chunks(b.column("key").to_numpy().view(np.uint64) for b in batches)
 
 
 def bucket_rows(classes: DataFrame, bitmap: bytes | None = None) -> DataFrame:
@@ -99,11 +107,11 @@ def bucket_rows(classes: DataFrame, bitmap: bytes | None = None) -> DataFrame:
     return classes.select("tid", "field", "text").mapInArrow(rows, "key long, tid long, sketch long")
 
 
-def key_filter(classes: DataFrame) -> bytes:
-    """A bitmap of ``2 ** FILTER_BITS`` bits, whatever the data, with the band keys of ``classes``."""
-    parts = classes.select("field", "text").mapInArrow(_filter_of, "chunk int, bits binary")
+def key_filter(df: DataFrame) -> bytes:
+    """A bitmap of ``2 ** FILTER_BITS`` bits, whatever the data, with the band keys of classes or of bucket rows."""
+    rows = df.select("key").mapInArrow(_of_keys, "chunk int, bits binary") if "key" in df.columns else df.select("field", "text").mapInArrow(_of_texts, "chunk int, bits binary")
     bitmap = bytearray(2**FILTER_BITS // 8)
-    for row in parts.groupBy("chunk").agg(F.expr("bitmap_or_agg(bits)").alias("bits")).collect():
+    for row in rows.groupBy("chunk").agg(F.expr("bitmap_or_agg(bits)").alias("bits")).collect():
         bitmap[row["chunk"] * CHUNK : (row["chunk"] + 1) * CHUNK] = row["bits"]
     return bytes(bitmap)
 
@@ -137,10 +145,11 @@ def cross_split_pairs(df: DataFrame, key: str, split: str, fields: list[str], tr
     """
     classes, members = classes_and_members(df, key, split, fields, train)
     evaluation, training = classes.filter("in_eval"), classes.filter("in_train")
-    left = bucket_rows(evaluation).toDF("key", "one", "sketch_one")
-    right = bucket_rows(training, key_filter(evaluation)).toDF("key", "other", "sketch_other")
+    # each side leaves out what can meet nobody of the other before it is shuffled
+    right = cut(bucket_rows(training, key_filter(evaluation)).toDF("key", "other", "sketch_other"))
+    left = bucket_rows(evaluation, key_filter(right)).toDF("key", "one", "sketch_one")
     near = F.bit_count(F.col("sketch_one").bitwiseXOR(F.col("sketch_other"))) <= SKETCH_DIFFERENT
-    met = cut(left.join(right.hint("shuffle_hash"), "key").filter((F.col("one") != F.col("other")) & near).select("one", "other").distinct())
+    met = cut(right.join(left.hint("shuffle_hash"), "key").filter((F.col("one") != F.col("other")) & near).select("one", "other").distinct())
     sides = met.select("one", "other", F.explode(F.array("one", "other")).alias("tid"))
     texts = sides.join(classes.select("tid", "text"), "tid").groupBy("one", "other").agg(F.collect_list("text").alias("texts"))
     alike = texts.mapInArrow(_similar, "one long, other long")

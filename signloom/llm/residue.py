@@ -131,7 +131,7 @@ def decide(parts: list[str], scores: list[float], around: list[float]) -> str |
     """The kind of residue a record is, or none: an unfilled placeholder anywhere, or residue with no more than a heading beside it."""
     if any(s > 0 for s in around):
         return "placeholder"
-    bad = sum(len(p) for p, s in zip(parts, scores, strict=True) if s > 0)
+    bad = sum(len(p) for p, s in zip(parts, scores, strict=True) if s > 0 and any(c.isalpha() for c in p))
     good = [len(p) for p, s in zip(parts, scores, strict=True) if s <= 0 and any(c.isalpha() for c in p)]
     return "residue" if bad and len(good) <= 1 and bad * 2 >= sum(good) else None
 
