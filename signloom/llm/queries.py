@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from signloom.llm import answers, canonical, copies, house_form, overlap, packing, residue, term_counts, tokens, units
-from signloom.plans.durable import table
+from signloom.plans.durable import cut, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -25,6 +25,12 @@ def p1_found(spark: SparkSession, root: str) -> DataFrame:
     return house_form.disguised(table(spark, root, "tsl_sentences"), "id", ["chinese", "gloss_text"])
 
 
+@query
+def p1_house(spark: SparkSession, root: str) -> DataFrame:
+    rows = table(spark, root, "tsl_sentences").select("id", "chinese", "gloss_text")
+    return house_form.house_columns(rows, {"chinese": "chinese_house", "gloss_text": "gloss_text_house"}).drop("chinese", "gloss_text")
+
+
 @query
 def p2_found(spark: SparkSession, root: str) -> DataFrame:
     return canonical.map_tokens(table(spark, root, "tsl_sentences"), "id", "gloss", table(spark, root, "gloss_master"))
@@ -72,6 +78,13 @@ def p6_found(spark: SparkSession, root: str) -> DataFrame:
     return found.filter("id <> unit").select(F.col("unit").alias("id_a"), F.col("id").alias("id_b"))
 
 
+@query
+def p6_split(spark: SparkSession, root: str) -> DataFrame:
+    records = table(spark, root, "split_data")
+    found = cut(units.units(records, table(spark, root, "scrape_tslcorpus_full")))
+    return units.assign(found, records.select("id", F.col("source").alias("label")), table(spark, root, "split_ratio"))
+
+
 @query
 def p5_found(spark: SparkSession, root: str) -> DataFrame:
     pairs = overlap.cross_split_pairs(table(spark, root, "tsl_sentences"), "id", "split", ["chinese", "gloss_text"])

@@ -2,19 +2,22 @@
 
 Records and the entities they name form a bipartite graph. Records that name the same entities are
 one node from the start; minimum labels then go from nodes to entities and back, with a jump along
-the label's own label, until nothing changes. Units are assigned to splits by stratum.
+the label's own label, until nothing changes. Units are assigned to splits so that the labels deviate least from the given shares:
+large units one by one, small ones by cells of their hash within the stratum of their main label.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from signloom.plans.durable import cut
 
-UNIT_CELLS = 4096
+#: Units above this share of all records are placed one by one: at most its inverse. Small ones share so many cells a label.
 LARGE_SHARE = 0.0005
+UNIT_CELLS = 2048
+#: Labels told apart; rarer ones count as one.
+LABELS = 64
 
 
 def tidy(value: Column) -> Column:
@@ -61,3 +64,46 @@ def propagate(edges: DataFrame) -> DataFrame:
         labels = new.select("node", "label")
         if new.filter("moved").isEmpty():
             return labels
+
+
+def place(items: list[tuple[str, dict[str, int]]], shares: dict[str, float]) -> dict[str, str]:
+    """A split for each item (name, records by label), largest first: the one that leaves the least squared deviation of all labels."""
+    totals: dict[str, int] = {}
+    for _, counts in items:
+        for label, n in counts.items():
+            totals[label] = totals.get(label, 0) + n
+    whole = sum(shares.values()) or 1.0
+    target = {s: {x: share / whole * n for x, n in totals.items()} for s, share in shares.items()}
+    now = {s: dict.fromkeys(totals, 0) for s in shares}
+    placed = {}
+    for name, counts in sorted(items, key=lambda i: (-sum(i[1].values()), i[0])):
+        added = lambda s: sum(n * (n + 2 * (now[s][x] - target[s][x])) / (target[s][x] + 1) for x, n in counts.items())  # noqa: E731, B023
+        best = min(sorted(shares), key=added)
+        placed[name] = best
+        for x, n in counts.items():
+            now[best][x] += n
+    return placed
+
+
+def assign(placed: DataFrame, labels: DataFrame, shares: DataFrame) -> DataFrame:
+    """Rows ``id, unit, split`` for the rows ``id, unit`` of ``placed``; whole units, near the shares for every label.
+
+    ``labels`` has ``id, label``, null being a label of its own; ``shares`` has ``split, share``. Without
+    shares every split is null. What goes to the driver is bounded: large units, cells, labels.
+    """
+    spark = placed.sparkSession
+    given = {r["split"]: float(r["share"] or 0) for r in shares.filter("split is not null").select("split", "share").collect()}
+    if not given:
+        return placed.withColumn("split", F.lit(None).cast("string"))
+    named = placed.join(labels.select("id", F.coalesce("label", F.lit("")).alias("label")).dropDuplicates(["id"]), "id", "left").fillna("", ["label"])
+    common = [r["label"] for r in named.groupBy("label").count().orderBy(F.desc("count"), "label").limit(LABELS - 1).collect()]
+    sizes = cut(named.withColumn("label", F.when(F.col("label").isin(common), F.col("label")).otherwise("\x00")).groupBy("unit", "label").agg(F.count(F.lit(1)).alias("n")))
+    total = sizes.agg(F.sum("n").alias("n")).first()["n"] or 0
+    whole = sizes.groupBy("unit").agg(F.sum("n").alias("size"), F.max(F.struct("n", "label")).alias("most"))
+    cell = F.when(F.col("size") > max(1.0, LARGE_SHARE * total), F.concat(F.lit("u"), "unit")).otherwise(F.concat_ws("/", F.lit("c"), F.expr(f"pmod(xxhash64(unit), {UNIT_CELLS})"), F.col("most.label")))
+    cells = cut(whole.select("unit", cell.alias("cell")))
+    items: dict[str, dict[str, int]] = {}
+    for r in sizes.join(cells, "unit").groupBy("cell", "label").agg(F.sum("n").alias("n")).collect():
+        items.setdefault(r["cell"], {})[r["label"]] = r["n"]
+    chosen = spark.createDataFrame([*place([*items.items()], given).items()], "cell string, split string")
+    return placed.join(cells, "unit").join(F.broadcast(chosen), "cell").select("id", "unit", "split")
