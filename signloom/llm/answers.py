@@ -23,6 +23,8 @@ from signloom.plans.durable import cut
 
 NAMES_BOUND = 500_000
 COPY_RATIO = 0.5
+#: Bytes of a frame that says no more than "as before".
+NOTHING_NEW = 40
 FOREIGN_SHARE = 0.5
 WHOLE_SHARE = 0.05
 
@@ -46,13 +48,14 @@ def letters(text: str) -> str:
 
 
 def compressed_share(answer: str, prompt: str) -> float:
-    """Bytes that the answer takes with its prompt as dictionary, by those it takes alone."""
+    """Bytes that the answer takes with its prompt as dictionary, by those it takes alone; 0 where the dictionary leaves nothing."""
     raw, given = answer.encode(), prompt.encode()
     if len(given) < 8 or not raw:
         return 1.0
     plain = zstandard.ZstdCompressor(level=3, write_checksum=False, write_content_size=False, write_dict_id=False)
     near = zstandard.ZstdCompressor(level=3, write_checksum=False, write_content_size=False, write_dict_id=False, dict_data=zstandard.ZstdCompressionDict(given, dict_type=zstandard.DICT_TYPE_RAWCONTENT))
-    return len(near.compress(raw)) / max(1, len(plain.compress(raw)))
+    left = len(near.compress(raw))
+    return 0.0 if left <= NOTHING_NEW else left / len(plain.compress(raw))
 
 
 def unlabelled(text: str) -> str:

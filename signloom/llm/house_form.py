@@ -39,13 +39,13 @@ EMOJI_CLASS = r"[\x{203C}\x{2049}\x{2122}\x{2139}\x{2190}-\x{2BFF}\x{3030}\x{303
 
 # The ranges whose code points are house form whatever stands beside them. Others call for a look.
 HOUSE_CLASS = (
-    r"\x{4E00}-\x{9FFF}\x{3400}-\x{4DBF}\x{3001}-\x{301C}，。？！：；（）＿\t-\r *-9<-\^`-~"
+    r"\x{4E00}-\x{9FFF}\x{3400}-\x{4DBF}\x{3001}-\x{301C}，。？！：；（）＿\t-\r *+\-./0-9<=>@-\^`-~"
     r"\x22-\x27\x{A1}-\x{AC}\x{AE}-\x{24F}\x{1E00}-\x{1EFF}\x{3041}-\x{3096}\x{309D}\x{309E}\x{30A1}-\x{30FE}"
     r"\x{2010}-\x{2027}\x{2190}-\x{2214}\x{2216}-\x{29F7}\x{29F9}-\x{2BFF}\x{1F000}-\x{1FAFF}\x{AC00}-\x{D7A3}"
 )
 #: A low line that is no part of a variant suffix such as ``_A`` or ``_c2``.
 BLANK_LINE = r"_(?![A-Za-z]{1,2}[0-9]?(?:\+\+)?\s*(?:[/／⁄∕]|$))"
-REBUILD = f"[^{HOUSE_CLASS}_]|[:;]|{BLANK_LINE}"
+REBUILD = f"[^{HOUSE_CLASS}_]|{BLANK_LINE}"
 
 
 @lru_cache(1)
