@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, though a lambda inside refers to it again and again."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def ngrams(tokens: Column, n: int) -> Column:
     """All runs of ``n`` tokens, joined; none where there are fewer."""
     runs = F.transform(F.sequence(F.lit(1), F.size(tokens) - n + 1), lambda i: F.array_join(F.slice(tokens, i, n), "\x01"))
@@ -13,24 +20,50 @@ def ngrams(tokens: Column, n: int) -> Column:
 
 
 def clipped_matches(ref: Column, hyp: Column) -> Column:
-    """Over the distinct items of ``hyp``: the lesser of its counts in both arrays, summed. For short arrays."""
-    count = lambda a, g: F.size(F.filter(a, lambda x: x == g))
-    return F.aggregate(F.array_distinct(hyp), F.lit(0), lambda acc, g: acc + F.least(count(hyp, g), count(ref, g)))
+    """Over the distinct items of ``hyp``: the lesser of its counts in both arrays, summed.
+
+    Items are told from their equals by number, in sorted order, so the intersection of sets is that
+    of multisets.
+    """
+
+    def numbered(items: Column) -> Column:
+        number = lambda own: F.transform(own, lambda x, i: F.concat(x, F.lit("\x02"), (i - F.array_position(own, x)).cast("string")))
+        return bound(F.sort_array(items), number)
+
+    return F.size(F.array_intersect(numbered(ref), numbered(hyp)))
 
 
 def longest_common(ref: Column, hyp: Column) -> Column:
-    """Length of the longest common subsequence; 0 for empty arrays. Quadratic: one row of the table is carried along."""
+    """Length of the longest common subsequence; 0 for empty arrays.
+
+    Up to 60 tokens of ``hyp`` are the bits of one number: a row of the table is one addition. Longer
+    ones carry a row of the table along.
+    """
+    some = (F.size(hyp) > 0) & (F.size(ref) > 0)
+    return F.when(some & (F.size(hyp) <= 60), _common_bits(ref, hyp)).when(some, _common_rows(ref, hyp)).otherwise(0)
+
+
+def _common_bits(ref: Column, hyp: Column) -> Column:
+    one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
+    placed = F.transform(hyp, lambda t, j: F.struct(t.alias("t"), F.call_function("shiftleft", one, j).alias("bit")))
+    mask = lambda places: F.transform(ref, lambda t: F.aggregate(places, none, lambda acc, p: acc + F.when(p["t"] == t, p["bit"]).otherwise(none)))
+    masks = bound(placed, mask)
+    full = F.call_function("shiftleft", one, F.size(hyp)) - 1
+    left = F.aggregate(masks, full, lambda v, m: (v + v.bitwiseAND(m)).bitwiseOR(v - v.bitwiseAND(m)).bitwiseAND(full))
+    return F.size(hyp) - F.bit_count(left)
+
+
+def _common_rows(ref: Column, hyp: Column) -> Column:
     zero = F.transform(F.sequence(F.lit(0), F.size(hyp)), lambda _: F.lit(0))
 
     def row(above: Column, token: Column) -> Column:
         def cell(done: Column, j: Column) -> Column:
-            left = F.element_at(done, -1)
-            best = F.when(F.get(hyp, j) == token, F.get(above, j) + 1).otherwise(F.greatest(F.get(above, j + 1), left))
+            best = F.when(F.get(hyp, j) == token, F.get(above, j) + 1).otherwise(F.greatest(F.get(above, j + 1), F.element_at(done, -1)))
             return F.concat(done, F.array(best))
 
         return F.aggregate(F.sequence(F.lit(0), F.size(hyp) - 1), F.array(F.lit(0)), cell)
 
-    return F.when((F.size(hyp) > 0) & (F.size(ref) > 0), F.element_at(F.aggregate(ref, zero, row), -1)).otherwise(0)
+    return F.element_at(F.aggregate(ref, zero, row), -1)
 
 
 def last_match(tokens: Column, markers: list[str]) -> Column:

@@ -71,3 +71,9 @@ def flag_rollup(df: DataFrame, flags: str) -> DataFrame:
     """Rows ``flag, n`` over an array column; rows without flags are counted as ``none``."""
     empty = F.col(flags).isNull() | (F.size(flags) <= 0)
     return df.select(F.explode(F.when(empty, F.array(F.lit("none"))).otherwise(F.col(flags))).alias("flag")).groupBy("flag").agg(F.count(F.lit(1)).alias("n"))
+
+
+def ordered_names(df: DataFrame, key: str, name: str, order: str) -> DataFrame:
+    """Rows ``key, names``: the distinct names of each key in the order of their first row; for keys of few names."""
+    first = df.groupBy(key, name).agg(F.min(order).alias("__at"))
+    return first.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("__at", name))), lambda x: x[name]).alias("names"))

@@ -38,3 +38,15 @@ def infer(df: DataFrame, key: str, text: str, client: Callable[[], Callable[[lis
             yield pd.DataFrame({key: batch[key], "raw": answer(batch[text].fillna("").tolist())})
 
     return df.select(key, text).mapInPandas(run, schema)
+
+
+def encode(df: DataFrame, key: str, text: str, tokenizer: Callable[[], Callable[[list[str]], list[list[int]]]]) -> DataFrame:
+    """Rows ``key, ids`` by any tokenizer; ``tokenizer`` makes, once per task, a function from texts to ids. Null texts have none."""
+    schema = df.select(key).schema.simpleString()[7:-1].replace(":", " ") + ", ids array<int>"
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ids = tokenizer()
+        for batch in batches:
+            yield pd.DataFrame({key: batch[key], "ids": ids(batch[text].fillna("").tolist())})
+
+    return df.select(key, text).mapInPandas(run, schema)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from signloom.functions import arrays, text
-from signloom.operators import joins, metrics, order, vocabulary
+from signloom.operators import checks, joins, metrics, order, vocabulary
 from signloom.plans import corpus, prompts, split
 from signloom.plans.durable import table
 from signloom.sources import sinks
@@ -520,3 +520,55 @@ select * from n union all select * from s where system not in (select system fro
 def summary_upsert(spark: SparkSession, root: str) -> DataFrame:
     count = lambda t: table(spark, root, t).groupBy(F.col("source").alias("system"), F.lit("rows").alias("metric")).agg(F.count(F.lit(1)).alias("value"))
     return sinks.upsert(count("split_data"), count("tsl_sentences"), ["system", "metric"])
+
+
+@query("""with n as (select unnest(twtsl_ids) as id, surface, gloss_id from gloss_master), f as (select id, surface, min(gloss_id) as spot from n group by id, surface)
+select id, list(surface order by spot, surface) as names from f group by id""")
+def ordered_names(spark: SparkSession, root: str) -> DataFrame:
+    names = table(spark, root, "gloss_master").select(F.explode("twtsl_ids").alias("id"), "surface", "gloss_id")
+    return vocabulary.ordered_names(names, "id", "surface", "gloss_id")
+
+
+_RULES = """rules as (select id, gloss, case when array_position(gloss, '沒有') >= len(gloss) - 1 then 'late negation' when gloss[1] in ('今天', '昨天', '明天') then 'early time' else 'order open' end as said,
+list_filter([case when gloss[-1] = '要' then 'modal last' end, case when len(coalesce(nms, [])) > 0 then 'marks' end, case when list_contains(gloss, '說') then 'speech' end], lambda x: x is not null) as found from tsl_sentences where gloss is not null and len(gloss) > 0)"""
+
+
+def _reviewed(spark: SparkSession, root: str) -> DataFrame:
+    own = table(spark, root, "tsl_sentences").filter("gloss is not null and size(gloss) > 0")
+    last, first = F.element_at("gloss", -1), F.element_at("gloss", 1)
+    said = checks.verdict([(F.array_position("gloss", "沒有") >= F.size("gloss") - 1, "late negation"), (first.isin("今天", "昨天", "明天"), "early time")], "order open")
+    more = checks.notes([(last == "要", "modal last"), (F.size(F.coalesce("nms", F.array().cast("array<string>"))) > 0, "marks"), (F.array_contains("gloss", "說"), "speech")], "checked")
+    return own.select("id", said.alias("said"), more.alias("note"))
+
+
+@query(f"with {_RULES} select id, said, array_to_string(list_concat(['checked'], found), '；') as note from rules")
+def review_verdicts(spark: SparkSession, root: str) -> DataFrame:
+    return _reviewed(spark, root)
+
+
+@query(f"with {_RULES}, b as (select case when contains(array_to_string(list_concat(['checked'], found), '；'), 'speech') then 'native' when contains(said, 'open') then 'confirm' else 'acceptable' end as bucket from rules) select bucket, count(*)::bigint as n from b group by bucket")
+def review_buckets(spark: SparkSession, root: str) -> DataFrame:
+    both = F.concat_ws("；", "said", "note")
+    return _reviewed(spark, root).select(checks.bucket(both, [("speech", "native")], [("open", "confirm")], "acceptable").alias("bucket")).groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("select _ord, case when ref is null then ['user'] else ['user', 'assistant'] end as roles, case when ref is null then [chinese] else [chinese, ref] end as contents from finetuned_e4b_ep2_test")
+def chat_messages(spark: SparkSession, root: str) -> DataFrame:
+    chat = table(spark, root, "finetuned_e4b_ep2_test").select("_ord", prompts.messages(F.col("chinese"), F.col("ref")).alias("m"))
+    return chat.select("_ord", F.col("m.role").alias("roles"), F.col("m.content").alias("contents"))
+
+
+@query("select count(*)::bigint as both from (select chinese from tsl_sentences where chinese is not null intersect select chinese from split_data where chinese is not null)")
+def shared_texts(spark: SparkSession, root: str) -> DataFrame:
+    some = lambda t: table(spark, root, t).filter("chinese is not null")
+    return joins.shared_groups(some("tsl_sentences"), some("split_data"), "chinese").agg(F.count(F.lit(1)).alias("both"))
+
+
+@query("select surface, translate(surface, '臺着菸祐', '台著煙佑') as norm, replace(surface, ':', '_') as tag, split_part(surface, '/', 1) as head from gloss_master")
+def surface_forms(spark: SparkSession, root: str) -> DataFrame:
+    return table(spark, root, "gloss_master").select("surface", text.norm_variants("surface").alias("norm"), text.file_tag("surface").alias("tag"), text.prefix_of("surface").alias("head"))
+
+
+@query("select split, count(distinct source_file)::bigint as files, count(distinct source)::bigint as sources, (count(*) filter (len(gloss) > 0))::bigint as with_gloss from tsl_sentences group by split")
+def groups_per_split(spark: SparkSession, root: str) -> DataFrame:
+    return table(spark, root, "tsl_sentences").groupBy("split").agg(F.countDistinct("source_file").alias("files"), F.countDistinct("source").alias("sources"), F.count_if(F.size("gloss") > 0).alias("with_gloss"))

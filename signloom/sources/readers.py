@@ -36,6 +36,11 @@ def optional(spark: SparkSession, path: str, schema: T.StructType | str, read: C
     return read(spark, path, schema) if there else spark.createDataFrame([], schema)
 
 
+def without_locks(spark: SparkSession, folder: str, schema: T.StructType | str) -> DataFrame:
+    """The CSV sheets of a folder, but for the lock files that editors leave."""
+    return spark.read.schema(schema).option("header", True).option("pathGlobFilter", "[!~]*").csv(folder)
+
+
 def dimension(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
     """A short table written in the code."""
     return spark.createDataFrame(rows, schema)
@@ -47,21 +52,32 @@ def landed_sheet(spark: SparkSession, path: str, required: list[str]) -> DataFra
     return sheet if {*required, "_ord"} <= {*sheet.columns} else sheet.limit(0)
 
 
+def file_pages(start: str, page: int, size: int) -> tuple[list, int]:
+    """A service's page from a landed file of JSON lines, for replay and where there is no network."""
+    with open(start, encoding="utf-8") as f:
+        rows = [json.loads(line) for line in f if line.strip()]
+    return rows[(page - 1) * size : page * size], len(rows)
+
+
 class _Page(InputPartition):
     def __init__(self, start: str) -> None:
         self.start = start
 
 
 class PagedReader(DataSourceReader):
-    """Reads pages until one is empty or the total is reached, with retries and a limit on the rate."""
+    """Reads pages until one is empty or the total is reached, with retries and a limit on the rate.
+
+    A start that fails to the last raises, or is skipped with ``onfailure=skip``.
+    """
 
     def __init__(self, options: dict[str, str]) -> None:
-        self.fetcher = options["fetcher"]
+        self.fetcher = options.get("fetcher", f"{__name__}:file_pages")
         self.starts = json.loads(options.get("starts", '[""]'))
         self.size = int(options.get("pagesize", "200"))
         self.tries = int(options.get("tries", "4"))
         self.wait = float(options.get("backoff", "2"))
         self.pause = float(options.get("pause", "0.12"))
+        self.skip = options.get("onfailure", "raise") == "skip"
 
     def partitions(self) -> list[InputPartition]:
         return [_Page(s) for s in self.starts]
@@ -77,6 +93,8 @@ class PagedReader(DataSourceReader):
                     break
                 except OSError:
                     if k == self.tries - 1:
+                        if self.skip:
+                            return
                         raise
                     time.sleep(self.wait * (k + 1))
             for row in rows:
