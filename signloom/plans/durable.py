@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import atexit
+import shutil
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 _folders: dict[str, tuple[SparkSession, str]] = {}
+_shipped: set[str] = set()
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -41,5 +45,23 @@ def cut(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def ship(spark: SparkSession) -> None:
+    """Give the package to the executors, which need not have it installed; once per application."""
+    name = spark.sparkContext.applicationId
+    if name in _shipped:
+        return
+    _shipped.add(name)
+    package = Path(__file__).resolve().parents[1]
+    folder = tempfile.mkdtemp(prefix="signloom-")  # the driver serves the archive from here as long as it lives
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    archive = Path(folder, f"{package.name}-{name}.zip")
+    with zipfile.ZipFile(archive, "w") as z:
+        for file in sorted(package.rglob("*.py")):
+            z.write(file, file.relative_to(package.parent))
+    spark.sparkContext.addPyFile(str(archive))
+
+
 def table(spark: SparkSession, root: str, name: str) -> DataFrame:
+    """A table of the test data's layout."""
+    ship(spark)
     return spark.read.parquet(f"{root}/{name}.parquet")
