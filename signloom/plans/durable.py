@@ -28,12 +28,15 @@ def shared_folder(spark: SparkSession) -> str:
     return path
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def _clear(path: str) -> None:
     spark, _ = _folders.pop(path)
     try:
-        jvm = spark.sparkContext._jvm
-        place = jvm.org.apache.hadoop.fs.Path(path)
-        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+        _delete(spark, path)
     except Exception:  # the session is gone; the folder belongs to its cluster
         pass
 
@@ -42,7 +45,14 @@ def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it again: later steps survive lost executors and read only the columns they need."""
     path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.signloom_path = path
+    return out
+
+
+def release(df: DataFrame) -> None:
+    """Remove the table of a ``cut`` that nothing reads any more, itself or what was made from it and not cut."""
+    _delete(df.sparkSession, df.signloom_path)
 
 
 def ship(spark: SparkSession) -> None:
