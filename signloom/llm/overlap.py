@@ -2,12 +2,12 @@
 
 Equal texts become one class first. Classes get minwise hashes of their pairs of adjacent characters,
 in bands; a band's key is a bucket. Bitmaps of fixed size over the keys of either side keep rows that
-can meet nobody on the other from being shuffled. Buckets join across splits only; a 64-bit
+can meet nobody on the other from being shuffled. Buckets join across splits only; a 128-bit
 sketch of the same hashes turns most chance meetings away before exact Jaccard similarity is computed
 from the texts.
 
 ``BANDS`` x ``ROWS`` lose a pair of similarity 0.7 with probability (1 - 0.7 ** 4) ** 24 = 0.0014, one of
-0.75 with 0.0001, and the sketch one of 0.7 with some 0.0002; there is no cap on buckets or candidates.
+0.75 with 0.0001, and the sketch one of 0.7 with some 0.00005; there is no cap on buckets or candidates.
 """
 
 from __future__ import annotations
@@ -21,10 +21,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from signloom.llm.house_form import bare, house_columns
-from signloom.plans.durable import cut
+from signloom.plans.durable import cut, release
 
 BANDS, ROWS = 24, 4
-SKETCH_DIFFERENT = 20
+SKETCH_DIFFERENT = 38
 FILTER_BITS = 27
 CHUNK = 4096
 SIMILAR = 0.7
@@ -44,7 +44,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 def _signatures(texts: pa.Array, fields: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Band keys (texts x BANDS) and sketches of texts of two characters or more."""
+    """Band keys (texts x BANDS) and both halves of the sketches (2 x texts) of texts of two characters or more."""
     points = np.frombuffer("".join(texts.to_pylist()).encode("utf-32-le"), np.uint32)
     lengths = pc.utf8_length(texts).to_numpy().astype(np.int64)
     ends = np.cumsum(lengths)
@@ -63,9 +63,9 @@ def _signatures(texts: pa.Array, fields: np.ndarray) -> tuple[np.ndarray, np.nda
         for row in range(ROWS):
             key = _mix(key * np.uint64(31) + least[band * ROWS + row])
         keys[:, band] = key
-    bits = ((least[:64] * np.uint32(0x9E3779B1)) >> np.uint32(31)).astype(np.uint64)
-    sketch = (bits << np.arange(64, dtype=np.uint64)[:, None]).sum(axis=0, dtype=np.uint64)
-    return keys, sketch
+    spread, place = least * np.uint32(0x9E3779B1), np.arange(64, dtype=np.uint64)[:, None]
+    bits = ((spread[:64] >> np.uint32(31)) & np.uint32(1), (spread[-64:] >> np.uint32(30)) & np.uint32(1))
+    return keys, np.stack([(b.astype(np.uint64) << place).sum(axis=0, dtype=np.uint64) for b in bits])
 
 
 def _chunks(keys: Iterator[np.ndarray]) -> Iterator[pa.RecordBatch]:
@@ -88,7 +88,7 @@ def _of_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def bucket_rows(classes: DataFrame, bitmap: bytes | None = None) -> DataFrame:
-    """Rows ``key, tid, sketch`` of each band of each class; with ``bitmap`` only those whose key it may hold."""
+    """Rows ``key, tid, s, t`` of each band of each class, ``s`` and ``t`` its sketch; with ``bitmap`` only those whose key it may hold."""
     shared = None if bitmap is None else classes.sparkSession.sparkContext.broadcast(bitmap)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -97,14 +97,14 @@ def bucket_rows(classes: DataFrame, bitmap: bytes | None = None) -> DataFrame:
             for start in range(0, whole.num_rows, 4096):
                 batch = whole.slice(start, 4096)
                 keys, sketch = _signatures(batch.column("text"), batch.column("field").to_numpy())
-                flat, tid, own = keys.ravel(), np.repeat(batch.column("tid").to_numpy(), BANDS), np.repeat(sketch, BANDS)
+                flat, tid, (s, t) = keys.ravel(), np.repeat(batch.column("tid").to_numpy(), BANDS), np.repeat(sketch, BANDS, axis=1)
                 if seen is not None:
                     at = flat >> np.uint64(64 - FILTER_BITS)
                     may = (seen[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
-                    flat, tid, own = flat[may], tid[may], own[may]
-                yield pa.RecordBatch.from_arrays([pa.array(flat.view(np.int64)), pa.array(tid), pa.array(own.view(np.int64))], names=["key", "tid", "sketch"])
+                    flat, tid, s, t = flat[may], tid[may], s[may], t[may]
+                yield pa.RecordBatch.from_arrays([pa.array(flat.view(np.int64)), pa.array(tid), pa.array(s.view(np.int64)), pa.array(t.view(np.int64))], names=["key", "tid", "s", "t"])
 
-    return classes.select("tid", "field", "text").mapInArrow(rows, "key long, tid long, sketch long")
+    return classes.select("tid", "field", "text").mapInArrow(rows, "key long, tid long, s long, t long")
 
 
 def key_filter(df: DataFrame) -> bytes:
@@ -116,6 +116,19 @@ def key_filter(df: DataFrame) -> bytes:
     return bytes(bitmap)
 
 
+def _held(texts: DataFrame, bitmap: bytes) -> DataFrame:
+    """Rows ``tid, text`` whose id the bitmap may hold; others are not shuffled."""
+    shared = texts.sparkSession.sparkContext.broadcast(bitmap)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.frombuffer(shared.value, np.uint8)
+        for batch in batches:
+            at = batch.column("tid").to_numpy().view(np.uint64) >> np.uint64(64 - FILTER_BITS)
+            yield batch.filter(pa.array((seen[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1))
+
+    return texts.mapInArrow(run, texts.schema)
+
+
 def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         keep = []
@@ -146,12 +159,13 @@ def cross_split_pairs(df: DataFrame, key: str, split: str, fields: list[str], tr
     classes, members = classes_and_members(df, key, split, fields, train)
     evaluation, training = classes.filter("in_eval"), classes.filter("in_train")
     # each side leaves out what can meet nobody of the other before it is shuffled
-    right = cut(bucket_rows(training, key_filter(evaluation)).toDF("key", "other", "sketch_other"))
-    left = bucket_rows(evaluation, key_filter(right)).toDF("key", "one", "sketch_one")
-    near = F.bit_count(F.col("sketch_one").bitwiseXOR(F.col("sketch_other"))) <= SKETCH_DIFFERENT
-    met = cut(right.join(left.hint("shuffle_hash"), "key").filter((F.col("one") != F.col("other")) & near).select("one", "other").distinct())
+    right = cut(bucket_rows(training, key_filter(evaluation)).toDF("key", "other", "s_other", "t_other"))
+    left = bucket_rows(evaluation, key_filter(right)).toDF("key", "one", "s_one", "t_one")
+    unlike = sum(F.bit_count(F.col(f"{h}_one").bitwiseXOR(F.col(f"{h}_other"))) for h in "st")
+    met = cut(right.join(left.hint("shuffle_hash"), "key").filter((F.col("one") != F.col("other")) & (unlike <= SKETCH_DIFFERENT)).select("one", "other").distinct())
+    release(right)
     sides = met.select("one", "other", F.explode(F.array("one", "other")).alias("tid"))
-    texts = sides.join(classes.select("tid", "text"), "tid").groupBy("one", "other").agg(F.collect_list("text").alias("texts"))
+    texts = sides.join(_held(classes.select("tid", "text"), key_filter(sides.select(F.col("tid").alias("key")))), "tid").groupBy("one", "other").agg(F.collect_list("text").alias("texts"))
     alike = texts.mapInArrow(_similar, "one long, other long")
     same = classes.filter("in_eval and in_train").select(F.col("tid").alias("one"), F.col("tid").alias("other"))
     links = alike.unionByName(same)

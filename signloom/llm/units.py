@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from signloom.plans.durable import cut
+from signloom.plans.durable import cut, release
 
 #: Units above this share of all records are placed one by one: at most its inverse. Small ones share so many cells a label.
 LARGE_SHARE = 0.0005
@@ -54,7 +54,7 @@ def propagate(edges: DataFrame) -> DataFrame:
     # an entity of one node ties nothing
     shared = edges.groupBy("entity").agg(F.min("node").alias("label"), F.max("node").alias("most")).filter("label <> most").select("entity", "label")
     edges = cut(edges.join(shared.select("entity"), "entity", "left_semi").unionByName(edges.groupBy("node").agg(F.min("entity").alias("entity")).select("node", "entity")).distinct())
-    labels = edges.select("node").distinct().withColumn("label", F.col("node"))
+    labels, old = edges.select("node").distinct().withColumn("label", F.col("node")), None
     while True:
         by_entity = edges.join(labels, "node").groupBy("entity").agg(F.min("label").alias("label"))
         step = edges.join(by_entity, "entity").groupBy("node").agg(F.min("label").alias("label"))
@@ -62,6 +62,9 @@ def propagate(edges: DataFrame) -> DataFrame:
         jumped = step.join(ahead, "label").select("node", F.col("further").alias("label"), F.col("label").alias("near"))
         new = cut(jumped.join(labels.withColumnRenamed("label", "before"), "node").select("node", "label", (F.col("label") != F.col("before")).alias("moved")))
         labels = new.select("node", "label")
+        if old is not None:
+            release(old)
+        old = new
         if new.filter("moved").isEmpty():
             return labels
 
