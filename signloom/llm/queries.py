@@ -111,7 +111,7 @@ def p8_ids(spark: SparkSession, root: str) -> DataFrame:
 @query
 def p9_packed(spark: SparkSession, root: str) -> DataFrame:
     sizes = tokens.count_tokens(table(spark, root, "documents"), "doc_id", "text", tokenizer_file())
-    return packing.pack(sizes, "doc_id", "tokens", capacity=2048)
+    return packing.pack(sizes, "doc_id", "tokens", capacity=2048).withColumnRenamed("size", "tokens")
 
 
 @query
