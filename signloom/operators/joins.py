@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 def not_in(df: DataFrame, other: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Rows whose keys are not in ``other``; null keys are in nothing."""
-    return df.join(other.select(*keys).distinct(), list(keys), "left_anti")
+    return df.join(other.select(*keys), list(keys), "left_anti")
 
 
 def not_in_any(df: DataFrame, other: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -21,13 +21,14 @@ def pairs(df: DataFrame, ref: str, hyp: str) -> DataFrame:
     return df.select(F.coalesce(tokens(ref), none).alias("ref"), F.coalesce(tokens(hyp), none).alias("hyp"))
 
 
-def _sums(paired: DataFrame) -> DataFrame:
+def _sums(paired: DataFrame, *more: Column) -> DataFrame:
+    """One row of all that BLEU needs, and ``more``, in one pass."""
     sums = []
     for n in ORDERS:
         sums.append(F.coalesce(F.sum(clipped_matches(ngrams(F.col("ref"), n), ngrams(F.col("hyp"), n))), F.lit(0)).alias(f"matches_{n}"))
         sums.append(F.coalesce(F.sum(F.greatest(F.size("hyp") - n + 1, F.lit(0))), F.lit(0)).alias(f"total_{n}"))
     lengths = [F.coalesce(F.sum(F.size(c)), F.lit(0)).alias(f"{c}_len") for c in ("ref", "hyp")]
-    return paired.agg(*sums, *lengths)
+    return paired.agg(*sums, *lengths, *more)
 
 
 def bleu_counts(paired: DataFrame) -> DataFrame:
@@ -56,12 +57,20 @@ def rouge_l_of(ref: Column, hyp: Column) -> Column:
     return F.when(common > 0, 2 * common / (F.size(ref) + F.size(hyp))).otherwise(0.0)
 
 
+def _mean_rouge_l() -> Column:
+    return (F.coalesce(F.avg(rouge_l_of(F.col("ref"), F.col("hyp"))), F.lit(0.0)) * 100).alias("rouge_l")
+
+
+def _share_exact() -> Column:
+    return (F.coalesce(F.avg((F.col("ref") == F.col("hyp")).cast("int")), F.lit(0.0)) * 100).alias("exact_match")
+
+
 def rouge_l(paired: DataFrame) -> DataFrame:
-    return paired.agg((F.coalesce(F.avg(rouge_l_of(F.col("ref"), F.col("hyp"))), F.lit(0.0)) * 100).alias("rouge_l"))
+    return paired.agg(_mean_rouge_l())
 
 
 def exact_match(paired: DataFrame) -> DataFrame:
-    return paired.agg((F.coalesce(F.avg((F.col("ref") == F.col("hyp")).cast("int")), F.lit(0.0)) * 100).alias("exact_match"))
+    return paired.agg(_share_exact())
 
 
 def in_vocab(paired: DataFrame, names: DataFrame, name: str) -> DataFrame:
@@ -75,13 +84,8 @@ def in_vocab(paired: DataFrame, names: DataFrame, name: str) -> DataFrame:
 def evaluate(df: DataFrame, ref: str, hyp: str, names: DataFrame, name: str) -> DataFrame:
     """Rows ``metric, value``: n, BLEU-4, ROUGE-L, exact match and in-vocabulary rate, to two places. An empty table scores 0."""
     paired = pairs(df, ref, hyp)
-    one = _sums(paired).select(_bleu().alias("bleu")).crossJoin(
-        paired.agg(
-            F.count(F.lit(1)).alias("n"),
-            (F.coalesce(F.avg(rouge_l_of(F.col("ref"), F.col("hyp"))), F.lit(0.0)) * 100).alias("rouge_l"),
-            (F.coalesce(F.avg((F.col("ref") == F.col("hyp")).cast("int")), F.lit(0.0)) * 100).alias("exact_match"),
-        )
-    ).crossJoin(in_vocab(paired, names, name).select("in_vocab"))
+    sums = _sums(paired, F.count(F.lit(1)).alias("n"), _mean_rouge_l(), _share_exact())
+    one = sums.select("n", _bleu().alias("bleu"), "rouge_l", "exact_match").crossJoin(in_vocab(paired, names, name).select("in_vocab"))
     each = F.array(*[F.struct(F.lit(m).alias("metric"), F.round(F.col(c).cast("double"), 2).alias("value")) for m, c in (("n", "n"), ("BLEU-4", "bleu"), ("ROUGE-L", "rouge_l"), ("ExactMatch%", "exact_match"), ("InVocab%", "in_vocab"))])
     return one.select(F.explode(each).alias("x")).select("x.*")
 

@@ -74,7 +74,7 @@ def greedy_holdout(df: DataFrame, group: str, ratio: float, seed: int, stratum:
     targets = totals.select("stratum", F.when(F.col("n") >= least_rows, F.bround(F.col("n") * F.lit(float(ratio)))).otherwise(0).cast("long").alias("target"))
     order = sizes.withColumn("__order", F.concat(hashed_order(seed, "stratum", "group"), F.lit("/"), F.coalesce("group", F.lit(""))))
     reached = running_sum(order, F.col("size"), "__order", "reached", by=["stratum"], bucket=F.substring("__order", 1, 3))
-    taken = reached.alias("r").join(F.broadcast(targets).alias("t"), F.col("r.stratum").eqNullSafe(F.col("t.stratum"))).filter(F.col("reached") - F.col("size") < F.col("target"))
+    taken = reached.alias("r").join(targets.alias("t"), F.col("r.stratum").eqNullSafe(F.col("t.stratum"))).filter(F.col("reached") - F.col("size") < F.col("target"))
     return taken.select("r.stratum", "r.group", "r.size")
 
 
