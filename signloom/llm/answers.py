@@ -35,6 +35,8 @@ REFUSAL = regex.compile(
     r"(?i:can(?:no|')t (?:help|assist|do|translate|answer|provide|comply)|can ?not (?:help|assist|translate|answer|provide|comply)|unable to|(?:do|does) ?n[o']t know|as an? (?:\w+ )?(?:text|language|ai)\b[^/]{0,12}model|won't|will not (?:translate|answer|help)|i (?:must )?decline|i refuse|not able to|lo siento|je ne peux|kann (?:ich )?nicht)|"
     r"できません|できかねます|お答えでき|申し訳|いたしかねます|할 수 없|수 없습니다|죄송|không thể|xin lỗi"
 )
+SLASH, BREAKS = regex.compile("[/／]"), regex.compile(r"[\r\n\x0b\x0c\x85\u2028\u2029]+")
+WORD, RUN = regex.compile(r"[\p{L}\p{M}]+"), regex.compile(r"\p{Han}+|[\p{L}\p{M}--\p{Han}]+", regex.V1)
 LEAD = regex.compile(r"^[^：:\r\n]{1,40}[：:]")
 WRAP = " \t\r\n\u3000`*~\"'「」『』“”‘’<>《》。．.!！?？,，、;；"
 NOTE = regex.compile(r"\s*[（(][^（）()]*[）)]\s*$")
@@ -66,8 +68,10 @@ def unlabelled(text: str) -> str:
 
 def is_copy(answer: str, prompt: str) -> bool:
     """The whole prompt given back: labelled, quoted, repeated or without marks, but not cut into glosses."""
+    if answer.count("/") + answer.count("／") > prompt.count("/") + prompt.count("／"):
+        return False
     own, given = letters(answer), letters(prompt)
-    if not given or given not in own or answer.count("/") + answer.count("／") > prompt.count("/") + prompt.count("／"):
+    if not given or given not in own:
         return False
     rest = letters(LEAD.sub("", answer))
     if given not in rest:
@@ -86,9 +90,9 @@ def is_foreign(answer: str, prompt: str, ref: str, names: frozenset[str]) -> boo
     """Most of its words are of another language or script: neither Han nor glosses nor words of the prompt."""
     known = foreign = 0
     own = f"{prompt} {ref}".lower()
-    for word in regex.findall(r"[\p{L}\p{M}]+", answer):
-        for part in regex.findall(r"\p{Han}+|[\p{L}\p{M}--\p{Han}]+", word, flags=regex.V1):
-            if regex.match(r"\p{Han}", part):
+    for word in WORD.findall(answer):
+        for part in RUN.findall(word):
+            if "\u4e00" <= part[0] <= "\u9fff" or regex.match(r"\p{Han}", part):
                 known += len(part)
             elif part.lower() in names or part.lower() in own:
                 known += len(part)
@@ -116,25 +120,27 @@ def label(raw: str | None, prompt: str | None, ref: str | None, names: frozenset
     """(defect, None), or (None, the last token where its end decides)."""
     raw, prompt, ref = raw or "", prompt or "", ref or ""
     answer = unlabelled(raw.strip())
+    tokens = [t.strip(WRAP) for t in SLASH.split(answer)]
+    if len(tokens) > 1 and "/" not in prompt and "／" not in prompt and all(t.lower() in names for t in tokens) and not BREAKS.search(answer):
+        return ("truncated" if left_open(answer) else None), None  # glosses all through: no other defect can be
     if not any(unicodedata.category(c)[0] in "LN" for c in answer):
         return "empty", None
     if is_copy(answer, prompt) and letters(answer) not in names:
         return "copy", None
-    tokens = [t.strip(WRAP) for t in regex.split(r"[/／]", answer)]
     if is_refusal(answer, tokens, names):
         return "refusal", None
     if is_foreign(answer, prompt, ref, names):
         return "other_language", None
-    lines = [x for x in regex.split(r"[\r\n\x0b\x0c\x85\u2028\u2029]+", answer) if x.strip(WRAP)]
+    lines = [x for x in BREAKS.split(answer) if x.strip(WRAP)]
     sequence = [x for x in lines if "/" in x or "／" in x]
     last = unlabelled((sequence or lines)[-1].strip())
     if left_open(last):
         return "truncated", None
     last = NOTE.sub("", last)
-    tail = regex.split(r"[/／]", last)[-1].strip(WRAP)
+    tail = SLASH.split(last)[-1].strip(WRAP)
     if not sequence and regex.search(r"[，,：:；;]|\p{Han}{7,}", last):  # an explanation, not a gloss
         return ("truncated" if not last.rstrip("`*\"'」』 ").endswith(("。", "！", "？", "!", "?", ".")) else None), None
-    whole = not tail or tail.lower() in names or tail in (t.strip(WRAP) for t in regex.split(r"[/／]", ref))
+    whole = not tail or tail.lower() in names or tail in (t.strip(WRAP) for t in SLASH.split(ref))
     return None, None if whole else tail
 
 

@@ -23,6 +23,7 @@ FIT_DOCUMENTS = 20_000
 FEATURE_BITS = 18
 NOTHING = 2**FEATURE_BITS
 EM_ROUNDS = 8
+SETTLED = 0.01
 SMOOTHING = 0.5
 
 # Ways in which template languages and authors write a place to be filled.
@@ -95,7 +96,9 @@ def expectation_maximisation(rows: list[str], times: np.ndarray, known: np.ndarr
         odds[:-1] = np.log((sums[0] + SMOOTHING) / p) - np.log((sums[1] + SMOOTHING * n / p) / n)
         score = np.add.reduceat(odds[features].sum(axis=0, dtype=float), starts)
         share = min(max((belief * times).sum() / times.sum(), 1e-6), 0.5)
-        belief = np.where(known, 1.0, 1 / (1 + np.exp(-np.clip(score + np.log(share / (1 - share)), -30, 30))))
+        before, belief = belief, np.where(known, 1.0, 1 / (1 + np.exp(-np.clip(score + np.log(share / (1 - share)), -30, 30))))
+        if np.abs(belief - before).max() < SETTLED:
+            break
     return odds
 
 
@@ -123,8 +126,8 @@ def learn(df: DataFrame, key: str, text: str, most: int = FIT_DOCUMENTS) -> byte
     rows = df.select(key, text).filter(F.col(text).isNotNull())
     if n > most:  # equal rows share a hash, so the limit holds the bound even then
         rows = rows.filter(F.pmod(F.xxhash64(key, text), F.lit(1_000_000)) < int(1_000_000 * most / n)).limit(2 * most)
-    found = rows.select(text).repartition(1).mapInArrow(_fit_task, "model binary").first()
-    return found["model"] if found else bytes(8 * (NOTHING + 1))
+    found = rows.select(text).repartition(1).mapInArrow(_fit_task, "model binary").collect()
+    return bytes(found[0]["model"]) if found else bytes(8 * (NOTHING + 1))
 
 
 def decide(parts: list[str], scores: list[float], around: list[float]) -> str | None:
