@@ -24,7 +24,8 @@ FEATURE_BITS = 18
 NOTHING = 2**FEATURE_BITS
 EM_ROUNDS = 8
 SETTLED = 0.01
-SMOOTHING = 0.5
+RECURS = 8
+SMOOTHING = 0.1
 
 # Ways in which template languages and authors write a place to be filled.
 SLOTS = (
@@ -40,22 +41,25 @@ SEEDS = (
     r"(?i)java\s?script|noscript|指令碼|(?:enable|allow|允許|啟用).{0,12}cookie|scripts? (?:appear|to be|支援|are )|停用 js|checking your browser|"
     r"internal server error|bad gateway|service unavailable|gateway time-?out|page not found|not found on this server|request timed out|access denied|forbidden|connection refused|something went wrong|fatal error|uncaught exception|traceback \(most|sqlstate|stack trace|nullpointer|"
     r"\bhttp \d{3}\b|\berror \d{3}\b|錯誤代碼|發生錯誤|找不到您要的|頁面不存在|存取被拒|連線逾時|系統維護|暫停服務|無法處理|\"status\": ?\d+|keyerror|"
-    r"lorem ipsum|dolor sit amet|placeholder (?:text|paragraph)|dummy (?:text|line)|sample text|text goes here|caption here|coming soon|asdf|qwer|text text|"
-    r"範例文字|測試測試|請輸入文字|假文|內容建置中|標題文字|段落內容|這裡是內文|文字文字|此處為說明|^(.{2,10}?)\1+[。！!.]?$"
+    r"\b(?:lorem|ipsum|dolor|amet|consectetur|adipiscing|vitae)\b|\b(\w{3,})\s+\1\b|placeholder (?:text|paragraph)|dummy (?:text|line)|sample text|text goes here|caption here|coming soon|asdf|qwer|text text|"
+    r"範例文字|測試測試|請輸入文字|假文|內容建置中|標題文字|段落內容|這裡是內文|文字文字|此處為說明|^(.{2,10}?)\2+[。！!.]?$"
 )
 SLOT = regex.compile("|".join(SLOTS))
 EXPLAIN = regex.compile(EXPLAINS)
 SEED = regex.compile(SEEDS)
-BREAK = regex.compile(r"[\r\n\x0b\x0c\x85\u2028\u2029]+|(?<=[。！？｡!?])|(?<=\.)\s+|\s{2,}")
+BREAK = regex.compile(r"[\r\n\x0b\x0c\x85\u2028\u2029]+|(?<=[。！？｡!?])|(?<=\.)(?:\s+|(?=\p{Han}))|\s{2,}")
 MARK = "\x02"
+NUMBER = regex.compile(r"\d+")
+QUOTED = regex.compile("「[^「」]*」")
 AROUND = regex.compile(r"[^\x02]{0,16}\x02[^\x02]{0,24}", regex.DOTALL)
 
 
 def passages(text: str) -> tuple[list[str], list[str]]:
-    """The sentences and lines of a text, placeholders put as one sign, and what stands around each placeholder."""
+    """The sentences and lines of a text, placeholders put as one sign and quotations emptied, and what stands around each placeholder."""
     slotted = SLOT.sub(MARK, text.replace("\xa0", " "))
     parts = [p for p in (p.strip(" \t\u3000\ufeff\u200b-•*").lower() for p in BREAK.split(slotted)) if p]
-    return parts, [w.group() for p in parts if MARK in p for w in AROUND.finditer(p)]
+    around = [w.group() for p in parts if MARK in p for w in AROUND.finditer(p)]
+    return [QUOTED.sub("「」", p) for p in parts], around
 
 
 def _features(rows: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -82,37 +86,54 @@ def _scores(odds: np.ndarray, rows: list[str]) -> np.ndarray:
     return np.add.reduceat(odds[features].sum(axis=0, dtype=float), starts)
 
 
-def expectation_maximisation(rows: list[str], times: np.ndarray, known: np.ndarray, rounds: int = EM_ROUNDS) -> np.ndarray:
-    """Log-odds of the features from positive (``known``) and unlabelled passages; a feature never seen says nothing."""
+def expectation_maximisation(rows: list[str], times: np.ndarray, state: np.ndarray, rounds: int = EM_ROUNDS) -> np.ndarray:
+    """Log-odds of the features from passages that are positive (state 1), unlabelled (0) or reliably negative (-1).
+
+    Only the belief in unlabelled passages moves. A feature never seen says nothing.
+    """
     odds = np.zeros(NOTHING + 1, "<f4")
-    if not known.any():
+    if not (state > 0).any():
         return odds
     features, starts = _features(rows)
     owner = np.repeat(np.arange(len(rows)), np.diff(np.append(starts, features.shape[1])))
-    belief = known.astype(float)
+    belief = (state > 0).astype(float)
     for _ in range(rounds):
         sums = [np.bincount(features.ravel(), np.tile((w * times)[owner], 2), NOTHING + 1)[:-1] for w in (belief, 1 - belief)]
         p, n = sums[0].sum(), max(sums[1].sum(), 1.0)
         odds[:-1] = np.log((sums[0] + SMOOTHING) / p) - np.log((sums[1] + SMOOTHING * n / p) / n)
         score = np.add.reduceat(odds[features].sum(axis=0, dtype=float), starts)
         share = min(max((belief * times).sum() / times.sum(), 1e-6), 0.5)
-        before, belief = belief, np.where(known, 1.0, 1 / (1 + np.exp(-np.clip(score + np.log(share / (1 - share)), -30, 30))))
+        before, belief = belief, np.where(state, state > 0, 1 / (1 + np.exp(-np.clip(score + np.log(share / (1 - share)), -30, 30))))
         if np.abs(belief - before).max() < SETTLED:
             break
     return odds
 
 
 def fit(texts: list[str]) -> np.ndarray:
-    """Two models, of passages and of what stands around placeholders (2 x features)."""
+    """Two models, of passages and of what stands around placeholders (2 x features).
+
+    Passages of records that known wordings make up are trusted residue. A passage that recurs, but for
+    its numbers, in ``RECURS`` records of some length nearly free of them is reliably content. The others
+    are unlabelled. A placeholder counts as unfilled unless something near explains it.
+    """
     counts: Counter[tuple[str, bool]] = Counter()
-    slots: Counter[tuple[str, bool]] = Counter()
+    usual: Counter[str] = Counter()
+    slots: Counter[tuple[str, int]] = Counter()
     for text in texts:
         parts, around = passages(text)
+        plain = [NUMBER.sub("0", p) for p in parts]
         hits = [len(p) < 160 and SEED.search(p) is not None for p in parts]
-        whole = len(parts) <= 24 and sum(hits) * 2 >= len(parts)
-        counts.update((p, h and whole) for p, h in zip(parts, hits, strict=True))
-        slots.update((w, EXPLAIN.search(w) is None) for w in around)
-    return np.stack([expectation_maximisation([p for p, _ in c], np.array(list(c.values()), float), np.array([t for _, t in c])) if c else np.zeros(NOTHING + 1, "<f4") for c in (counts, slots)])
+        residue = len(parts) <= 24 and sum(hits) * 2 >= len(parts)
+        counts.update((p, h and residue) for p, h in zip(plain, hits, strict=True))
+        if len(parts) >= 4 and sum(hits) * 5 <= len(parts):
+            usual.update({p for p, h in zip(plain, hits, strict=True) if not h})
+        slots.update((w, -1 if EXPLAIN.search(w) else 1) for w in around)
+    labelled = {(p, 1 if known else -1 if usual[p] >= RECURS else 0): n for (p, known), n in counts.items()}
+    models = []
+    for c in (labelled, slots):
+        times, state = np.array(list(c.values()), float), np.array([t for _, t in c], int)
+        models.append(expectation_maximisation([p for p, _ in c], times, state) if c else np.zeros(NOTHING + 1, "<f4"))
+    return np.stack(models)
 
 
 def _fit_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -134,8 +155,8 @@ def decide(parts: list[str], scores: list[float], around: list[float]) -> str |
     """The kind of residue a record is, or none: an unfilled placeholder anywhere, or residue with no more than a heading beside it."""
     if any(s > 0 for s in around):
         return "placeholder"
-    bad = sum(len(p) for p, s in zip(parts, scores, strict=True) if s > 0 and any(c.isalpha() for c in p))
-    good = [len(p) for p, s in zip(parts, scores, strict=True) if s <= 0 and any(c.isalpha() for c in p)]
+    said = [(len(p), s > 0 and MARK not in p) for p, s in zip(parts, scores, strict=True) if any(c.isalpha() for c in p)]
+    bad, good = sum(n for n, residue in said if residue), [n for n, residue in said if not residue]
     return "residue" if bad and len(good) <= 1 and bad * 2 >= sum(good) else None
 
 
