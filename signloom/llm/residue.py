@@ -25,7 +25,7 @@ NOTHING = 2**FEATURE_BITS
 EM_ROUNDS = 8
 SETTLED = 0.01
 RECURS = 8
-SMOOTHING = 0.1
+SMOOTHING = 0.03
 
 # Ways in which template languages and authors write a place to be filled.
 SLOTS = (
@@ -86,17 +86,17 @@ def _scores(odds: np.ndarray, rows: list[str]) -> np.ndarray:
     return np.add.reduceat(odds[features].sum(axis=0, dtype=float), starts)
 
 
-def expectation_maximisation(rows: list[str], times: np.ndarray, state: np.ndarray, rounds: int = EM_ROUNDS) -> np.ndarray:
+def expectation_maximisation(rows: list[str], times: np.ndarray, state: np.ndarray, first: np.ndarray, rounds: int = EM_ROUNDS) -> np.ndarray:
     """Log-odds of the features from passages that are positive (state 1), unlabelled (0) or reliably negative (-1).
 
-    Only the belief in unlabelled passages moves. A feature never seen says nothing.
+    Only the belief in unlabelled passages moves, from ``first`` on. A feature never seen says nothing.
     """
     odds = np.zeros(NOTHING + 1, "<f4")
     if not (state > 0).any():
         return odds
     features, starts = _features(rows)
     owner = np.repeat(np.arange(len(rows)), np.diff(np.append(starts, features.shape[1])))
-    belief = (state > 0).astype(float)
+    belief = np.where(state, state > 0, first).astype(float)
     for _ in range(rounds):
         sums = [np.bincount(features.ravel(), np.tile((w * times)[owner], 2), NOTHING + 1)[:-1] for w in (belief, 1 - belief)]
         p, n = sums[0].sum(), max(sums[1].sum(), 1.0)
@@ -119,12 +119,15 @@ def fit(texts: list[str]) -> np.ndarray:
     counts: Counter[tuple[str, bool]] = Counter()
     usual: Counter[str] = Counter()
     slots: Counter[tuple[str, int]] = Counter()
+    company: Counter[tuple[str, bool]] = Counter()
     for text in texts:
         parts, around = passages(text)
         plain = [NUMBER.sub("0", p) for p in parts]
         hits = [len(p) < 160 and SEED.search(p) is not None for p in parts]
         residue = len(parts) <= 24 and sum(hits) * 2 >= len(parts)
-        counts.update((p, h and residue) for p, h in zip(plain, hits, strict=True))
+        for p, h in zip(plain, hits, strict=True):
+            counts[p, h and residue] += 1
+            company[p, h and residue] += sum(hits) / len(parts) if sum(hits) * 3 >= len(parts) else 0
         if len(parts) >= 4 and sum(hits) * 5 <= len(parts):
             usual.update({p for p, h in zip(plain, hits, strict=True) if not h})
         slots.update((w, -1 if EXPLAIN.search(w) else 1) for w in around)
@@ -132,7 +135,8 @@ def fit(texts: list[str]) -> np.ndarray:
     models = []
     for c in (labelled, slots):
         times, state = np.array(list(c.values()), float), np.array([t for _, t in c], int)
-        models.append(expectation_maximisation([p for p, _ in c], times, state) if c else np.zeros(NOTHING + 1, "<f4"))
+        first = np.array([company[p, False] for p, _ in c]) / times  # how much known wording stands beside a passage
+        models.append(expectation_maximisation([p for p, _ in c], times, state, first) if c else np.zeros(NOTHING + 1, "<f4"))
     return np.stack(models)
 
 
