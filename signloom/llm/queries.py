@@ -127,3 +127,13 @@ def p10_kept(spark: SparkSession, root: str) -> DataFrame:
 @query
 def p4_found(spark: SparkSession, root: str) -> DataFrame:
     return answers.defects(table(spark, root, "finetuned_e4b_ep2_test"), "id", "chinese", "ref", "raw", table(spark, root, "gloss_master"))
+
+_UNIT = r"nullif(lower(regexp_replace({}, '^[\s\x{{85}}\x{{a0}}\x{{3000}}]+|[\s\x{{85}}\x{{a0}}\x{{3000}}]+$', '', 'g')), '')"
+ORACLES["p6_found"] = f"""
+with recursive s as (select id, {_UNIT.format('seg_uuid')} as d, {_UNIT.format("split_part(corpus_id, '/', 1)")} as c from scrape_tslcorpus_full where id in (select id from split_data)),
+e as (select id, 'g:' || {_UNIT.format('group_key')} as ent from split_data union select id, 'd:' || nullif(regexp_replace(d, 'p\\d+$', ''), '') from s union select id, 'c:' || c from s),
+adj as (select distinct a.id as x, b.id as y from e a join e b using (ent) where a.id <> b.id),
+reach as (select id as x, id as y from split_data union select r.x, a.y from reach r join adj a on r.y = a.x),
+u as (select y as id, min(x) as unit from reach group by y)
+select unit as id_a, id as id_b from u where id <> unit
+"""
