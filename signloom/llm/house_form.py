@@ -30,6 +30,8 @@ LOOK_ALIKE = dict(
 # Marks that house form writes full-width, and other characters read as ``/``.
 FULL_MARKS = dict(zip(",?!:;()_", "，？！：；（）＿", strict=True))
 SLASHES = "／⁄∕⧸"
+# Supplementary radicals and phonetic letters without a decomposition, and the characters they read as.
+RADICALS = dict(zip("⻁⻄⻅⻆⻉⻋⻑⻓⻔⻘⻙⻚⻛⻜⻝⻢⻣⻤⻥⻦⻧⻨⻩⻪⻫⻬⻭⻮⻯⻰⻱⻲", "虎西见角贝车長长门青韦页风飞食马骨鬼鱼鸟卤麦黄黾斉齐歯齿竜龙龜亀", strict=True)) | {"ɑ": "a", "ɡ": "g"}
 # Characters without a glyph.
 INVISIBLE = "\u00ad\u034f\u061c\u115f\u1160\u17b4\u17b5\u180b\u180c\u180d\u180e\u200b\u200c\u200d\u200e\u200f\u202a\u202b\u202c\u202d\u202e\u2060\u2061\u2062\u2063\u2064\u2066\u2067\u2068\u2069\u206a\u206b\u206c\u206d\u206e\u206f\u3164\ufeff\uffa0"
 SELECTORS = [*range(0xFE00, 0xFE10), *range(0xE0100, 0xE01F0)]
@@ -72,7 +74,7 @@ def _tables() -> tuple[list, list]:
         elif how.split(">")[0] in ("<wide", "<narrow", "<font", "<noBreak") or 0x2E80 <= cp < 0x2FE0:
             out = unicodedata.normalize("NFKC", ch)
             maps[ch] = FULL_MARKS.get(out, unicodedata.normalize("NFD", out))
-    maps |= dict.fromkeys([*INVISIBLE, *map(chr, SELECTORS)], "") | {a: b for a, b in FULL_MARKS.items() if a != "_"}
+    maps |= RADICALS | dict.fromkeys([*INVISIBLE, *map(chr, SELECTORS)], "") | {a: b for a, b in FULL_MARKS.items() if a != "_"}
     every = {*maps, *LOOK_ALIKE, *map(chr, range(0x300, 0x370))} | {c for v in maps.values() for c in v}
     rows = [
         (ch, piece, unicodedata.combining(piece) if piece else 0, part, LOOK_ALIKE.get(piece))
