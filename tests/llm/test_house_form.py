@@ -10,7 +10,7 @@ CASES = [
     ("ｃａｆé", "café"), ("café", "café"), ("e​́t", "ét"), ("⼤⼩", "大小"), ("蘭花", "蘭花"), ("甲／乙⁄丙∕丁", "甲/乙/丙/丁"),
     ("a b　c", "a b c"), ("清​晨﻿", "清晨"), ("兒‍童", "兒童"), ("👩‍🏫。", "👩‍🏫。"), ("❤️", "❤️"), ("上︀午\U000e0100", "上午"),
     ("Rеngοtrх", "Rengotrx"), ("ζητον", "ζητον"), ("Ладора", "Ладора"), ("カフェ", "カフェ"), ("你好｡", "你好。"), ("你好､我", "你好、我"), ("好,嗎?", "好，嗎？"),
-    ("大夫_A/去", "大夫_A/去"), ("大夫_B++/去", "大夫_B++/去"), ("__有", "＿＿有"), ("＿＿", "＿＿"), ("a\tb\n c  d", "a\tb\n c  d"), ("", ""), (None, None),
+    ("大夫_A/去", "大夫_A/去"), ("大夫_B++/去", "大夫_B++/去"), ("__有", "＿＿有"), ("＿＿", "＿＿"), ("a\tb\n c  d", "a\tb\n c  d"), ("", ""), (None, None), ("\u2ed1\u2edd", "長食"),
     ("ấ", "ấ"), ("ấ", "ấ"), ("ậ", "ậ"), ("Ångro", "Ångro"), ("が", "が"), ("q́", "q́"),
 ]
 
