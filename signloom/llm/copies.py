@@ -46,14 +46,14 @@ def canonical_objects(df: DataFrame, key: str, line: str, text: str, glosses: st
 
 
 def radix_buckets(rows: DataFrame, bucket_rows: int = BUCKET_ROWS, step: int = STEP_BYTES) -> DataFrame:
-    """``rows`` (``tbl, key, bytes``) with ``bucket`` and ``salts``: the shortest prefix, in steps, that at most ``bucket_rows`` rows share.
+    """``rows`` (``tbl, key, bytes``) with ``bucket`` and ``salts``: a prefix of ``step`` bytes, or of twice as many again and again, that at most ``bucket_rows`` rows share.
 
     Only rows of oversized buckets are counted again. Where an oversized bucket holds one text only,
     ``salts`` says in how many parts its keys go.
     """
-    left, done, depth = rows, [], 0
+    left, done, depth = rows, [], step // 2
     while True:
-        depth += step
+        depth *= 2  # a long beginning that many texts share costs few rounds
         at = left.withColumn("bucket", F.substring("bytes", 1, depth))
         wide = at.groupBy("tbl", "bucket").agg(F.count(F.lit(1)).alias("n"), (F.min("bytes") == F.max("bytes")).alias("one")).filter(F.col("n") > bucket_rows)
         wide = cut(wide.select("tbl", "bucket", F.when(F.col("one"), F.ceil(F.col("n") / bucket_rows)).otherwise(0).cast("int").alias("salts")))

@@ -41,3 +41,8 @@ def test_a_hot_text_is_salted(spark):
     hot = got.filter("copies > 1")
     assert hot.count() == 2000 and hot.select("rep", "copies").distinct().collect() == [("k00001", 2000)]
     assert got.filter("copies = 1").count() == 1000
+
+
+def test_a_long_common_beginning(spark):
+    rows = spark.createDataFrame([("t", f"k{i:03}", "同一個開頭" * 400 + str(i // 2)) for i in range(100)], "tbl string, key string, canon string")
+    assert collapsed(rows, bucket_rows=5) == {("t", f"k{i:03}"): (f"k{i // 2 * 2:03}", 2) for i in range(100)}
