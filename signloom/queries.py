@@ -430,7 +430,8 @@ def split_manifest(spark: SparkSession, root: str) -> DataFrame:
     return split.manifest(_placed(spark, root).filter("split <> 'test'"))
 
 
-@query("select 'train/dev' as pair, 0::bigint as shared union all select 'test_corpus/pool', 0::bigint")
+@query(f"""with {_SPLIT} select 'train/dev' as pair, (select count(*) from (select grp from placed where split = 'train' intersect select grp from placed where split = 'dev'))::bigint as shared
+union all select 'test_corpus/pool', (select count(*) from (select grp from placed where split = 'test_corpus' intersect select grp from placed where split in ('train', 'dev')))::bigint""")
 def group_leak_check(spark: SparkSession, root: str) -> DataFrame:
     return split.leaks(_placed(spark, root))
 
