@@ -123,6 +123,15 @@ def test_anti_joins(spark, rows):
     assert "NestedLoop" not in plan
 
 
+def test_filters_and_columns_reach_the_scan(spark, tmp_path):
+    path = str(tmp_path / "t")
+    spark.createDataFrame([(1, "a", "rule", "wide")], "_ord long, id string, confidence string, other string").write.parquet(path)
+    df = spark.read.parquet(path).filter("confidence = 'rule'")
+    for made in (order.keep_first(df.select("_ord", "id"), ["id"], "_ord"), joins.not_in_any(df.select("_ord", "id"), df.limit(0), ["id"])):
+        plan = made._jdf.queryExecution().executedPlan().toString()
+        assert "EqualTo(confidence,rule)" in plan and "other" not in plan and "Window" not in plan
+
+
 def test_update_expand_and_membership(spark, rows):
     df = spark.createDataFrame([(1, "old", "k"), (2, "old", "k"), (3, None, "k")], "id int, v string, __v string")
     news = spark.createDataFrame([(1, "new"), (2, None), (9, "x")], "id int, v string")
