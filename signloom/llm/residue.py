@@ -97,10 +97,13 @@ def expectation_maximisation(rows: list[str], times: np.ndarray, state: np.ndarr
     features, starts = _features(rows)
     owner = np.repeat(np.arange(len(rows)), np.diff(np.append(starts, features.shape[1])))
     belief = np.where(state, state > 0, first).astype(float)
+    whole = np.bincount(features.ravel(), np.tile(times[owner], 2), NOTHING + 1)[:-1]
     for _ in range(rounds):
-        sums = [np.bincount(features.ravel(), np.tile((w * times)[owner], 2), NOTHING + 1)[:-1] for w in (belief, 1 - belief)]
-        p, n = sums[0].sum(), max(sums[1].sum(), 1.0)
-        odds[:-1] = np.log((sums[0] + SMOOTHING) / p) - np.log((sums[1] + SMOOTHING * n / p) / n)
+        some = (belief > 1e-6)[owner]  # few passages: only their features are counted again
+        positive = np.bincount(features[:, some].ravel(), np.tile((belief * times)[owner[some]], 2), NOTHING + 1)[:-1]
+        negative = np.maximum(whole - positive, 0)
+        p, n = positive.sum(), max(negative.sum(), 1.0)
+        odds[:-1] = np.log((positive + SMOOTHING) / p) - np.log((negative + SMOOTHING * n / p) / n)
         score = np.add.reduceat(odds[features].sum(axis=0, dtype=float), starts)
         share = min(max((belief * times).sum() / times.sum(), 1e-6), 0.5)
         before, belief = belief, np.where(state, state > 0, 1 / (1 + np.exp(-np.clip(score + np.log(share / (1 - share)), -30, 30))))
@@ -120,10 +123,14 @@ def fit(texts: list[str]) -> np.ndarray:
     usual: Counter[str] = Counter()
     slots: Counter[tuple[str, int]] = Counter()
     company: Counter[tuple[str, bool]] = Counter()
+    known: dict[str, bool] = {}
     for text in texts:
         parts, around = passages(text)
         plain = [NUMBER.sub("0", p) for p in parts]
-        hits = [len(p) < 160 and SEED.search(p) is not None for p in parts]
+        for p, q in zip(parts, plain, strict=True):
+            if q not in known:
+                known[q] = len(p) < 160 and SEED.search(p) is not None
+        hits = [known[q] for q in plain]
         residue = len(parts) <= 24 and sum(hits) * 2 >= len(parts)
         for p, h in zip(plain, hits, strict=True):
             counts[p, h and residue] += 1
@@ -131,7 +138,7 @@ def fit(texts: list[str]) -> np.ndarray:
         if len(parts) >= 4 and sum(hits) * 5 <= len(parts):
             usual.update({p for p, h in zip(plain, hits, strict=True) if not h})
         slots.update((w, -1 if EXPLAIN.search(w) else 1) for w in around)
-    labelled = {(p, 1 if known else -1 if usual[p] >= RECURS else 0): n for (p, known), n in counts.items()}
+    labelled = {(p, 1 if trusted else -1 if usual[p] >= RECURS else 0): n for (p, trusted), n in counts.items()}
     models = []
     for c in (labelled, slots):
         times, state = np.array(list(c.values()), float), np.array([t for _, t in c], int)
