@@ -3,15 +3,19 @@
 Whole containers are cut off items above the capacity first. Items then go, by hash, to groups of a
 bounded size, however skewed their sizes or sources are. In each group they are placed best fit
 first, and a local search exchanges one item for one, two for one, or moves items between underfull
-bins wherever that increases the sum of squared fills, until bins empty. What stands in bins still
-underfull after a round is packed again with that of the other groups in the next.
+bins wherever that increases the sum of squared fills, until no two bins of the group have such an
+exchange left. What stands in bins still underfull after a round is packed again with that of the
+other groups in the next; after the last, exchanges between bins of different groups may be left.
 """
 
 from __future__ import annotations
 
 from bisect import bisect_left, insort
+from collections import Counter
 from collections.abc import Iterator
+from heapq import heappop, heappush
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -21,8 +25,6 @@ from signloom.plans.durable import cut
 
 GROUP_ITEMS = 20_000
 FULL = 0.998
-SEARCH_BINS = 64
-SEARCH_ROUNDS = 200
 
 
 def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
@@ -43,50 +45,134 @@ def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
     return bins
 
 
+class _Rooms:
+    """Underfull bins by what they hold and admit: an item of size ``c`` in a bin with room ``r`` can go for one of up to ``u = c + r``.
+
+    ``most[c]`` is the largest ``u`` over all bins that hold a ``c``, ``least[u]`` the smallest ``c`` that
+    a ``u`` can go for; 0 stands for nothing taken back. Entries of an earlier state of a bin are dropped when met.
+    """
+
+    def __init__(self, capacity: int) -> None:
+        self.none = capacity + 1
+        self.most = np.full(2 * capacity + 2, -1, np.int64)
+        self.least = np.full(2 * capacity + 2, self.none, np.int64)
+        self.by_size: dict[int, list[tuple[int, int, int]]] = {}
+        self.by_reach: dict[int, list[tuple[int, int, int]]] = {}
+        self.state: dict[int, int] = {}
+
+    def _top(self, heap: list[tuple[int, int, int]]) -> tuple[int, int, int] | None:
+        while heap and self.state[heap[0][1]] != heap[0][2]:
+            heappop(heap)
+        return heap[0] if heap else None
+
+    def _renew(self, held: set[int], room: int) -> None:
+        for c in held:
+            top = self._top(self.by_size[c])
+            self.most[c] = -top[0] if top else -1
+            top = self._top(self.by_reach[c + room])
+            self.least[c + room] = top[0] if top else self.none
+
+    def add(self, b: int, held: set[int], room: int) -> None:
+        self.state[b] = self.state.get(b, 0) + 1
+        for c in held:
+            heappush(self.by_size.setdefault(c, []), (-c - room, b, self.state[b]))
+            heappush(self.by_reach.setdefault(c + room, []), (c, b, self.state[b]))
+        self._renew(held, room)
+
+    def remove(self, b: int, held: set[int], room: int) -> None:
+        self.state[b] += 1
+        self._renew(held, room)
+
+    def exchange(self, offers: np.ndarray, room: int) -> tuple[int, int, int] | None:
+        """(offer, size taken back, other bin) of the exchange that leaves the least room in one of the two bins, or none.
+
+        For an offer ``s`` of a bin that admits up to ``v = s + room`` in its place, the exchange makes the
+        fuller bin fuller where ``c < s <= u < v`` (the other bin gains) or ``s < c <= v < u`` (this one does).
+        """
+        best = None
+        step = max(1, 1_000_000 // len(offers))
+        for near in range(0, room, step):  # new rooms in growing order, so the first that is found is the best
+            left = np.arange(near, min(room, near + step))
+            gains = self.least[offers[:, None] + left] < offers[:, None]
+            keeps = self.most[offers[:, None] + room - left] > offers[:, None] + room
+            found = np.flatnonzero((gains | keeps).any(axis=0))
+            if len(found):
+                k = int(found[0])
+                at = int(np.flatnonzero(gains[:, k] | keeps[:, k])[-1])
+                s = int(offers[at])
+                if gains[at, k]:
+                    c, b, _ = self._top(self.by_reach[s + near + k])
+                else:
+                    c = s + room - near - k
+                    _, b, _ = self._top(self.by_size[c])
+                best = s, c, b
+                break
+        return best
+
+
 def swap_search(bins: list[list[int]], sizes: list[int], capacity: int) -> list[list[int]]:
-    """Improve the emptiest of ``bins``: each exchange makes the fuller bin of two fuller still.
+    """Improve ``bins`` until no exchange between any two of them makes the fuller one fuller still.
 
-    The emptiest bin gives to the others: an item moves where it fits; one of its items goes for a
-    smaller one, or two of its items for one that is smaller than both together, the best use of the
-    room first. Fills differ by whole tokens and their squares only grow, so the search ends.
+    An exchange gives one item or two and takes back one or none; any bin with room takes part, with all
+    of its items, and what leaves the least room goes first. Fills differ by whole tokens and their squares only grow,
+    so the search ends: with a pass over all bins that finds nothing.
     """
-    fill = [sum(sizes[i] for i in b) for b in bins]
-    open_bins = sorted((b for b in range(len(bins)) if fill[b] < capacity), key=lambda b: fill[b])[:SEARCH_BINS]
-    for _ in range(SEARCH_ROUNDS):
-        open_bins = sorted((b for b in open_bins if bins[b] and fill[b] < capacity), key=lambda b: (fill[b], b))
+    held = {n: b for n, b in enumerate(bins) if sum(sizes[i] for i in b) < capacity}
+    rooms = {n: capacity - sum(sizes[i] for i in b) for n, b in held.items()}
+    index = _Rooms(capacity)
+    kinds = lambda n: {0, *(sizes[i] for i in held[n])}
+    for n in held:
+        index.add(n, kinds(n), rooms[n])
+    done = {n: b for n, b in enumerate(bins) if n not in held}
+    changed = True
+    while changed:
         changed = False
-        for giver in open_bins[:-1]:
-            for taker in reversed(open_bins):
-                room = capacity - fill[taker]
-                if taker == giver or not room or fill[taker] < fill[giver] or not bins[giver]:
-                    continue
-                best = _exchange(bins[giver], bins[taker], sizes, room)
-                if best:
-                    gain, give, take = best
-                    bins[giver] = [i for i in bins[giver] if i not in give] + ([take] if take is not None else [])
-                    bins[taker] = [i for i in bins[taker] if i != take] + list(give)
-                    fill[giver] -= gain
-                    fill[taker] += gain
-                    changed = True
-            if changed:
-                break
-        if not changed:
-            break
-    return [b for b in bins if b]
-
-
-def _exchange(giver: list[int], taker: list[int], sizes: list[int], room: int) -> tuple[int, set[int], int | None] | None:
-    """The exchange that uses most of ``room``: (tokens gained by the taker, items given, item taken back)."""
-    best: tuple[int, set[int], int | None] | None = None
-    back = sorted((sizes[j], j) for j in taker)
-    offers = [(sizes[i], {i}) for i in giver] + [(sizes[i] + sizes[j], {i, j}) for n, i in enumerate(giver[:48]) for j in giver[n + 1 : 48]]
-    for size, give in offers:
-        if size <= room and (best is None or size > best[0]):
-            best = (size, give, None)
-        at = bisect_left(back, (size - room, -1))  # the smallest item that makes room enough
-        if at < len(back) and 0 < (gain := size - back[at][0]) <= room and (best is None or gain > best[0]):
-            best = (gain, give, back[at][1])
-    return best
+        for n in sorted(held, key=lambda n: (-rooms[n], n)):
+            if n not in held:
+                continue
+            index.remove(n, kinds(n), rooms[n])
+            while held[n] and rooms[n] and (found := index.exchange(_offers([sizes[i] for i in held[n]]), rooms[n])):
+                s, c, other = found
+                index.remove(other, kinds(other), rooms[other])
+                give = _items(held[n], sizes, s)
+                take = _items(held[other], sizes, c)
+                held[n] = [i for i in held[n] if i not in give] + take
+                held[other] = [i for i in held[other] if i not in take] + give
+                rooms[n] += s - c
+                rooms[other] -= s - c
+                changed = True
+                if held[other] and rooms[other]:
+                    index.add(other, kinds(other), rooms[other])
+                else:
+                    done[other] = held.pop(other)
+            if held[n] and rooms[n]:
+                index.add(n, kinds(n), rooms[n])
+            else:
+                done[n] = held.pop(n)
+    return [b for _, b in sorted((done | held).items()) if b]
+
+
+def _offers(sizes: list[int]) -> np.ndarray:
+    """All sums of none, one or two of ``sizes``."""
+    own = np.unique(sizes)
+    twice = [s for s, n in Counter(sizes).items() if n > 1]
+    pairs = (own[:, None] + own)[np.triu_indices(len(own), 1)]
+    return np.unique(np.concatenate([[0], own, pairs, np.array(twice, np.int64) * 2]))
+
+
+def _items(held: list[int], sizes: list[int], size: int) -> list[int]:
+    """None, one or two of the items ``held`` that come to ``size``."""
+    if not size:
+        return []
+    of: dict[int, int] = {}
+    for i in held:
+        if sizes[i] == size:
+            return [i]
+    for i in held:
+        if size - sizes[i] in of:
+            return [of[size - sizes[i]], i]
+        of[sizes[i]] = i
+    raise ValueError(size)
 
 
 def _round(items: DataFrame, capacity: int, number: int, groups: int) -> DataFrame:

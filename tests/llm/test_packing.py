@@ -43,3 +43,33 @@ def test_exchanges_empty_a_bin():
     sizes = [60, 60, 50, 50, 40, 40]
     bins = P.swap_search([[0], [1], [2, 4], [3, 5]], sizes, 100)
     assert len(bins) == 3 and sorted(i for b in bins for i in b) == list(range(6))
+
+
+def improvable(bins, sizes, capacity):
+    """Whether giving one item or two for one or none makes the fuller bin of any two fuller still, tried out pair by pair."""
+    fills = [sum(sizes[i] for i in b) for b in bins]
+    given = [{0, *(sizes[i] for i in b), *(sizes[i] + sizes[j] for i in b for j in b if i < j)} for b in bins]
+    back = [{0, *(sizes[i] for i in b)} for b in bins]
+    return any(
+        max(fills[x], fills[y]) < max(fills[x] - s + c, fills[y] + s - c) <= capacity
+        for x in range(len(bins)) for y in range(len(bins)) if x != y for s in given[x] for c in back[y]
+    )
+
+
+def test_search_ends_where_no_exchange_of_any_two_bins_helps():
+    rng = random.Random(3)
+    for sizes in ([rng.randint(300, 900) for _ in range(600)], [rng.randint(500, 1000) for _ in range(400)], [rng.randint(1, 60) for _ in range(900)] + [1500] * 30):
+        first = P.best_fit(sizes, 2048)
+        bins = P.swap_search([list(b) for b in first], sizes, 2048)
+        assert sorted(i for b in bins for i in b) == list(range(len(sizes)))
+        assert max(sum(sizes[i] for i in b) for b in bins) <= 2048 and len(bins) <= len(first)
+        assert not improvable(bins, sizes, 2048)
+    sizes = [10] * 58 + [13, 14, 1973]  # only the last two items of the first bin fill the other
+    assert [1973, 13, 14] in [[sizes[i] for i in b] for b in P.swap_search([[*range(60)], [60]], sizes, 2000)]
+
+
+def test_room_in_many_bins_saves_containers():
+    rng = random.Random(1)
+    sizes = [rng.randint(300, 900) for _ in range(2000)]
+    first = P.best_fit(sizes, 2048)
+    assert len(first) == 609 and len(P.swap_search(first, sizes, 2048)) <= 600  # 592 is a lower bound
