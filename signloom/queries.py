@@ -487,6 +487,10 @@ def fewshot_prompts(spark: SparkSession, root: str) -> DataFrame:
     return own.select("id", prompts.prompt("把句子譯成手語詞序。", F.col("chinese"), examples=prompts.exemplars(_POOL, F.col("id"))).alias("prompt"))
 
 
+# The limit of a training row in the reference; ``mask_labels`` cuts at 48, as its SQL does.
+MAX_LEN = 512
+
+
 def _codes(column: str):
     return F.transform(F.split(F.coalesce(column, F.lit("")), ""), lambda c: F.ascii(c))
 
@@ -498,6 +502,13 @@ def mask_labels(spark: SparkSession, root: str) -> DataFrame:
     return own.select("_ord", arrays.masked_labels(_codes("chinese"), F.transform(F.split(F.concat("chinese", "ref"), ""), lambda c: F.ascii(c)), 48).alias("labels"))
 
 
+@query("""with c as (select _ord, list_transform(string_split(coalesce(chinese, ''), ''), lambda x: unicode(x)) as p, list_transform(string_split(coalesce(chinese, '') || coalesce(ref, ''), ''), lambda x: unicode(x)) as w from finetuned_e4b_ep2_test where chinese <> '' and ref <> '')
+select _ord, list_concat(list_transform(range(0, len(p)), lambda i: -100), w[len(p) + 1 :])[1:512] as labels from c""")
+def mask_labels_512(spark: SparkSession, root: str) -> DataFrame:
+    own = table(spark, root, "finetuned_e4b_ep2_test").filter("chinese <> '' and ref <> ''")
+    return own.select("_ord", arrays.masked_labels(_codes("chinese"), F.transform(F.split(F.concat("chinese", "ref"), ""), lambda c: F.ascii(c)), MAX_LEN).alias("labels"))
+
+
 @query("""with c as (select _ord, _ord // 8 as batch, list_transform(string_split(chinese, ''), lambda x: unicode(x)) as ids from finetuned_e4b_ep2_test where chinese <> ''), m as (select *, max(len(ids)) over (partition by batch) as longest from c)
 select _ord, list_concat(ids, list_transform(range(0, longest - len(ids)), lambda i: 0)) as ids, list_concat(list_transform(ids, lambda i: 1), list_transform(range(0, longest - len(ids)), lambda i: 0)) as mask from m""")
 def pad_batch(spark: SparkSession, root: str) -> DataFrame:
