@@ -35,6 +35,14 @@ RADICALS = dict(zip("⻁⻄⻅⻆⻉⻋⻑⻓⻔⻘⻙⻚⻛⻜⻝⻢⻣⻤⻥
 # Characters without a glyph.
 INVISIBLE = "\u00ad\u034f\u061c\u115f\u1160\u17b4\u17b5\u180b\u180c\u180d\u180e\u200b\u200c\u200d\u200e\u200f\u202a\u202b\u202c\u202d\u202e\u2060\u2061\u2062\u2063\u2064\u2066\u2067\u2068\u2069\u206a\u206b\u206c\u206d\u206e\u206f\u3164\ufeff\uffa0"
 SELECTORS = [*range(0xFE00, 0xFE10), *range(0xE0100, 0xE01F0)]
+# By rule: ligatures and digraphs of Latin letters in one code point, and the letters they read as.
+LIGATURES = {
+    chr(cp): letters
+    for cp in [*range(0x100, 0x250), *range(0xFB00, 0xFB07)]
+    if unicodedata.decomposition(chr(cp)).startswith("<compat>")
+    and len(letters := unicodedata.normalize("NFKC", chr(cp))) > 1
+    and all("LATIN" in unicodedata.name(x) for x in letters)
+}
 ZWJ, EMOJI_STYLE = "\u200d", ("\ufe0e", "\ufe0f")
 EMOJI_CLASS = r"[\x{203C}\x{2049}\x{2122}\x{2139}\x{2190}-\x{2BFF}\x{3030}\x{303D}\x{3297}\x{3299}\x{1F000}-\x{1FAFF}]"
 
@@ -42,8 +50,8 @@ EMOJI_CLASS = r"[\x{203C}\x{2049}\x{2122}\x{2139}\x{2190}-\x{2BFF}\x{3030}\x{303
 # The ranges whose code points are house form whatever stands beside them. Others call for a look.
 HOUSE_CLASS = (
     r"\x{4E00}-\x{9FFF}\x{3400}-\x{4DBF}\x{3001}-\x{301C}，。？！：；（）＿\t-\r *+\-./0-9<=>@-\^`-~"
-    r"\x22-\x27\x{A1}-\x{AC}\x{AE}-\x{24F}\x{1E00}-\x{1EFF}\x{3041}-\x{3096}\x{309D}\x{309E}\x{30A1}-\x{30FE}"
-    r"\x{2010}-\x{2027}\x{2190}-\x{2214}\x{2216}-\x{29F7}\x{29F9}-\x{2BFF}\x{1F000}-\x{1FAFF}\x{AC00}-\x{D7A3}"
+    r"\x22-\x27\x{A1}-\x{AC}\x{AE}-\x{131}\x{134}-\x{1C3}\x{1CD}-\x{1F0}\x{1F4}-\x{24F}\x{1E00}-\x{1EFF}\x{3041}-\x{3096}\x{309D}\x{309E}\x{30A1}-\x{30FE}"
+    r"\x{2010}\x{2012}-\x{2027}\x{2190}-\x{2214}\x{2216}-\x{2328}\x{232B}-\x{29F7}\x{29F9}-\x{2ADB}\x{2ADD}-\x{2BFF}\x{1F000}-\x{1FAFF}\x{AC00}-\x{D7A3}"
 )
 #: A low line that is no part of a variant suffix such as ``_A`` or ``_c2``.
 BLANK_LINE = r"_(?![A-Za-z]{1,2}[0-9]?(?:\+\+)?\s*(?:[/／⁄∕]|$))"
@@ -74,6 +82,9 @@ def _tables() -> tuple[list, list]:
         elif how.split(">")[0] in ("<wide", "<narrow", "<font", "<noBreak") or 0x2E80 <= cp < 0x2FE0:
             out = unicodedata.normalize("NFKC", ch)
             maps[ch] = FULL_MARKS.get(out, unicodedata.normalize("NFD", out))
+        elif how.split(">")[0] in ("<small", "<vertical"):
+            out = "".join(chr(int(x, 16)) for x in how.split()[1:])
+            maps[ch] = FULL_MARKS.get(out, out)
     maps |= RADICALS | dict.fromkeys([*INVISIBLE, *map(chr, SELECTORS)], "") | {a: b for a, b in FULL_MARKS.items() if a != "_"}
     every = {*maps, *LOOK_ALIKE, *map(chr, range(0x300, 0x370))} | {c for v in maps.values() for c in v}
     rows = [
@@ -134,7 +145,10 @@ def rebuild(dirty: DataFrame, keys: Sequence[str], text: str, out: str) -> DataF
     composed = F.broadcast(spark.createDataFrame(compose, "__whole string, __one string"))
     letter = r"\p{IsLatin}\p{IsGreek}\p{IsCyrillic}"
     unseen = r"\p{M}\x{AD}\x{200B}-\x{200F}\x{2060}\x{FEFF}"
-    words = F.regexp_extract_all(F.col(text), F.lit(f"[{letter}][{letter}{unseen}]*|[^{letter}]+"), F.lit(0))
+    spelled = F.col(text)
+    for one, letters in LIGATURES.items():  # before the cut into bases with their marks: a mark stands on the last letter
+        spelled = F.replace(spelled, F.lit(one), F.lit(letters))
+    words = F.regexp_extract_all(spelled, F.lit(f"[{letter}][{letter}{unseen}]*|[^{letter}]+"), F.lit(0))
     # a stretch that is house form whatever stands beside it travels as one piece
     clusters = F.regexp_extract_all(F.col("__run"), F.lit(f"(?:[{HOUSE_CLASS}](?![{unseen}]))+|(?s:.)[{unseen}]*"), F.lit(0))
     pieces = F.when(F.col("__cluster").rlike(f"^[{HOUSE_CLASS}]+$"), F.array("__cluster")).otherwise(F.split("__cluster", ""))

@@ -56,3 +56,22 @@ def test_bare_forms(spark):
     df = spark.createDataFrame([("Ａ，B c。", "甲 / /乙_A/")], "t string, g string")
     r = df.select(H.bare(F.col("t")).alias("t"), H.bare_glosses(F.col("g")).alias("g")).first()
     assert (r["t"], r["g"]) == ("ａbc", "甲/乙a")
+
+
+def test_hyphens_ligatures_small_and_vertical_marks(spark):
+    cases = [
+        ("甲‑乙", "甲‐乙"), ("ﬁlm", "film"), ("ﬃ", "ffi"), ("ﬆ", "st"), ("ﬁ́", "fí"), ("Ĳssel", "IJssel"), ("ǆ", "dž"),
+        ("好﹐嗎﹖", "好，嗎？"), ("﹙甲﹚﹑乙﹔", "（甲）、乙；"), ("﹣﹪", "-%"), ("你好︒", "你好。"), ("︐︙︵﹁甲﹂︶", "，…（「甲」）"), ("\u2329甲\u232a", "〈甲〉"), ("甲‐乙…", "甲‐乙…"),
+    ]
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "id int, text string")
+    assert [r["house"] for r in sorted(H.house_form(df, ["id"], "text").collect())] == [want for _, want in cases]
+    assert {r["id"] for r in H.disguised(df, "id", ["text"]).collect()} == {i for i, (t, want) in enumerate(cases) if t != want}
+
+
+def test_every_character_with_another_form_is_looked_at(spark):
+    written = {}
+    for ch, piece, *_ in H._tables()[0]:
+        written[ch] = written.get(ch, "") + piece
+    other = [ch for ch, out in (written | H.LIGATURES).items() if unicodedata.normalize("NFC", out) != ch]
+    df = spark.createDataFrame([(ch,) for ch in other], "t string")
+    assert [r["t"] for r in df.filter(~H.needs_rebuild(F.col("t"))).collect()] == []
