@@ -18,6 +18,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from signloom.functions.text import parse_prediction
 from signloom.llm.house_form import INVISIBLE, LOOK_ALIKE
 from signloom.plans.durable import cut
 
@@ -144,11 +145,12 @@ def label(raw: str | None, prompt: str | None, ref: str | None, names: frozenset
     return None, None if whole else tail
 
 
-def defects(df: DataFrame, key: str, prompt: str, ref: str, raw: str, master: DataFrame, surface: str = "surface", aliases: str = "aliases") -> DataFrame:
+def defects(df: DataFrame, key: str, prompt: str, ref: str, raw: str, master: DataFrame, surface: str = "surface", aliases: str = "aliases", pred: str | None = None) -> DataFrame:
     """Rows ``id, defect`` of the defective answers, one type each: empty, copy, refusal, other_language or truncated.
 
     A null or blank answer is empty. A null prompt is copied by nothing, a null reference tells no
-    token. Repeated rows come out once; null keys are kept. Extra columns are not read.
+    token. Where ``pred``, what was kept of the answer, isn't what the parser makes of it, a sound answer is
+    judged by that too. Repeated rows come out once; null keys are kept. Extra columns are not read.
     """
     every = master.select(F.explode(F.concat(F.array(surface), F.coalesce(aliases, F.array().cast("array<string>")))).alias("name")).filter("name <> ''").distinct()
     listed = every.limit(NAMES_BOUND + 1).collect()
@@ -159,16 +161,22 @@ def defects(df: DataFrame, key: str, prompt: str, ref: str, raw: str, master: Da
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = shared.value
         for batch in batches:
-            found = [label(r, p, f, names) for p, f, r in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([d for d, _ in found], pa.string()), pa.array([t for _, t in found], pa.string())], names=["id", "defect", "tail"])
+            found = []
+            for p, f, r, k, other in zip(*(batch.column(i).to_pylist() for i in range(1, 6)), strict=True):
+                first = label(r, p, f, names)
+                found.append((*first, *(label(k, p, f, names) if other and not first[0] else (None, None))))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.string()) for c in ([x[i] for x in found] for i in range(4)))], names=["id", "defect", "tail", "kept_defect", "kept_tail"])
 
     own = df.select(F.col(key).alias("id"), F.col(prompt).alias("prompt"), F.col(ref).alias("ref"), F.col(raw).alias("raw"))
-    labelled = cut(own.mapInArrow(run, "id string, defect string, tail string").filter("defect is not null or tail is not null").distinct())
-    tails = labelled.filter("tail is not null").select("tail").distinct()
+    kept = F.lit(None).cast("string") if pred is None else F.col(pred)
+    other = F.lit(False) if pred is None else ~F.coalesce(kept, F.lit("")).eqNullSafe(parse_prediction(raw))
+    judged = df.select(F.col(key).alias("id"), F.col(prompt).alias("prompt"), F.col(ref).alias("ref"), F.col(raw).alias("raw"), kept.alias("kept"), other.alias("other"))
+    labelled = cut(judged.mapInArrow(run, "id string, defect string, tail string, kept_defect string, kept_tail string").filter("coalesce(defect, tail, kept_defect, kept_tail) is not null").distinct())
+    tails = labelled.select(F.explode(F.array("tail", "kept_tail")).alias("tail")).filter("tail is not null").distinct()
     tokens = own.select(F.explode(F.split("ref", "[/／]")).alias("token")).select(F.trim("token").alias("token")).filter("token <> ''").groupBy("token").agg(F.count(F.lit(1)).alias("n"))
     tokens = tokens.unionByName(every.select(F.col("name").alias("token"), F.lit(1).cast("long").alias("n")))
     begun = tokens.select(F.explode(F.expr("transform(sequence(1, length(token)), i -> substring(token, 1, i))")).alias("tail"), "token", "n")
     model = begun.join(tails, "tail", "left_semi").groupBy("tail").agg(F.sum(F.when(F.col("tail") == F.col("token"), F.col("n")).otherwise(0)).alias("whole"), F.sum("n").alias("n"))
-    broken = model.filter(F.col("whole") < WHOLE_SHARE * F.col("n")).select("tail")
-    cut_off = labelled.filter("tail is not null").join(broken, "tail").select("id", F.lit("truncated").alias("defect"))
-    return labelled.filter("defect is not null").select("id", "defect").unionByName(cut_off).distinct()
+    broken = cut(model.filter(F.col("whole") < WHOLE_SHARE * F.col("n")).select("tail"))
+    ends = labelled.join(broken.withColumn("cut", F.lit("truncated")), "tail", "left").join(broken.select(F.col("tail").alias("kept_tail"), F.lit("truncated").alias("kept_cut")), "kept_tail", "left")
+    return ends.select("id", F.coalesce("defect", "cut", "kept_defect", "kept_cut").alias("defect")).filter("defect is not null").distinct()

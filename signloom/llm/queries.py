@@ -126,7 +126,7 @@ def p10_kept(spark: SparkSession, root: str) -> DataFrame:
 
 @query
 def p4_found(spark: SparkSession, root: str) -> DataFrame:
-    return answers.defects(table(spark, root, "finetuned_e4b_ep2_test"), "id", "chinese", "ref", "raw", table(spark, root, "gloss_master"))
+    return answers.defects(table(spark, root, "finetuned_e4b_ep2_test"), "id", "chinese", "ref", "raw", table(spark, root, "gloss_master"), pred="pred")
 
 _UNIT = r"nullif(lower(regexp_replace({}, '^[\s\x{{85}}\x{{a0}}\x{{3000}}]+|[\s\x{{85}}\x{{a0}}\x{{3000}}]+$', '', 'g')), '')"
 ORACLES["p6_found"] = f"""

@@ -42,3 +42,11 @@ def test_nulls_long_and_none(spark, master, rows):
 def test_a_prompt_is_a_good_dictionary_for_its_copy():
     other = "星期六傍晚他們去沙丘溪口觀察烏龜和石頭，然後回家。"
     assert A.compressed_share(PROMPT, PROMPT) < 0.35 < 0.8 < A.compressed_share(other, PROMPT)
+
+
+def test_what_was_kept_of_a_sound_answer_is_judged_too(spark, master, rows):
+    sound = "昨天/圖書館/借"
+    data = [("a", sound, sound), ("b", sound, ""), ("c", sound, None), ("d", sound, "昨天/圖書館/"), ("e", sound, "昨天/沙丘溪"), ("f", sound, PROMPT), ("g", sound, "昨天/借"), ("h", "昨天/圖書館/", ""), ("i", f"Gloss：{sound}。", sound), ("j", "昨天/沙丘溪", "")]
+    df = spark.createDataFrame([(i, PROMPT, "昨天/沙丘溪口/我", raw, pred) for i, raw, pred in data], "id string, chinese string, ref string, raw string, pred string")
+    got = rows(A.defects(df, "id", "chinese", "ref", "raw", master, pred="pred"))
+    assert got == [("b", "empty"), ("c", "empty"), ("d", "truncated"), ("e", "truncated"), ("f", "copy"), ("h", "truncated"), ("j", "truncated")]
