@@ -9,7 +9,7 @@ record is decided from its passages.
 
 from __future__ import annotations
 
-from collections import Counter
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,12 +19,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from signloom.plans.durable import cut, release
+
 FIT_DOCUMENTS = 20_000
 FEATURE_BITS = 18
 NOTHING = 2**FEATURE_BITS
 EM_ROUNDS = 8
 SETTLED = 0.01
+#: Records, and their share of all, that make a passage reliably content: the greater counts.
 RECURS = 8
+RECURS_SHARE = 0.0004
+#: Passages of each kind that are fitted for a document of the bound.
+FIT_PASSAGES = 2
+SUMS = ("trusted", "n", "beside", "usual")
 SMOOTHING = 0.03
 
 # Ways in which template languages and authors write a place to be filled.
@@ -46,7 +53,9 @@ SEEDS = (
 )
 SLOT = regex.compile("|".join(SLOTS))
 EXPLAIN = regex.compile(EXPLAINS)
-SEED = regex.compile(SEEDS)
+# Passages are lower case: the same without regard to case, in a quarter of the time, once the letters whose lower case is two are one.
+SEED = re.compile(SEEDS.removeprefix("(?i)"))
+FOLDED = str.maketrans("ſς", "sσ")
 BREAK = regex.compile(r"[\r\n\x0b\x0c\x85\u2028\u2029]+|(?<=[。！？｡!?])|(?<=\.)(?:\s+|(?=\p{Han}))|\s{2,}")
 MARK = "\x02"
 NUMBER = regex.compile(r"\d+")
@@ -112,53 +121,88 @@ def expectation_maximisation(rows: list[str], times: np.ndarray, state: np.ndarr
     return odds
 
 
-def fit(texts: list[str]) -> np.ndarray:
-    """Two models, of passages and of what stands around placeholders (2 x features).
+def count(texts: list[str]) -> dict[tuple[bool, str], list[float]]:
+    """By (whether it stands around a placeholder, passage but for its numbers): how often it is trusted, how often not, known wording beside it, records where it is usual.
 
-    Passages of records that known wordings make up are trusted residue. A passage that recurs, but for
-    its numbers, in ``RECURS`` records of some length nearly free of them is reliably content. The others
-    are unlabelled. A placeholder counts as unfilled unless something near explains it.
+    Passages of records that known wordings make up are trusted residue. Usual is a passage in a record of some
+    length nearly free of them. A placeholder counts as unfilled, which is trusted, unless something near explains it.
     """
-    counts: Counter[tuple[str, bool]] = Counter()
-    usual: Counter[str] = Counter()
-    slots: Counter[tuple[str, int]] = Counter()
-    company: Counter[tuple[str, bool]] = Counter()
+    found: dict[tuple[bool, str], list[float]] = {}
     known: dict[str, bool] = {}
     for text in texts:
         parts, around = passages(text)
         plain = [NUMBER.sub("0", p) for p in parts]
         for p, q in zip(parts, plain, strict=True):
             if q not in known:
-                known[q] = len(p) < 160 and SEED.search(p) is not None
+                known[q] = len(p) < 160 and SEED.search(p.translate(FOLDED) if not p.isascii() else p) is not None
         hits = [known[q] for q in plain]
         residue = len(parts) <= 24 and sum(hits) * 2 >= len(parts)
+        beside = sum(hits) / len(parts) if parts and sum(hits) * 3 >= len(parts) else 0
         for p, h in zip(plain, hits, strict=True):
-            counts[p, h and residue] += 1
-            company[p, h and residue] += sum(hits) / len(parts) if sum(hits) * 3 >= len(parts) else 0
+            of = found.setdefault((False, p), [0, 0, 0, 0])
+            if h and residue:
+                of[0] += 1
+            else:
+                of[1] += 1
+                of[2] += beside
         if len(parts) >= 4 and sum(hits) * 5 <= len(parts):
-            usual.update({p for p, h in zip(plain, hits, strict=True) if not h})
-        slots.update((w, -1 if EXPLAIN.search(w) else 1) for w in around)
-    labelled = {(p, 1 if trusted else -1 if usual[p] >= RECURS else 0): n for (p, trusted), n in counts.items()}
+            for p in {p for p, h in zip(plain, hits, strict=True) if not h}:
+                found[False, p][3] += 1
+        for w in around:
+            found.setdefault((True, w), [0, 0, 0, 0])[1 if EXPLAIN.search(w) else 0] += 1
+    return found
+
+
+def fit(rows: list[tuple[bool, str, float, float, float, float]], recurs: float) -> np.ndarray:
+    """Two models, of passages and of what stands around placeholders (2 x features), from the sums of ``count``.
+
+    A passage that is usual in ``recurs`` records is reliably content, an explained placeholder as well;
+    others that aren't trusted are unlabelled.
+    """
     models = []
-    for c in (labelled, slots):
-        times, state = np.array(list(c.values()), float), np.array([t for _, t in c], int)
-        first = np.array([company[p, False] for p, _ in c]) / times  # how much known wording stands beside a passage
-        models.append(expectation_maximisation([p for p, _ in c], times, state, first) if c else np.zeros(NOTHING + 1, "<f4"))
+    for slot in (False, True):
+        own = sorted(r[1:] for r in rows if r[0] == slot)
+        c = [(p, trusted, 1, 0.0) for p, trusted, _, _, _ in own if trusted]
+        c += [(p, n, -1 if slot or usual >= recurs else 0, beside) for p, _, n, beside, usual in own if n]
+        times, state = np.array([n for _, n, _, _ in c], float), np.array([t for _, _, t, _ in c], int)
+        first = np.array([beside for _, _, _, beside in c]) / times  # how much known wording stands beside a passage
+        models.append(expectation_maximisation([p for p, _, _, _ in c], times, state, first) if c else np.zeros(NOTHING + 1, "<f4"))
     return np.stack(models)
 
 
-def _fit_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    texts = [t for b in batches for t in b.column(0).to_pylist()]
-    yield pa.RecordBatch.from_arrays([pa.array([fit(texts).tobytes()], pa.binary())], names=["model"])
+def _count_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found = count(batch.column(0).to_pylist())
+        columns = [pa.array([s for s, _ in found], pa.bool_()), pa.array([p for _, p in found], pa.string())]
+        yield pa.RecordBatch.from_arrays(columns + [pa.array([float(v[i]) for v in found.values()], pa.float64()) for i in range(4)], names=["slot", "passage", *SUMS])
 
 
 def learn(df: DataFrame, key: str, text: str, most: int = FIT_DOCUMENTS) -> bytes:
-    """The model, fitted in one task on some ``most`` documents, at most twice as many, chosen by hash."""
+    """The model. Passages are counted over all documents; some of them, by hash, are fitted in one task.
+
+    Of passages with trusted places or known wording beside them, of others that stand ``RECURS`` times and of
+    the rest, about ``most`` times ``FIT_PASSAGES`` each are fitted; those weigh for the ones left out.
+    """
     n = df.count()
-    rows = df.select(key, text).filter(F.col(text).isNotNull())
-    if n > most:  # equal rows share a hash, so the limit holds the bound even then
-        rows = rows.filter(F.pmod(F.xxhash64(key, text), F.lit(1_000_000)) < int(1_000_000 * most / n)).limit(2 * most)
-    found = rows.select(text).repartition(1).mapInArrow(_fit_task, "model binary").collect()
+    texts = df.select(text).filter(F.col(text).isNotNull())
+    parts = texts.mapInArrow(_count_task, "slot boolean, passage string, " + ", ".join(f"{c} double" for c in SUMS))
+    kind = F.when(F.col("slot"), 0).when((F.col("trusted") > 0) | (F.col("beside") > 0), 1).when(F.col("n") >= RECURS, 2).otherwise(3)
+    counted = cut(parts.groupBy("slot", "passage").agg(*[F.sum(c).alias(c) for c in SUMS]).withColumn("kind", kind))
+    rates = {r["kind"]: min(1.0, most * FIT_PASSAGES / r["count"]) for r in counted.groupBy("kind").count().collect()}
+    if not rates:
+        return bytes(8 * (NOTHING + 1))
+    rate = F.element_at(F.create_map(*[F.lit(x) for kv in rates.items() for x in kv]), F.col("kind"))
+    some = counted.withColumn("rate", rate).filter(F.pmod(F.xxhash64("passage"), F.lit(1_000_000)) < F.col("rate") * 1_000_000)
+    scale = min(1.0, FIT_DOCUMENTS / max(n, 1))  # SMOOTHING is meant for counts of that many
+    weighed = some.select("slot", "passage", *[(F.col(c) * scale / F.col("rate")).alias(c) for c in SUMS[:3]], "usual")
+    recurs = max(RECURS, RECURS_SHARE * n)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+        yield pa.RecordBatch.from_arrays([pa.array([fit(rows, recurs).tobytes()], pa.binary())], names=["model"])
+
+    found = weighed.repartition(1).mapInArrow(run, "model binary").collect()
+    release(counted)
     return bytes(found[0]["model"]) if found else bytes(8 * (NOTHING + 1))
 
 

@@ -51,3 +51,20 @@ def test_edges(spark, rows):
     got = rows(R.judge(df, "doc_id", "text").select("doc_id", "is_residue", "kind"))
     assert got == sorted([(1, False, None), (2, False, None), (3, False, None), (4, False, None), (4, False, None), (None, True, "placeholder"), (5, False, None), (6, False, None)], key=repr)
     assert R.judge(df.limit(0), "doc_id", "text").count() == 0
+
+
+def test_passages_are_counted_in_parts_as_in_one(spark, corpus):
+    texts = [t for t, _ in corpus] * 3
+    whole = R.count(texts)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    counted = df.select("text").repartition(7).mapInArrow(R._count_task, "slot boolean, passage string, trusted double, n double, beside double, usual double")
+    sums = counted.groupBy("slot", "passage").sum("trusted", "n", "usual").collect()
+    assert {(r[0], r[1]): tuple(r)[2:] for r in sums} == {k: (v[0], v[1], v[3]) for k, v in whole.items()}
+
+
+def test_rare_residue_of_no_known_wording_is_fitted_whatever_the_bound(spark):
+    rng = random.Random(4)
+    docs = ["\n".join(content(rng, 6)) for _ in range(1500)] + ["Internal server error\nwidget gizmo stalled"] * 4
+    df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    model = R.np.frombuffer(R.learn(df, "doc_id", "text", most=20), "<f4").reshape(2, -1)
+    assert R._scores(model[0], ["widget gizmo stalled"])[0] > 0
