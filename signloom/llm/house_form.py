@@ -13,11 +13,12 @@ few thousand rows whatever the data, so broadcasting them is bounded.
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
 from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Look-alike letters of Greek and Cyrillic, and the Latin letters they read as.
 LOOK_ALIKE = dict(
@@ -101,29 +102,27 @@ def needs_rebuild(text: Column) -> Column:
 
 
 def house_form(df: DataFrame, keys: Sequence[str], text: str, out: str = "house") -> DataFrame:
-    """Rows ``keys, text, out``: each text with its house form.
+    """Rows ``keys, text, out``: each row's text with its house form.
 
-    Nulls: a null text has a null house form; null keys are kept. Empty texts stay empty. Rebuilt rows
-    that repeat keys and text come out once. Columns besides ``keys`` and ``text`` are left out, so
+    Nulls: a null text has a null house form; null keys are kept. Empty texts stay empty. Repeated
+    rows come out as often as they go in. Columns besides ``keys`` and ``text`` are left out, so
     their names cannot clash. Very long texts are exploded like others.
     """
     return house_columns(df.select(*keys, text), {text: out})
 
 
 def house_columns(df: DataFrame, outs: dict[str, str]) -> DataFrame:
-    """``df`` with the house form of each text column of ``outs`` under its new name.
+    """``df`` with the house form of each text column of ``outs`` under its new name; every row comes out once.
 
-    Rows without a code point to look at pass straight through; of the others, equal rows come out
-    once. Null texts have a null house form.
+    Rows without a code point to look at pass straight through. Null texts have a null house form.
     """
-    look = F.greatest(*[F.coalesce(needs_rebuild(F.col(c)), F.lit(False)) for c in outs], F.lit(False))
+    look = _looked_at(outs)
     clean = df.filter(~look).withColumns({o: F.col(c) for c, o in outs.items()})
-    dirty = df.filter(look).dropDuplicates()
-    fields = F.array(*[F.struct(F.lit(o).alias("f"), F.col(c).alias("t")) for c, o in outs.items()])
-    long = dirty.withColumn("__x", F.explode(fields)).select("*", F.col("__x.f").alias("__field"), F.col("__x.t").alias("__text")).drop("__x")
-    back = rebuild(long.filter("__text <> ''"), [*df.columns, "__field", "__text"], "__text", "__house")
-    whole = back.unionByName(long.filter("__text is null or __text = ''").withColumn("__house", F.col("__text")))
-    return clean.unionByName(whole.groupBy(*df.columns).agg(*[F.max(F.when(F.col("__field") == o, F.col("__house"))).alias(o) for o in outs.values()]))
+    return clean.unionByName(rebuilt(df.filter(look), outs))
+
+
+def _looked_at(columns: Iterable[str]) -> Column:
+    return F.greatest(*[F.coalesce(needs_rebuild(F.col(c)), F.lit(False)) for c in columns], F.lit(False))
 
 
 def bare(house: Column) -> Column:
@@ -137,28 +136,43 @@ def bare_glosses(house: Column) -> Column:
     return F.regexp_replace(slashed, "^/|/$", "")
 
 
-def rebuild(dirty: DataFrame, keys: Sequence[str], text: str, out: str) -> DataFrame:
-    """House form of the texts of ``dirty``, whose rows are distinct by ``keys`` (these include ``text``)."""
+def rebuilt(dirty: DataFrame, outs: dict[str, str]) -> DataFrame:
+    """``dirty`` with the house form of each text column of ``outs``, from the exploded pieces of the texts.
+
+    Rows are numbered; pieces carry the number only. The columns of a row travel once, with a piece of
+    their own, so a text of any length costs bytes in proportion.
+    """
     spark: SparkSession = dirty.sparkSession
     mapping, compose = _tables()
     maps = F.broadcast(spark.createDataFrame(mapping, "__ch string, __out string, __ccc int, __part int, __latin string"))
     composed = F.broadcast(spark.createDataFrame(compose, "__whole string, __one string"))
     letter = r"\p{IsLatin}\p{IsGreek}\p{IsCyrillic}"
     unseen = r"\p{M}\x{AD}\x{200B}-\x{200F}\x{2060}\x{FEFF}"
-    spelled = F.col(text)
-    for one, letters in LIGATURES.items():  # before the cut into bases with their marks: a mark stands on the last letter
-        spelled = F.replace(spelled, F.lit(one), F.lit(letters))
-    words = F.regexp_extract_all(spelled, F.lit(f"[{letter}][{letter}{unseen}]*|[^{letter}]+"), F.lit(0))
+
+    def words(column: str) -> Column:
+        spelled = F.col(column)
+        for one, letters in LIGATURES.items():  # before the cut into bases with their marks: a mark stands on the last letter
+            spelled = F.replace(spelled, F.lit(one), F.lit(letters))
+        return F.regexp_extract_all(spelled, F.lit(f"[{letter}][{letter}{unseen}]*|[^{letter}]+"), F.lit(0))
+
+    whole_row = F.struct(*[F.col(c) for c in dirty.columns])
+    nothing = F.lit(None).cast(T.StructType(dirty.schema.fields))
+    run = lambda f, text, row: F.struct(F.lit(f).alias("f"), text.alias("run"), row.alias("row"))
+    of_field = lambda f: lambda w: run(f, w, nothing)
+    runs = [F.array(run(-1, F.lit(None).cast("string"), whole_row))]
+    for f, column in enumerate(outs):
+        runs.append(F.when(needs_rebuild(F.col(column)), F.transform(words(column), of_field(f))).otherwise(F.array().cast(runs_type(dirty))))
     # a stretch that is house form whatever stands beside it travels as one piece
-    clusters = F.regexp_extract_all(F.col("__run"), F.lit(f"(?:[{HOUSE_CLASS}](?![{unseen}]))+|(?s:.)[{unseen}]*"), F.lit(0))
-    pieces = F.when(F.col("__cluster").rlike(f"^[{HOUSE_CLASS}]+$"), F.array("__cluster")).otherwise(F.split("__cluster", ""))
+    clusters = F.regexp_extract_all(F.col("x.run"), F.lit(f"(?:[{HOUSE_CLASS}](?![{unseen}]))+|(?s:.)[{unseen}]*"), F.lit(0))
+    with_next = F.arrays_zip(clusters.alias("c"), F.slice(clusters, 2, F.greatest(F.size(clusters), F.lit(1))).alias("n"))
+    no_text = F.array(F.struct(F.lit("").alias("c"), F.lit(None).cast("string").alias("n")))
+    pieces = F.when(F.col("y.c").rlike(f"^[{HOUSE_CLASS}]*$"), F.array("y.c")).otherwise(F.split("y.c", ""))
     points = (
-        dirty.select(*keys, F.posexplode(words).alias("__seg", "__run"))
-        .withColumn("__mixed", F.col("__run").rlike(r"\p{IsLatin}") & F.col("__run").rlike(r"[\p{IsGreek}\p{IsCyrillic}]"))
-        .withColumn("__clusters", clusters)
-        .select(*keys, "__seg", "__mixed", "__clusters", F.posexplode("__clusters").alias("__at", "__cluster"))
-        .withColumn("__next", F.get("__clusters", F.col("__at") + 1))
-        .select(*keys, "__seg", "__mixed", "__at", "__cluster", "__next", F.posexplode(pieces).alias("__k", "__ch"))
+        dirty.withColumn("__row", F.monotonically_increasing_id())  # before the generator: one number a row
+        .select("__row", F.posexplode(F.concat(*runs)).alias("__seg", "x"))
+        .withColumn("__mixed", F.col("x.run").rlike(r"\p{IsLatin}") & F.col("x.run").rlike(r"[\p{IsGreek}\p{IsCyrillic}]"))
+        .select("__row", "__seg", "__mixed", F.col("x.f").alias("__f"), F.col("x.row").alias("__rest"), F.posexplode(F.when(F.col("x.run").isNull(), no_text).otherwise(with_next)).alias("__at", "y"))
+        .select("__row", "__seg", "__mixed", "__f", "__rest", "__at", F.col("y.c").alias("__cluster"), F.col("y.n").alias("__next"), F.posexplode(pieces).alias("__k", "__ch"))
     )
     on_emoji = F.col("__cluster").rlike(f"^{EMOJI_CLASS}")
     joiner = (F.col("__ch") == ZWJ) & on_emoji & F.col("__cluster").rlike(f"{ZWJ}$") & F.col("__next").rlike(f"^{EMOJI_CLASS}")
@@ -171,8 +185,7 @@ def rebuild(dirty: DataFrame, keys: Sequence[str], text: str, out: str) -> DataF
     mapped = points.join(maps, "__ch", "left")
     item = F.struct(F.coalesce("__ccc", F.lit(0)).alias("c"), F.col("__k").alias("k"), F.coalesce("__part", F.lit(0)).alias("p"), piece.alias("s"))
     whole = F.array_join(F.transform(F.array_sort(F.collect_list(item)), lambda x: x["s"]), "")
-    cluster = mapped.groupBy(*keys, "__seg", "__at").agg(whole.alias("__whole"))
-    joined = cluster
+    joined = mapped.groupBy("__row", "__seg", "__at").agg(whole.alias("__whole"), F.first("__f").alias("__f"), F.first("__rest", True).alias("__rest"))
     for n in (4, 3, 2):  # a base with three, two or one of its marks has one code point
         size = F.length("__whole")
         part = F.when(size >= n, F.substring("__whole", 1, n)) if n > 2 else F.when(size >= 2, F.substring("__whole", 1, 2))
@@ -185,17 +198,28 @@ def rebuild(dirty: DataFrame, keys: Sequence[str], text: str, out: str) -> DataF
     best = F.coalesce(
         *(F.concat(F.col(f"__c{n}"), rest(n)) for n in (4, 3, 2)), F.concat(F.col("__cs"), F.substring("__whole", 2, 1), rest(3)), F.col("__whole")
     )
-    rebuilt = joined.groupBy(*keys).agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("__seg", "__at", best.alias("s")))), lambda x: x["s"]), "").alias(out)
-    )
-    return rebuilt.withColumn(out, F.regexp_replace(out, BLANK_LINE, "＿"))
+    rows = joined.groupBy("__row").agg(F.array_sort(F.collect_list(F.struct("__f", "__seg", "__at", best.alias("s")))).alias("__all"), F.first("__rest", True).alias("__rest"))
+    columns = [F.col(f"__rest.`{c}`").alias(c) for c in dirty.columns]
+    is_field = lambda f: lambda x: x["__f"] == f
+    for f, (column, out) in enumerate(outs.items()):
+        own = F.filter("__all", is_field(f))
+        text = F.regexp_replace(F.array_join(F.transform(own, lambda x: x["s"]), ""), BLANK_LINE, "＿")
+        columns.append(F.when(F.size(own) > 0, text).otherwise(F.col(f"__rest.`{column}`")).alias(out))
+    return rows.select(*columns)
+
+
+def runs_type(dirty: DataFrame) -> T.ArrayType:
+    """Stretches of a row's texts: the number of the field, the stretch, and, for one of them, the whole row."""
+    return T.ArrayType(T.StructType([T.StructField("f", T.IntegerType()), T.StructField("run", T.StringType()), T.StructField("row", T.StructType(dirty.schema.fields))]))
 
 
 def disguised(df: DataFrame, key: str, fields: Sequence[str]) -> DataFrame:
     """Rows ``id, field``: the records and fields whose text is not in house form.
 
-    Null and empty texts are in house form. A repeated key and text counts once.
+    Null and empty texts are in house form. A repeated key and field counts once.
     """
-    stacked = df.select(F.col(key).alias("id"), F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("text")) for f in fields])).alias("x")).select("id", "x.field", "x.text")
-    dirty = stacked.filter(needs_rebuild(F.col("text"))).dropDuplicates()
-    return rebuild(dirty, ["id", "field", "text"], "text", "house").filter(F.col("house") != F.col("text")).select("id", "field").distinct()
+    own = df.select(F.col(key).alias("id"), *[F.col(f).alias(f"__t{n}") for n, f in enumerate(fields)])
+    outs = {f"__t{n}": f"__h{n}" for n in range(len(fields))}
+    house = rebuilt(own.filter(_looked_at(outs)), outs)
+    each = F.array(*[F.struct(F.lit(f).alias("field"), (F.col(f"__h{n}") != F.col(f"__t{n}")).alias("other")) for n, f in enumerate(fields)])
+    return house.select("id", F.explode(each).alias("x")).filter("x.other").select("id", "x.field").distinct()

@@ -48,8 +48,19 @@ def test_long_and_random_texts_match_a_plain_version(spark):
 
 
 def test_columns_keep_rows_with_nulls(spark, rows):
-    df = spark.createDataFrame([("1", None, "ａ"), ("2", "", "b"), ("3", "ｃ", None), ("3", "ｃ", None)], "id string, a string, b string")
-    assert rows(H.house_columns(df, {"a": "ah", "b": "bh"}).select("id", "ah", "bh")) == [("1", None, "a"), ("2", "", "b"), ("3", "c", None)]
+    df = spark.createDataFrame([("1", None, "ａ"), ("2", "", "b"), ("3", "ｃ", None), ("3", "ｃ", None), ("4", "d", ""), ("4", "d", "")], "id string, a string, b string")
+    assert rows(H.house_columns(df, {"a": "ah", "b": "bh"}).select("id", "ah", "bh")) == [("1", None, "a"), ("2", "", "b"), ("3", "c", None), ("3", "c", None), ("4", "d", ""), ("4", "d", "")]
+
+
+def test_repeated_rows_come_out_as_often_as_they_go_in(spark):
+    df = spark.createDataFrame([("a", "ｃ⼤", 1)] * 5 + [("a", "c大", 1)] * 3, "id string, t string, `odd name` int").repartition(3)
+    assert [tuple(r) for r in H.house_columns(df, {"t": "h"}).groupBy("t", "h", "odd name").count().orderBy("count").collect()] == [("c大", "c大", 1, 3), ("ｃ⼤", "c大", 1, 5)]
+
+
+def test_pieces_do_not_carry_the_texts(spark):
+    long = [("a" + "⼤ｃ" * 20000, "x" * 40000)]
+    got = H.house_columns(spark.createDataFrame(long, "t string, other string"), {"t": "h"}).first()
+    assert got["h"] == "a" + "大c" * 20000 and got["other"] == long[0][1]
 
 
 def test_bare_forms(spark):
