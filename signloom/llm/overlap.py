@@ -1,10 +1,11 @@
 """Records of evaluation splits that also stand, exactly or almost, in the training split.
 
 Equal texts become one class first. Classes get minwise hashes of their pairs of adjacent characters,
-in bands; a band's key is a bucket. Bitmaps of fixed size over the keys of either side keep rows that
-can meet nobody on the other from being shuffled. Buckets join across splits only; a 128-bit
-sketch of the same hashes turns most chance meetings away before exact Jaccard similarity is computed
-from the texts.
+in bands; a band's key is a bucket. Bands are taken in as many passes as keep a pass's bitmap of the
+evaluation side's keys sparse: rows that can meet nobody of the other side aren't shuffled, and what
+a pass writes is removed before the next. Buckets join across splits only, those of many pairs in a
+grid of salts; a 128-bit sketch of the same hashes turns most chance meetings away before exact
+Jaccard similarity is computed from the texts.
 
 ``BANDS`` x ``ROWS`` lose a pair of similarity 0.7 with probability (1 - 0.7 ** 4) ** 24 = 0.0014, one of
 0.75 with 0.0001, and the sketch one of 0.7 with some 0.00005; there is no cap on buckets or candidates.
@@ -12,12 +13,12 @@ from the texts.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from signloom.llm.house_form import bare, house_columns
@@ -25,8 +26,12 @@ from signloom.plans.durable import cut, release
 
 BANDS, ROWS = 24, 4
 SKETCH_DIFFERENT = 38
-FILTER_BITS = 27
+#: A bitmap has 16 bits a key, but no more than 2 to this power; passes are added until it has 4.
+FILTER_BITS = 28
 CHUNK = 4096
+#: Pairs in a bucket above which it is split into a grid, rows of either side in a cell of it, and buckets split so at once.
+#: Which buckets are split changes where rows meet, never which.
+BUCKET_PAIRS, CELL_ROWS, SPLIT_BUCKETS = 1 << 20, 1024, 1 << 14
 SIMILAR = 0.7
 
 _SEED = np.random.default_rng(20250301)
@@ -43,8 +48,8 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-def _signatures(texts: pa.Array, fields: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Band keys (texts x BANDS) and both halves of the sketches (2 x texts) of texts of two characters or more."""
+def _signatures(texts: pa.Array, fields: np.ndarray, bands: Sequence[int] = range(BANDS), sketched: bool = True) -> tuple[np.ndarray, np.ndarray | None]:
+    """Keys of ``bands`` (texts x bands) and, if ``sketched``, both halves of the sketches (2 x texts) of texts of two characters or more."""
     points = np.frombuffer("".join(texts.to_pylist()).encode("utf-32-le"), np.uint32)
     lengths = pc.utf8_length(texts).to_numpy().astype(np.int64)
     ends = np.cumsum(lengths)
@@ -53,78 +58,121 @@ def _signatures(texts: pa.Array, fields: np.ndarray) -> tuple[np.ndarray, np.nda
     first = np.flatnonzero(inner)
     pair = (_mix((points[first].astype(np.uint64) << np.uint64(32)) | points[first + 1]) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
     starts = np.concatenate([[0], np.cumsum(lengths - 1)[:-1]])
-    least = np.empty((BANDS * ROWS, len(lengths)), np.uint32)
-    for i, (a, b) in enumerate(zip(_FACTORS, _SHIFTS, strict=True)):
-        least[i] = np.minimum.reduceat(pair * a + b, starts)
-    keys = np.empty((len(lengths), BANDS), np.uint64)
+    least = {}
+    for i in range(BANDS * ROWS) if sketched else [band * ROWS + row for band in bands for row in range(ROWS)]:
+        least[i] = np.minimum.reduceat(pair * _FACTORS[i] + _SHIFTS[i], starts)
+    keys = np.empty((len(lengths), len(bands)), np.uint64)
     own = _mix(fields.astype(np.uint64))
-    for band in range(BANDS):
+    for at, band in enumerate(bands):
         key = own ^ _BAND[band]
         for row in range(ROWS):
             key = _mix(key * np.uint64(31) + least[band * ROWS + row])
-        keys[:, band] = key
-    spread, place = least * np.uint32(0x9E3779B1), np.arange(64, dtype=np.uint64)[:, None]
+        keys[:, at] = key
+    if not sketched:
+        return keys, None
+    place = np.arange(64, dtype=np.uint64)[:, None]
+    spread = np.stack([least[i] for i in range(BANDS * ROWS)]) * np.uint32(0x9E3779B1)
     bits = ((spread[:64] >> np.uint32(31)) & np.uint32(1), (spread[-64:] >> np.uint32(30)) & np.uint32(1))
     return keys, np.stack([(b.astype(np.uint64) << place).sum(axis=0, dtype=np.uint64) for b in bits])
 
 
-def _chunks(keys: Iterator[np.ndarray]) -> Iterator[pa.RecordBatch]:
-    """The non-empty chunks of a bitmap with the leading bits of all keys."""
-    bitmap = np.zeros(2**FILTER_BITS // 8, np.uint8)
+class Keys:
+    """What a side's keys of a pass are: a bitmap of their leading bits, and the counts of those that stand in most rows."""
+
+    def __init__(self, bits: int, bitmap: bytes, often: dict[int, int]) -> None:
+        self.bits, self.bitmap, self.often = bits, bitmap, often
+
+
+def _held(keys: np.ndarray, bitmap: np.ndarray, bits: int) -> np.ndarray:
+    at = keys >> np.uint64(64 - bits)
+    return (bitmap[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
+
+
+def _summary(keys: Iterator[np.ndarray], bits: int) -> Iterator[pa.RecordBatch]:
+    """The non-empty chunks of a task's bitmap, and its most frequent keys with their counts (chunk -1)."""
+    bitmap = np.zeros(max(2**bits // 8, CHUNK), np.uint8)
+    often = (np.zeros(0, np.uint64), np.zeros(0, np.int64))
     for some in keys:
-        at = some >> np.uint64(64 - FILTER_BITS)
+        at = some >> np.uint64(64 - bits)
         np.bitwise_or.at(bitmap, at >> np.uint64(3), (1 << (at & np.uint64(7))).astype(np.uint8))
+        own, n = np.unique(some, return_counts=True)
+        own, inverse = np.unique(np.concatenate([often[0], own[n > 1]]), return_inverse=True)
+        n = np.bincount(inverse, np.concatenate([often[1], n[n > 1]]), len(own)).astype(np.int64)
+        most = np.argsort(-n, kind="stable")[:SPLIT_BUCKETS]
+        often = own[most], n[most]
     chunks = bitmap.reshape(-1, CHUNK)
     used = np.flatnonzero(chunks.any(axis=1))
-    yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array([chunks[i].tobytes() for i in used], pa.binary())], names=["chunk", "bits"])
+    names, many = ["chunk", "bits", "key", "n"], often[1] >= CELL_ROWS // 64
+    yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array([chunks[i].tobytes() for i in used], pa.binary()), pa.nulls(len(used), pa.int64()), pa.nulls(len(used), pa.int64())], names=names)
+    k, n = often[0][many], often[1][many]
+    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), -1), pa.int32()), pa.nulls(len(k), pa.binary()), pa.array(k.view(np.int64)), pa.array(n)], names=names)
 
 
-def _of_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    yield from _chunks(_signatures(b.column("text"), b.column("field").to_numpy())[0].ravel() for b in batches if b.num_rows)
+def keys_of(df: DataFrame, bits: int, bands: Sequence[int] = range(BANDS)) -> Keys:
+    """``Keys`` of the rows of ``df``: of its column ``key``, or of ``bands`` of its texts. The driver gets 2 ** bits bits and ``SPLIT_BUCKETS`` counts."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if "key" in batch_columns:
+            yield from _summary((b.column(0).to_numpy().view(np.uint64) for b in batches if b.num_rows), bits)
+        else:
+            yield from _summary((_signatures(b.column(0), b.column(1).to_numpy(), bands, False)[0].ravel() for b in batches if b.num_rows), bits)
+
+    batch_columns = ["key"] if "key" in df.columns else ["text", "field"]
+    rows = df.select(*batch_columns).mapInArrow(run, "chunk int, bits binary, key long, n long")
+    merged = rows.groupBy("chunk", "key").agg(F.expr("bitmap_or_agg(bits)").alias("bits"), F.sum("n").alias("n"))
+    bitmap = bytearray(max(2**bits // 8, CHUNK))
+    most = merged.filter("key is not null").orderBy(F.desc("n")).limit(SPLIT_BUCKETS)
+    often = {}
+    for row in merged.filter("key is null").unionByName(most).collect():
+        if row["key"] is None:
+            bitmap[row["chunk"] * CHUNK : (row["chunk"] + 1) * CHUNK] = row["bits"]
+        else:
+            often[row["key"]] = row["n"]
+    return Keys(bits, bytes(bitmap), often)
+
+
+def with_sketches(classes: DataFrame) -> DataFrame:
+    """``classes`` with ``s`` and ``t``, their sketches."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                s, t = _signatures(batch.column("text"), batch.column("field").to_numpy(), ())[1]
+                yield batch.append_column("s", pa.array(s.view(np.int64))).append_column("t", pa.array(t.view(np.int64)))
 
-def _of_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    yield from _chunks(b.column("key").to_numpy().view(np.uint64) for b in batches)
+    return classes.mapInArrow(run, classes.withColumns({"s": F.lit(0).cast("long"), "t": F.lit(0).cast("long")}).schema)
 
 
-def bucket_rows(classes: DataFrame, bitmap: bytes | None = None) -> DataFrame:
-    """Rows ``key, tid, s, t`` of each band of each class, ``s`` and ``t`` its sketch; with ``bitmap`` only those whose key it may hold."""
-    shared = None if bitmap is None else classes.sparkSession.sparkContext.broadcast(bitmap)
+def bucket_rows(classes: DataFrame, bands: Sequence[int], other: Keys) -> DataFrame:
+    """Rows ``key, cid, s, t`` of each of ``bands`` of each class, ``s`` and ``t`` its sketch; only those whose key the other side may hold."""
+    shared, bits = classes.sparkSession.sparkContext.broadcast(other.bitmap), other.bits
+    known = "s" in classes.columns
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = None if shared is None else np.frombuffer(shared.value, np.uint8)
+        seen = np.frombuffer(shared.value, np.uint8)
         for whole in batches:
             for start in range(0, whole.num_rows, 4096):
                 batch = whole.slice(start, 4096)
-                keys, sketch = _signatures(batch.column("text"), batch.column("field").to_numpy())
-                flat, tid, (s, t) = keys.ravel(), np.repeat(batch.column("tid").to_numpy(), BANDS), np.repeat(sketch, BANDS, axis=1)
-                if seen is not None:
-                    at = flat >> np.uint64(64 - FILTER_BITS)
-                    may = (seen[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
-                    flat, tid, s, t = flat[may], tid[may], s[may], t[may]
-                yield pa.RecordBatch.from_arrays([pa.array(flat.view(np.int64)), pa.array(tid), pa.array(s.view(np.int64)), pa.array(t.view(np.int64))], names=["key", "tid", "s", "t"])
-
-    return classes.select("tid", "field", "text").mapInArrow(rows, "key long, tid long, s long, t long")
-
+                keys, sketch = _signatures(batch.column("text"), batch.column("field").to_numpy(), bands, not known)
+                if known:
+                    sketch = np.stack([batch.column(c).to_numpy().view(np.uint64) for c in "st"])
+                flat = keys.ravel()
+                may = np.flatnonzero(_held(flat, seen, bits))
+                of = may // len(bands)
+                columns = (flat[may].view(np.int64), batch.column("cid").to_numpy()[of], sketch[0][of].view(np.int64), sketch[1][of].view(np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "cid", "s", "t"])
 
-def key_filter(df: DataFrame) -> bytes:
-    """A bitmap of ``2 ** FILTER_BITS`` bits, whatever the data, with the band keys of classes or of bucket rows."""
-    rows = df.select("key").mapInArrow(_of_keys, "chunk int, bits binary") if "key" in df.columns else df.select("field", "text").mapInArrow(_of_texts, "chunk int, bits binary")
-    bitmap = bytearray(2**FILTER_BITS // 8)
-    for row in rows.groupBy("chunk").agg(F.expr("bitmap_or_agg(bits)").alias("bits")).collect():
-        bitmap[row["chunk"] * CHUNK : (row["chunk"] + 1) * CHUNK] = row["bits"]
-    return bytes(bitmap)
+    return classes.select("cid", "field", "text", *(["s", "t"] if known else [])).mapInArrow(rows, "key long, cid long, s long, t long")
 
 
-def _held(texts: DataFrame, bitmap: bytes) -> DataFrame:
-    """Rows ``tid, text`` whose id the bitmap may hold; others are not shuffled."""
-    shared = texts.sparkSession.sparkContext.broadcast(bitmap)
+def _filtered(texts: DataFrame, ids: Keys) -> DataFrame:
+    """Rows of ``texts`` whose ``cid`` the bitmap may hold; others are not shuffled."""
+    shared, bits = texts.sparkSession.sparkContext.broadcast(ids.bitmap), ids.bits
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.frombuffer(shared.value, np.uint8)
         for batch in batches:
-            at = batch.column("tid").to_numpy().view(np.uint64) >> np.uint64(64 - FILTER_BITS)
-            yield batch.filter(pa.array((seen[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1))
+            yield batch.filter(pa.array(_held(_mix(batch.column("cid").to_numpy().view(np.uint64)), seen, bits)))
 
     return texts.mapInArrow(run, texts.schema)
 
@@ -132,22 +180,103 @@ def _held(texts: DataFrame, bitmap: bytes) -> DataFrame:
 def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         keep = []
-        for texts in batch.column("texts").to_pylist():
-            a, b = (set(map(str.__add__, t, t[1:])) for t in texts)
+        for text, other in zip(batch.column("text").to_pylist(), batch.column("text_other").to_pylist(), strict=True):
+            a, b = set(map(str.__add__, text, text[1:])), set(map(str.__add__, other, other[1:]))
             both = len(a & b)
             keep.append(both >= SIMILAR * (len(a) + len(b) - both) - 1e-9)
         yield batch.filter(pa.array(keep, pa.bool_())).select(["one", "other"])
 
 
-def classes_and_members(df: DataFrame, key: str, split: str, fields: list[str], train: str) -> tuple[DataFrame, DataFrame]:
-    """Classes ``tid, field, text, in_train, in_eval`` of equal texts per field, and members ``tid, id, is_train``."""
-    long = df.select(F.col(key).alias("id"), F.coalesce(F.col(split) == train, F.lit(False)).alias("is_train"), *fields)
+def classes_and_members(df: DataFrame, key: str, split: str, fields: list[str], train: str, *more: str) -> tuple[DataFrame, DataFrame]:
+    """Classes ``cid, h, g, field, text, in_train, in_eval`` of equal texts per field, and members ``h, g, field, id, is_train`` and ``more``.
+
+    Classes are told by field and text and numbered; members find theirs by a hash of 128 bits.
+    """
+    long = df.select(F.col(key).alias("id"), F.coalesce(F.col(split) == train, F.lit(False)).alias("is_train"), *fields, *[F.col(c).alias(f"more_{c}") for c in more])
     house = house_columns(long, {f: f"{f}_house" for f in fields})
     each = F.array(*[F.struct(F.lit(i).cast("long").alias("field"), bare(F.col(f"{f}_house")).alias("text")) for i, f in enumerate(fields)])
-    rows = house.select("id", "is_train", F.explode(each).alias("x")).select("id", "is_train", "x.field", "x.text").filter(F.length("text") > 1)
-    members = cut(rows.select(F.xxhash64("field", "text").alias("tid"), "field", "text", "id", "is_train").filter("id is not null"))
-    classes = members.groupBy("tid", "field", "text").agg(F.max("is_train").alias("in_train"), F.max(~F.col("is_train")).alias("in_eval"))
-    return cut(classes), members.select("tid", "id", "is_train")
+    kept = ["id", "is_train", *[f"more_{c}" for c in more]]
+    rows = house.select(*kept, F.explode(each).alias("x")).select(*kept, "x.field", "x.text").filter(F.length("text") > 1)
+    members = cut(rows.select(*_hashes(F.col("field"), F.col("text")), "field", "text", *kept).filter("id is not null"))
+    classes = members.groupBy("h", "g", "field", "text").agg(F.max("is_train").alias("in_train"), F.max(~F.col("is_train")).alias("in_eval"))
+    return cut(classes.withColumn("cid", F.monotonically_increasing_id())), members.drop("text")
+
+
+def _hashes(field: Column, text: Column) -> tuple[Column, Column]:
+    return F.xxhash64(field, text).alias("h"), F.xxhash64(F.lit(0x5EED), text, field).alias("g")
+
+
+def _bits(keys: int, each: int = 16) -> int:
+    return max(15, min(FILTER_BITS, (each * max(keys, 1) - 1).bit_length()))
+
+
+def _grid(spark: SparkSession, one: Keys, other: Keys) -> DataFrame | None:
+    """Rows ``key, rows, columns`` of the buckets of many pairs, at most ``SPLIT_BUCKETS``; none where there are none."""
+    most = ((k, n, other.often.get(k, 1)) for k, n in one.often.items())
+    also = ((k, 1, n) for k, n in other.often.items() if k not in one.often)
+    split = sorted((x for x in (*most, *also) if x[1] * x[2] > BUCKET_PAIRS), key=lambda x: -x[1] * x[2])[:SPLIT_BUCKETS]
+    return spark.createDataFrame([(k, -(-m // CELL_ROWS), -(-n // CELL_ROWS)) for k, m, n in split], "key long, rows int, columns int") if split else None
+
+
+def _met(left: DataFrame, right: DataFrame, grid: DataFrame | None) -> DataFrame:
+    """Rows ``one, other``: classes of one bucket with like sketches. A bucket of the grid has a task for each cell."""
+    keys = ["key"]
+    if grid is not None:
+        keys = ["key", "row", "column"]
+        salt = lambda cid, n: F.pmod(F.xxhash64(cid), F.coalesce(n, F.lit(1))).cast("int")
+        every = lambda n: F.explode(F.sequence(F.lit(0), F.coalesce(n, F.lit(1)) - 1))
+        left = left.join(F.broadcast(grid), "key", "left").withColumn("row", salt("one", F.col("rows"))).select("*", every(F.col("columns")).alias("column")).drop("rows", "columns")
+        right = right.join(F.broadcast(grid), "key", "left").withColumn("column", salt("other", F.col("columns"))).select("*", every(F.col("rows")).alias("row")).drop("rows", "columns")
+    unlike = sum(F.bit_count(F.col(f"{h}_one").bitwiseXOR(F.col(f"{h}_other"))) for h in "st")
+    return right.join(left, keys).filter((F.col("one") != F.col("other")) & (unlike <= SKETCH_DIFFERENT)).select("one", "other").distinct()
+
+
+def candidates(classes: DataFrame) -> DataFrame:
+    """Rows ``one, other``: a class of an evaluation split and a training class that meet in a bucket and have like sketches."""
+    spark = classes.sparkSession
+    known = classes.filter("in_eval").count() * BANDS
+    passes = min(BANDS, max(1, -(-4 * known // 2**FILTER_BITS)))
+    if passes > 1:
+        classes = cut(with_sketches(classes))
+    evaluation, training = classes.filter("in_eval"), classes.filter("in_train")
+    parts = []
+    for n in range(passes):
+        bands = range(n * BANDS // passes, (n + 1) * BANDS // passes)
+        bits = _bits(known // passes)
+        ones = keys_of(evaluation, bits, bands)
+        right = cut(bucket_rows(training, bands, ones).toDF("key", "other", "s_other", "t_other"))
+        others = keys_of(right, bits)
+        left = bucket_rows(evaluation, bands, others).toDF("key", "one", "s_one", "t_one")
+        parts.append(cut(_met(left, right, _grid(spark, ones, others))))
+        release(right)
+        if n + 1 < passes:
+            spark.sparkContext._jvm.System.gc()  # the shuffle of the pass goes
+    whole = parts[0]
+    for part in parts[1:]:
+        whole = whole.unionByName(part)
+    return whole.distinct() if passes > 1 else whole
+
+
+def links(classes: DataFrame) -> DataFrame:
+    """Rows ``one, other``: a class with evaluation records and one with training records that are alike; a class with both is like itself."""
+    met = candidates(classes)
+    sides = met.select("one", "other", F.explode(F.array(F.struct(F.col("one").alias("cid"), F.lit(True).alias("first")), F.struct(F.col("other").alias("cid"), F.lit(False).alias("first")))).alias("x")).select("one", "other", "x.cid", "x.first")
+    ids = sides.select(F.col("cid").alias("key"))
+    held = keys_of(ids.mapInArrow(_mixed, "key long"), _bits(2 * met.count()))
+    both = sides.join(_filtered(classes.select("cid", "text"), held), "cid").groupBy("one", "other").agg(F.max(F.when(F.col("first"), F.col("text"))).alias("text"), F.max(F.when(~F.col("first"), F.col("text"))).alias("text_other"))
+    alike = both.mapInArrow(_similar, "one long, other long")
+    return cut(alike.unionByName(classes.filter("in_eval and in_train").select(F.col("cid").alias("one"), F.col("cid").alias("other"))))
+
+
+def _mixed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([pa.array(_mix(batch.column(0).to_numpy().view(np.uint64)).view(np.int64))], names=["key"])
+
+
+def linked_members(linked: DataFrame, classes: DataFrame, members: DataFrame) -> DataFrame:
+    """``members`` of the classes of ``linked``, with ``cid``."""
+    ids = linked.select(F.explode(F.array("one", "other")).alias("cid")).distinct()
+    return members.join(classes.join(ids, "cid", "left_semi").select("cid", "h", "g"), ["h", "g"]).drop("h", "g")
 
 
 def cross_split_pairs(df: DataFrame, key: str, split: str, fields: list[str], train: str = "train") -> DataFrame:
@@ -157,18 +286,41 @@ def cross_split_pairs(df: DataFrame, key: str, split: str, fields: list[str], tr
     is no training split; null ids are left out. Repeated rows make no repeated pairs.
     """
     classes, members = classes_and_members(df, key, split, fields, train)
-    evaluation, training = classes.filter("in_eval"), classes.filter("in_train")
-    # each side leaves out what can meet nobody of the other before it is shuffled
-    right = cut(bucket_rows(training, key_filter(evaluation)).toDF("key", "other", "s_other", "t_other"))
-    left = bucket_rows(evaluation, key_filter(right)).toDF("key", "one", "s_one", "t_one")
-    unlike = sum(F.bit_count(F.col(f"{h}_one").bitwiseXOR(F.col(f"{h}_other"))) for h in "st")
-    met = cut(right.join(left.hint("shuffle_hash"), "key").filter((F.col("one") != F.col("other")) & (unlike <= SKETCH_DIFFERENT)).select("one", "other").distinct())
-    release(right)
-    sides = met.select("one", "other", F.explode(F.array("one", "other")).alias("tid"))
-    texts = sides.join(_held(classes.select("tid", "text"), key_filter(sides.select(F.col("tid").alias("key")))), "tid").groupBy("one", "other").agg(F.collect_list("text").alias("texts"))
-    alike = texts.mapInArrow(_similar, "one long, other long")
-    same = classes.filter("in_eval and in_train").select(F.col("tid").alias("one"), F.col("tid").alias("other"))
-    links = alike.unionByName(same)
-    one = members.filter("not is_train").select(F.col("tid").alias("one"), "id")
-    other = members.filter("is_train").select(F.col("tid").alias("other"), F.col("id").alias("id_other"))
-    return links.join(one, "one").join(other, "other").select("id", F.col("id_other").alias("other")).distinct()
+    linked = links(classes)
+    of = linked_members(linked, classes, members)
+    one = of.filter("not is_train").select(F.col("cid").alias("one"), "id")
+    other = of.filter("is_train").select(F.col("cid").alias("other"), F.col("id").alias("id_other"))
+    return linked.join(one, "one").join(other, "other").select("id", F.col("id_other").alias("other")).distinct()
+
+
+def cross_split_counts(df: DataFrame, key: str, split: str, source: str, fields: list[str], train: str = "train") -> DataFrame:
+    """Rows ``split, source, pairs, records``: how many pairs of ``cross_split_pairs`` there are, and how many records of the split stand in one.
+
+    Copies are counted, never paired: records with the same classes are one row with a number. Pairs
+    alike in several fields count once, by inclusion and exclusion over the fields. Equal rows count
+    once; ids are taken as unique else. Nulls as for ``cross_split_pairs``; a null source is a source.
+    """
+    classes, members = classes_and_members(df, key, split, fields, train, split, source)
+    linked = links(classes)
+    of = linked_members(linked, classes, members).withColumnsRenamed({f"more_{split}": "split", f"more_{source}": "source"})
+    numbers = range(len(fields))
+    # records by the classes they have in each field, null where a field has none that is linked
+    records = of.groupBy("id", "is_train", "split", "source").agg(*[F.max(F.when(F.col("field") == n, F.col("cid"))).alias(f"c{n}") for n in numbers])
+    kinds = cut(records.groupBy("is_train", "split", "source", *[f"c{n}" for n in numbers]).agg(F.count(F.lit(1)).alias("n")))
+    ours, theirs = kinds.filter("not is_train").withColumn("kind", F.monotonically_increasing_id()), kinds.filter("is_train")
+    ours = cut(ours.select("kind", "split", "source", "n", *[f"c{n}" for n in numbers]))
+    counts = []
+    for mask in range(1, 2 ** len(fields)):
+        some = [n for n in numbers if mask >> n & 1]
+        rest = theirs.groupBy(*[F.col(f"c{n}").alias(f"d{n}") for n in some]).agg(F.sum("n").alias("m"))
+        joined = ours.select("kind", *[f"c{n}" for n in some])
+        first, *more = some
+        joined = joined.join(linked.toDF(f"c{first}", f"d{first}"), f"c{first}").join(rest, f"d{first}")
+        for n in more:
+            joined = joined.join(linked.toDF(f"c{n}", f"d{n}"), [f"c{n}", f"d{n}"])
+        counts.append(joined.groupBy("kind").agg((F.sum("m") * (1 if len(some) % 2 else -1)).alias("m")))
+    whole = counts[0]
+    for part in counts[1:]:
+        whole = whole.unionByName(part)
+    met = ours.join(whole.groupBy("kind").agg(F.sum("m").alias("m")), "kind").filter("m > 0")
+    return met.groupBy("split", "source").agg(F.sum(F.col("n") * F.col("m")).alias("pairs"), F.sum("n").alias("records"))

@@ -93,9 +93,7 @@ def p5_found(spark: SparkSession, root: str) -> DataFrame:
 
 @query
 def p5_by_split_and_source(spark: SparkSession, root: str) -> DataFrame:
-    rows = table(spark, root, "tsl_sentences")
-    pairs = overlap.cross_split_pairs(rows, "id", "split", ["chinese", "gloss_text"])
-    return pairs.join(rows.select("id", "split", "source"), "id").groupBy("split", "source").agg(F.count(F.lit(1)).alias("pairs"), F.countDistinct("id").alias("records"))
+    return overlap.cross_split_counts(table(spark, root, "tsl_sentences"), "id", "split", "source", ["chinese", "gloss_text"])
 
 
 def tokenizer_file(name: str = "byte_bpe_50k.json", folder: str | None = None) -> str:

@@ -60,3 +60,50 @@ def test_hot_text(spark):
 
 def test_empty(spark):
     assert O.cross_split_pairs(spark.createDataFrame([], SCHEMA), "id", "split", ["chinese", "gloss_text"]).count() == 0
+
+
+def test_two_texts_of_one_hash(spark, monkeypatch):
+    one = lambda field, text: (O.F.lit(1).cast("long").alias("h"), O.F.xxhash64(field, text).alias("g"))
+    monkeypatch.setattr(O, "_hashes", one)
+    rows = [("e", "dev", "我今天去圖書館借了三本書", None), ("t", "train", "我今天去圖書館借了三本書。", None), ("u", "train", "他們昨天在操場打了兩場球", None), ("f", "dev", "他們昨天在操場打了兩場球！", None)]
+    assert pairs(spark, rows) == brute(rows) == {("e", "t"), ("f", "u")}
+
+
+def many(seed, n=400):
+    rng = random.Random(seed)
+    bases = ["".join(chr(0x4E00 + rng.randint(0, 300)) for _ in range(24)) for _ in range(12)]
+    rows = []
+    for k in range(n):
+        t = list(rng.choice(bases))
+        for _ in range(rng.randint(0, 3)):
+            t[rng.randrange(24)] = chr(0x4E00 + rng.randint(0, 300))
+        rows.append((f"r{k:03}", rng.choice(["train", "dev", "test", None]), "".join(t), rng.choice([None, "", rng.choice(bases)])))
+    return rows
+
+
+def test_full_bitmap_and_split_buckets_change_nothing(spark, monkeypatch):
+    rows = many(6)
+    want = pairs(spark, rows)
+    assert len(want) > 1000
+    monkeypatch.setattr(O, "FILTER_BITS", 15)
+    monkeypatch.setattr(O, "BUCKET_PAIRS", 50)
+    monkeypatch.setattr(O, "CELL_ROWS", 7)
+    splits, made = [], O._grid
+    monkeypatch.setattr(O, "_grid", lambda *a: splits.append(made(*a)) or splits[-1])
+    assert pairs(spark, rows) == want
+    assert len(splits) > 1 and any(g is not None for g in splits)
+
+
+def test_counts_are_those_of_the_pairs(spark):
+    rows = [(i, s, c, g, random.Random(i).choice(["a", "b", None])) for i, s, c, g in many(7, 300)] * 2
+    df = spark.createDataFrame(rows, "id string, split string, chinese string, gloss_text string, source string")
+    found = O.cross_split_pairs(df, "id", "split", ["chinese", "gloss_text"]).collect()
+    of = {r[0]: (r[1], r[4]) for r in rows}
+    want = {}
+    for a, _ in found:
+        n = want.setdefault(of[a], [0, set()])
+        n[0] += 1
+        n[1].add(a)
+    got = {(r["split"], r["source"]): (r["pairs"], r["records"]) for r in O.cross_split_counts(df, "id", "split", "source", ["chinese", "gloss_text"]).collect()}
+    assert got == {k: (n, len(x)) for k, (n, x) in want.items()}
+    assert O.cross_split_counts(df.limit(0), "id", "split", "source", ["chinese", "gloss_text"]).count() == 0
