@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
 import uuid
@@ -12,15 +13,25 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 _folders: dict[str, tuple[SparkSession, str]] = {}
+_private: dict[str, str] = {}
 _shipped: set[str] = set()
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """This application's folder inside ``spark.checkpoint.dir``; a private one only where that setting is absent."""
+    """This application's folder inside ``spark.checkpoint.dir``.
+
+    Where that is unset, a private folder serves a local master, whose executors are this very process;
+    any other master raises, as its executors would each write to a disk of their own.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="signloom-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        name = spark.sparkContext.applicationId
+        if name not in _private:
+            _private[name] = tempfile.mkdtemp(prefix="signloom-")
+            atexit.register(shutil.rmtree, _private[name], ignore_errors=True)
+        base = "file://" + _private[name]
     path = f"{base.rstrip('/')}/signloom-{spark.sparkContext.applicationId}"
     if path not in _folders:
         _folders[path] = (spark, path)
@@ -55,6 +66,12 @@ def release(df: DataFrame) -> None:
     _delete(df.sparkSession, df.signloom_path)
 
 
+def sweep(spark: SparkSession) -> None:
+    """Remove the shuffle files that nothing can read any more, now rather than when the driver next happens to collect garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def ship(spark: SparkSession) -> None:
     """Give the package to the executors, which need not have it installed; once per application."""
     name = spark.sparkContext.applicationId

@@ -3,7 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from signloom.plans import corpus, prompts, split
+from signloom.plans import corpus, durable, prompts, split
 from signloom.sources import readers, sinks
 from signloom.streaming import resume
 
@@ -119,3 +119,22 @@ def test_resumed_stream(spark, tmp_path):
     batch = spark.createDataFrame([("a", 1), ("d", 1), ("d", 1)], schema)
     resume.append_new(batch, spark.read.parquet(log), str(tmp_path / "log2"), "id")
     assert [r["id"] for r in spark.read.parquet(str(tmp_path / "log2")).collect()] == ["d"]
+
+
+class _Cluster:
+    """A session as far as ``shared_folder`` looks at it."""
+
+    class conf:
+        get = staticmethod(lambda name, default: default)
+
+    def __init__(self, master):
+        self.sparkContext = type("Context", (), {"master": master, "applicationId": "app-1"})
+
+
+def test_no_private_folder_on_a_cluster(spark):
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        durable.shared_folder(_Cluster("spark://host:7077"))
+    assert durable.shared_folder(spark).startswith(spark.conf.get("spark.checkpoint.dir"))
+    kept = durable.cut(spark.range(5))
+    durable.sweep(spark)
+    assert kept.count() == 5
