@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from signloom.llm.house_form import bare, house_columns
-from signloom.plans.durable import cut, release
+from signloom.plans.durable import cut, release, sweep
 
 BANDS, ROWS = 24, 4
 SKETCH_DIFFERENT = 38
@@ -88,7 +88,7 @@ def _held(keys: np.ndarray, bitmap: np.ndarray, bits: int) -> np.ndarray:
     return (bitmap[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
 
 
-def _summary(keys: Iterator[np.ndarray], bits: int) -> Iterator[pa.RecordBatch]:
+def _summary(keys: Iterator[np.ndarray], bits: int, least: int) -> Iterator[pa.RecordBatch]:
     """The non-empty chunks of a task's bitmap, and its most frequent keys with their counts (chunk -1)."""
     bitmap = np.zeros(max(2**bits // 8, CHUNK), np.uint8)
     often = (np.zeros(0, np.uint64), np.zeros(0, np.int64))
@@ -102,7 +102,7 @@ def _summary(keys: Iterator[np.ndarray], bits: int) -> Iterator[pa.RecordBatch]:
         often = own[most], n[most]
     chunks = bitmap.reshape(-1, CHUNK)
     used = np.flatnonzero(chunks.any(axis=1))
-    names, many = ["chunk", "bits", "key", "n"], often[1] >= CELL_ROWS // 64
+    names, many = ["chunk", "bits", "key", "n"], often[1] >= least
     yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array([chunks[i].tobytes() for i in used], pa.binary()), pa.nulls(len(used), pa.int64()), pa.nulls(len(used), pa.int64())], names=names)
     k, n = often[0][many], often[1][many]
     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), -1), pa.int32()), pa.nulls(len(k), pa.binary()), pa.array(k.view(np.int64)), pa.array(n)], names=names)
@@ -113,11 +113,11 @@ def keys_of(df: DataFrame, bits: int, bands: Sequence[int] = range(BANDS)) -> Ke
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if "key" in batch_columns:
-            yield from _summary((b.column(0).to_numpy().view(np.uint64) for b in batches if b.num_rows), bits)
+            yield from _summary((b.column(0).to_numpy().view(np.uint64) for b in batches if b.num_rows), bits, least)
         else:
-            yield from _summary((_signatures(b.column(0), b.column(1).to_numpy(), bands, False)[0].ravel() for b in batches if b.num_rows), bits)
+            yield from _summary((_signatures(b.column(0), b.column(1).to_numpy(), bands, False)[0].ravel() for b in batches if b.num_rows), bits, least)
 
-    batch_columns = ["key"] if "key" in df.columns else ["text", "field"]
+    batch_columns, least = ["key"] if "key" in df.columns else ["text", "field"], max(2, CELL_ROWS // 64)
     rows = df.select(*batch_columns).mapInArrow(run, "chunk int, bits binary, key long, n long")
     merged = rows.groupBy("chunk", "key").agg(F.expr("bitmap_or_agg(bits)").alias("bits"), F.sum("n").alias("n"))
     bitmap = bytearray(max(2**bits // 8, CHUNK))
@@ -199,7 +199,10 @@ def classes_and_members(df: DataFrame, key: str, split: str, fields: list[str],
     rows = house.select(*kept, F.explode(each).alias("x")).select(*kept, "x.field", "x.text").filter(F.length("text") > 1)
     members = cut(rows.select(*_hashes(F.col("field"), F.col("text")), "field", "text", *kept).filter("id is not null"))
     classes = members.groupBy("h", "g", "field", "text").agg(F.max("is_train").alias("in_train"), F.max(~F.col("is_train")).alias("in_eval"))
-    return cut(classes.withColumn("cid", F.monotonically_increasing_id())), members.drop("text")
+    numbered = cut(classes.withColumn("cid", F.monotonically_increasing_id()))
+    del rows, house, classes
+    sweep(df.sparkSession)
+    return numbered, members.drop("text")
 
 
 def _hashes(field: Column, text: Column) -> tuple[Column, Column]:
@@ -207,7 +210,7 @@ def _hashes(field: Column, text: Column) -> tuple[Column, Column]:
 
 
 def _bits(keys: int, each: int = 16) -> int:
-    return max(15, min(FILTER_BITS, (each * max(keys, 1) - 1).bit_length()))
+    return min(FILTER_BITS, max(15, (each * max(keys, 1) - 1).bit_length()))
 
 
 def _grid(spark: SparkSession, one: Keys, other: Keys) -> DataFrame | None:
@@ -249,8 +252,8 @@ def candidates(classes: DataFrame) -> DataFrame:
         left = bucket_rows(evaluation, bands, others).toDF("key", "one", "s_one", "t_one")
         parts.append(cut(_met(left, right, _grid(spark, ones, others))))
         release(right)
-        if n + 1 < passes:
-            spark.sparkContext._jvm.System.gc()  # the shuffle of the pass goes
+        del left, right
+        sweep(spark)
     whole = parts[0]
     for part in parts[1:]:
         whole = whole.unionByName(part)

@@ -85,7 +85,7 @@ def test_full_bitmap_and_split_buckets_change_nothing(spark, monkeypatch):
     rows = many(6)
     want = pairs(spark, rows)
     assert len(want) > 1000
-    monkeypatch.setattr(O, "FILTER_BITS", 15)
+    monkeypatch.setattr(O, "FILTER_BITS", 12)
     monkeypatch.setattr(O, "BUCKET_PAIRS", 50)
     monkeypatch.setattr(O, "CELL_ROWS", 7)
     splits, made = [], O._grid
