@@ -1,16 +1,18 @@
 """Defective answers to prompts, each with its type of defect.
 
-Copies are found by compressing an answer with its prompt as zstandard dictionary: next to nothing is
-left of an answer that the prompt holds. Dictionaries of wordings and scripts tell refusals and other
-languages. Whether an answer breaks off is told by what its end leaves open and by a terminal-context
+Copies are found by compression with zstandard: with the prompt as dictionary next to nothing is left of
+the answer, and with the answer as dictionary next to nothing of the prompt. Dictionaries of wordings
+and scripts tell refusals and other languages. Whether an answer breaks off is told by what its end leaves open and by a terminal-context
 model: how often the last token stands as a whole in all references, against how often it only begins
 a longer one.
 """
 
 from __future__ import annotations
 
+import hashlib
 import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 import regex
@@ -23,9 +25,8 @@ from signloom.llm.house_form import INVISIBLE, LOOK_ALIKE
 from signloom.plans.durable import cut
 
 NAMES_BOUND = 500_000
-COPY_RATIO = 0.5
-#: Bytes of a frame that says no more than "as before".
-NOTHING_NEW = 40
+#: What may be left of an answer with its prompt as dictionary (a label, say), and of the prompt with the answer as dictionary.
+COPY_NEW, COPY_LOST = 0.5, 0.25
 FOREIGN_SHARE = 0.5
 WHOLE_SHARE = 0.05
 
@@ -50,15 +51,32 @@ def letters(text: str) -> str:
     return "".join(c for c in unicodedata.normalize("NFKC", text.translate(DROPPED)) if unicodedata.category(c)[0] in "LN").lower()
 
 
+@lru_cache(1 << 16)
+def _code(character: str) -> bytes:
+    return hashlib.md5(character.encode()).digest()
+
+
+def coded(text: str) -> bytes:
+    """16 bytes for each character, the same for the same one: so a match is one of characters, and a short prompt long enough."""
+    return b"".join(map(_code, text))
+
+
+def _compressed(raw: bytes, dictionary: bytes | None = None) -> int:
+    how = zstandard.ZstdCompressionParameters.from_level(3, source_size=len(raw), dict_size=len(dictionary or b""), write_checksum=0, write_content_size=0, write_dict_id=0)
+    given = {} if dictionary is None else {"dict_data": zstandard.ZstdCompressionDict(dictionary, dict_type=zstandard.DICT_TYPE_RAWCONTENT)}
+    return len(zstandard.ZstdCompressor(compression_params=how, **given).compress(raw))
+
+
+#: Bytes of a frame that says no more than "as in the dictionary".
+NOTHING_NEW = _compressed(_code("x"), _code("x"))
+
+
 def compressed_share(answer: str, prompt: str) -> float:
-    """Bytes that the answer takes with its prompt as dictionary, by those it takes alone; 0 where the dictionary leaves nothing."""
-    raw, given = answer.encode(), prompt.encode()
-    if len(given) < 8 or not raw:
+    """What the answer takes with its prompt as dictionary, by what it takes alone, both beyond a frame that says nothing new."""
+    if not answer or not prompt:
         return 1.0
-    plain = zstandard.ZstdCompressor(level=3, write_checksum=False, write_content_size=False, write_dict_id=False)
-    near = zstandard.ZstdCompressor(level=3, write_checksum=False, write_content_size=False, write_dict_id=False, dict_data=zstandard.ZstdCompressionDict(given, dict_type=zstandard.DICT_TYPE_RAWCONTENT))
-    left = len(near.compress(raw))
-    return 0.0 if left <= NOTHING_NEW else left / len(plain.compress(raw))
+    raw = coded(answer)
+    return max(0, _compressed(raw, coded(prompt)) - NOTHING_NEW) / max(1, _compressed(raw) - NOTHING_NEW)
 
 
 def unlabelled(text: str) -> str:
@@ -68,18 +86,14 @@ def unlabelled(text: str) -> str:
 
 
 def is_copy(answer: str, prompt: str) -> bool:
-    """The whole prompt given back: labelled, quoted, repeated or without marks, but not cut into glosses."""
+    """The whole prompt given back: labelled, quoted, repeated, without marks or all but unchanged, but not cut into glosses."""
     if answer.count("/") + answer.count("／") > prompt.count("/") + prompt.count("／"):
         return False
-    own, given = letters(answer), letters(prompt)
-    if not given or given not in own:
-        return False
-    rest = letters(LEAD.sub("", answer))
-    if given not in rest:
-        rest = own
-    if len(prompt.encode()) >= 24 and compressed_share(rest, given) > COPY_RATIO:
-        return False
-    return len(rest.replace(given, "")) <= max(8, len(given) // 4)
+    given = letters(prompt)
+    for own in dict.fromkeys((letters(answer), letters(LEAD.sub("", answer)))):  # a lead-in up to a colon counts as a label
+        if compressed_share(own, given) <= COPY_NEW and compressed_share(given, own) <= COPY_LOST:
+            return True
+    return False
 
 
 def is_refusal(answer: str, tokens: list[str], names: frozenset[str]) -> bool:

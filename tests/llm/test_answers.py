@@ -50,3 +50,16 @@ def test_what_was_kept_of_a_sound_answer_is_judged_too(spark, master, rows):
     df = spark.createDataFrame([(i, PROMPT, "昨天/沙丘溪口/我", raw, pred) for i, raw, pred in data], "id string, chinese string, ref string, raw string, pred string")
     got = rows(A.defects(df, "id", "chinese", "ref", "raw", master, pred="pred"))
     assert got == [("b", "empty"), ("c", "empty"), ("d", "truncated"), ("e", "truncated"), ("f", "copy"), ("h", "truncated"), ("j", "truncated")]
+
+
+NEAR = [
+    ("我昨天在圖書館借了四本書，還要借兩本。", True), ("我昨日在圖書館借了三本書還要借兩本", True), ("中文：我昨天在圖書館借了三本書，還要借五本。", True), (f"{PROMPT} {PROMPT.replace('三', '四')}", True),
+    ("我昨天在圖書館", False), ("昨天 圖書館 我 書 借 要", False), ("三本書還要借兩本", False), ("星期六傍晚他們去沙丘溪口觀察烏龜和石頭", False),
+]
+
+
+def test_compression_decides_what_is_a_copy(monkeypatch):
+    assert [A.is_copy(a, PROMPT) for a, _ in NEAR] == [c for _, c in NEAR]
+    assert A.is_copy("好嗎", "好嗎？") and A.is_copy("「沒有」", "沒有。") and not A.is_copy("有", "好") and not A.is_copy("好", "")
+    monkeypatch.setattr(A, "compressed_share", lambda *a: 1.0)
+    assert not any(A.is_copy(a, PROMPT) for a in (PROMPT, *(a for a, _ in NEAR)))
