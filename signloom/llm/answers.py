@@ -61,10 +61,10 @@ def coded(text: str) -> bytes:
     return b"".join(map(_code, text))
 
 
-def _compressed(raw: bytes, dictionary: bytes | None = None) -> int:
-    how = zstandard.ZstdCompressionParameters.from_level(3, source_size=len(raw), dict_size=len(dictionary or b""), write_checksum=0, write_content_size=0, write_dict_id=0)
-    given = {} if dictionary is None else {"dict_data": zstandard.ZstdCompressionDict(dictionary, dict_type=zstandard.DICT_TYPE_RAWCONTENT)}
-    return len(zstandard.ZstdCompressor(compression_params=how, **given).compress(raw))
+def _compressed(raw: bytes, dictionary: bytes) -> int:
+    how = zstandard.ZstdCompressionParameters.from_level(3, source_size=len(raw), dict_size=len(dictionary), write_checksum=0, write_content_size=0, write_dict_id=0)
+    given = zstandard.ZstdCompressionDict(dictionary, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    return len(zstandard.ZstdCompressor(compression_params=how, dict_data=given).compress(raw))
 
 
 #: Bytes of a frame that says no more than "as in the dictionary".
@@ -72,11 +72,11 @@ NOTHING_NEW = _compressed(_code("x"), _code("x"))
 
 
 def compressed_share(answer: str, prompt: str) -> float:
-    """What the answer takes with its prompt as dictionary, by what it takes alone, both beyond a frame that says nothing new."""
+    """What the answer takes with its prompt as dictionary, beyond a frame that says nothing new, by its length."""
     if not answer or not prompt:
         return 1.0
     raw = coded(answer)
-    return max(0, _compressed(raw, coded(prompt)) - NOTHING_NEW) / max(1, _compressed(raw) - NOTHING_NEW)
+    return max(0, _compressed(raw, coded(prompt)) - NOTHING_NEW) / len(raw)
 
 
 def unlabelled(text: str) -> str:
