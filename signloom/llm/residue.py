@@ -2,20 +2,24 @@
 
 A naive Bayes model of passages (hashed pairs of adjacent characters) is learnt from positive and
 unlabelled data by expectation-maximisation. Trusted positives are the passages of records that
-known error, script and filler wordings make up, and passages with a placeholder that nothing around
-it explains; all others are unlabelled. Every passage of every document is then scored, and each
-record is decided from its passages.
+known error, script and filler wordings make up; all others are unlabelled. A second model, of what
+stands around placeholders, is learnt in the same way: trusted are the placeholders of records in which
+nothing at all is worded like an explanation; those of other records are unlabelled, and wordings
+beside them are where the expectation begins, no more. Every passage of every document is then
+scored, and each record is decided from its passages.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -33,6 +37,10 @@ RECURS_SHARE = 0.0004
 FIT_PASSAGES = 2
 SUMS = ("trusted", "n", "beside", "usual")
 SMOOTHING = 0.03
+#: Longer passages are no trusted wording, and records of more passages no trusted record; the model judges them all the same.
+MOST_KNOWN, MOST_TRUSTED = 160, 24
+#: The first belief in an unlabelled placeholder's being unfilled, without and with an explaining wording beside it.
+LIKELY = (0.9, 0.1)
 
 # Ways in which template languages and authors write a place to be filled.
 SLOTS = (
@@ -51,22 +59,39 @@ SEEDS = (
     r"\b(?:lorem|ipsum|dolor|amet|consectetur|adipiscing|vitae)\b|\b(\w{3,})\s+\1\b|placeholder (?:text|paragraph)|dummy (?:text|line)|sample text|text goes here|caption here|coming soon|asdf|qwer|text text|"
     r"範例文字|測試測試|請輸入文字|假文|內容建置中|標題文字|段落內容|這裡是內文|文字文字|此處為說明|^(.{2,10}?)\2+[。！!.]?$"
 )
+# What a passage with one of these wordings holds at least; but for the two kinds of repetition.
+NEEDLES = (
+    "java", "script", "指令碼", "cookie", "停用 js", "checking your browser", "internal server error", "bad gateway", "service unavailable", "gateway time", "page not found", "not found on this server", "request timed out",
+    "access denied", "forbidden", "connection refused", "something went wrong", "fatal error", "uncaught exception", "traceback (most", "sqlstate", "stack trace", "nullpointer", "http ", "error ", "錯誤代碼", "發生錯誤", "找不到您要的",
+    "頁面不存在", "存取被拒", "連線逾時", "系統維護", "暫停服務", "無法處理", '"status":', "keyerror", "lorem", "ipsum", "dolor", "amet", "consectetur", "adipiscing", "vitae", "placeholder ", "dummy ", "sample text", "text goes here",
+    "caption here", "coming soon", "asdf", "qwer", "text text", "範例文字", "測試測試", "請輸入文字", "假文", "內容建置中", "標題文字", "段落內容", "這裡是內文", "文字文字", "此處為說明",
+)
 SLOT = regex.compile("|".join(SLOTS))
 EXPLAIN = regex.compile(EXPLAINS)
 # Passages are lower case: the same without regard to case, in a quarter of the time, once the letters whose lower case is two are one.
 SEED = re.compile(SEEDS.removeprefix("(?i)"))
-FOLDED = str.maketrans("ſς", "sσ")
-BREAK = regex.compile(r"[\r\n\x0b\x0c\x85\u2028\u2029]+|(?<=[。！？｡!?])|(?<=\.)(?:\s+|(?=\p{Han}))|\s{2,}")
+FOLDED = (("ſ", "s"), ("ς", "σ"))
+REPEATED = re.compile(r"^(.{2,10}?)\1+[。！!.]?$")
+# A line breaks after a mark, and after a full stop before white space or a Han character.
+LINES = (*((c, "\n") for c in "\r\x0b\x0c\x85\u2028\u2029"), *((c, f"{c}\n") for c in "。！？｡!?"))
+STOP = re.compile(r"\.(?=\s|[\u3005\u3007\u3021-\u3029\u3038-\u303b\u2e80-\u2fd5\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufad9\U00020000-\U0003fffd])")
+GAP = re.compile(r"\s\s+")
 MARK = "\x02"
 NUMBER = regex.compile(r"\d+")
 QUOTED = regex.compile("「[^「」]*」")
 AROUND = regex.compile(r"[^\x02]{0,16}\x02[^\x02]{0,24}", regex.DOTALL)
 
 
+def _replaced(text: str, pairs: tuple[tuple[str, str], ...]) -> str:
+    for a, b in pairs:
+        text = text.replace(a, b)
+    return text
+
+
 def passages(text: str) -> tuple[list[str], list[str]]:
     """The sentences and lines of a text, placeholders put as one sign and quotations emptied, and what stands around each placeholder."""
-    slotted = SLOT.sub(MARK, text.replace("\xa0", " "))
-    parts = [p for p in (p.strip(" \t\u3000\ufeff\u200b-•*").lower() for p in BREAK.split(slotted)) if p]
+    slotted = GAP.sub("\n", STOP.sub(".\n", _replaced(SLOT.sub(MARK, text.replace("\xa0", " ")), LINES)))
+    parts = [p for p in (p.strip(" \t\u3000\ufeff\u200b-•*").lower() for p in slotted.split("\n")) if p]
     around = [w.group() for p in parts if MARK in p for w in AROUND.finditer(p)]
     return [QUOTED.sub("「」", p) for p in parts], around
 
@@ -121,11 +146,31 @@ def expectation_maximisation(rows: list[str], times: np.ndarray, state: np.ndarr
     return odds
 
 
+@lru_cache(1)
+def _needles() -> ahocorasick.Automaton:
+    found = ahocorasick.Automaton()
+    for n in NEEDLES:
+        found.add_word(n, n)
+    found.make_automaton()
+    return found
+
+
+def is_known(passage: str) -> bool:
+    """Whether a passage (lower case) is of a known wording; most hold no part of one and need no closer look."""
+    folded = _replaced(passage, FOLDED)
+    if next(_needles().iter(folded), None) is None and REPEATED.search(folded) is None:
+        words = folded.split()
+        if len(words) < 2 or not any(a[-3:] == b[: len(a)][-3:] or b.startswith(a[-3:]) for a, b in zip(words, words[1:])):
+            return False
+    return SEED.search(folded) is not None
+
+
 def count(texts: list[str]) -> dict[tuple[bool, str], list[float]]:
     """By (whether it stands around a placeholder, passage but for its numbers): how often it is trusted, how often not, known wording beside it, records where it is usual.
 
     Passages of records that known wordings make up are trusted residue. Usual is a passage in a record of some
-    length nearly free of them. A placeholder counts as unfilled, which is trusted, unless something near explains it.
+    length nearly free of them. A placeholder is trusted to be unfilled where no passage of its record is worded like
+    an explanation; else how likely it is at first depends on whether such a wording stands by it.
     """
     found: dict[tuple[bool, str], list[float]] = {}
     known: dict[str, bool] = {}
@@ -134,9 +179,9 @@ def count(texts: list[str]) -> dict[tuple[bool, str], list[float]]:
         plain = [NUMBER.sub("0", p) for p in parts]
         for p, q in zip(parts, plain, strict=True):
             if q not in known:
-                known[q] = len(p) < 160 and SEED.search(p.translate(FOLDED) if not p.isascii() else p) is not None
+                known[q] = len(p) < MOST_KNOWN and is_known(p)
         hits = [known[q] for q in plain]
-        residue = len(parts) <= 24 and sum(hits) * 2 >= len(parts)
+        residue = len(parts) <= MOST_TRUSTED and sum(hits) * 2 >= len(parts)
         beside = sum(hits) / len(parts) if parts and sum(hits) * 3 >= len(parts) else 0
         for p, h in zip(plain, hits, strict=True):
             of = found.setdefault((False, p), [0, 0, 0, 0])
@@ -148,22 +193,28 @@ def count(texts: list[str]) -> dict[tuple[bool, str], list[float]]:
         if len(parts) >= 4 and sum(hits) * 5 <= len(parts):
             for p in {p for p, h in zip(plain, hits, strict=True) if not h}:
                 found[False, p][3] += 1
+        trusted = around and not any(map(EXPLAIN.search, parts))
         for w in around:
-            found.setdefault((True, w), [0, 0, 0, 0])[1 if EXPLAIN.search(w) else 0] += 1
+            of = found.setdefault((True, w), [0, 0, 0, 0])
+            if trusted:
+                of[0] += 1
+            else:
+                of[1] += 1
+                of[2] += LIKELY[EXPLAIN.search(w) is not None]
     return found
 
 
 def fit(rows: list[tuple[bool, str, float, float, float, float]], recurs: float) -> np.ndarray:
     """Two models, of passages and of what stands around placeholders (2 x features), from the sums of ``count``.
 
-    A passage that is usual in ``recurs`` records is reliably content, an explained placeholder as well;
-    others that aren't trusted are unlabelled.
+    A passage that is usual in ``recurs`` records is reliably content; others that aren't trusted are
+    unlabelled, those around placeholders always.
     """
     models = []
     for slot in (False, True):
         own = sorted(r[1:] for r in rows if r[0] == slot)
         c = [(p, trusted, 1, 0.0) for p, trusted, _, _, _ in own if trusted]
-        c += [(p, n, -1 if slot or usual >= recurs else 0, beside) for p, _, n, beside, usual in own if n]
+        c += [(p, n, -1 if not slot and usual >= recurs else 0, beside) for p, _, n, beside, usual in own if n]
         times, state = np.array([n for _, n, _, _ in c], float), np.array([t for _, _, t, _ in c], int)
         first = np.array([beside for _, _, _, beside in c]) / times  # how much known wording stands beside a passage
         models.append(expectation_maximisation([p for p, _, _, _ in c], times, state, first) if c else np.zeros(NOTHING + 1, "<f4"))
@@ -192,7 +243,7 @@ def learn(df: DataFrame, key: str, text: str, most: int = FIT_DOCUMENTS) -> byte
     if not rates:
         return bytes(8 * (NOTHING + 1))
     rate = F.element_at(F.create_map(*[F.lit(x) for kv in rates.items() for x in kv]), F.col("kind"))
-    some = counted.withColumn("rate", rate).filter(F.pmod(F.xxhash64("passage"), F.lit(1_000_000)) < F.col("rate") * 1_000_000)
+    some = counted.withColumn("rate", rate).filter(chosen(F.xxhash64("passage"), F.col("rate")))
     scale = min(1.0, FIT_DOCUMENTS / max(n, 1))  # SMOOTHING is meant for counts of that many
     weighed = some.select("slot", "passage", *[(F.col(c) * scale / F.col("rate")).alias(c) for c in SUMS[:3]], "usual")
     recurs = max(RECURS, RECURS_SHARE * n)
@@ -203,7 +254,14 @@ def learn(df: DataFrame, key: str, text: str, most: int = FIT_DOCUMENTS) -> byte
 
     found = weighed.repartition(1).mapInArrow(run, "model binary").collect()
     release(counted)
-    return bytes(found[0]["model"]) if found else bytes(8 * (NOTHING + 1))
+    if not found:
+        raise RuntimeError("no passage was chosen for the fit")
+    return bytes(found[0]["model"])
+
+
+def chosen(hashed: Column, rate: Column) -> Column:
+    """Whether a 64-bit hash is among the ``rate`` of all, which may be smaller than any count of buckets."""
+    return hashed.cast("double") / 2.0**64 + 0.5 <= rate
 
 
 def decide(parts: list[str], scores: list[float], around: list[float]) -> str | None:

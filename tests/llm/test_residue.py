@@ -68,3 +68,29 @@ def test_rare_residue_of_no_known_wording_is_fitted_whatever_the_bound(spark):
     df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
     model = R.np.frombuffer(R.learn(df, "doc_id", "text", most=20), "<f4").reshape(2, -1)
     assert R._scores(model[0], ["widget gizmo stalled"])[0] > 0
+
+
+def test_the_model_and_not_the_word_list_decides_on_placeholders():
+    rng = random.Random(9)
+    docs = ["\n".join([*content(rng, 2), f"請同學在{rng.choice(SLOTS)}集合後開始錄影。", *content(rng, 1)]) for _ in range(200)]
+    docs += ["\n".join([*content(rng, 2), rng.choice(TALK[2:]), *content(rng, 1)]) for _ in range(120)]
+    worded = ["請同學在{{place}}集合後開始說明。", "請同學在{{place}}集合後開始錄影，說明"]  # the list takes these for explanations
+    quoted = ["規則：範例裡的 {P} 是地點，展開後會變成真正的地名。"]  # and this for none
+    docs += ["\n".join([*content(rng, 2), p, *content(rng, 1), *([TALK[2]] if p in quoted else [])]) for p in (worded + quoted) * 4]
+    found = R.count(docs)
+    model = R.fit([(slot, p, *map(float, v)) for (slot, p), v in found.items()], 8)
+    said = lambda text: [s > 0 for s in R._scores(model[1], R.passages(text)[1])]
+    assert [said(p) for p in worded] == [[True]] * 2 and all(R.EXPLAIN.search(p) for p in worded)
+    assert said(quoted[0]) == [False] and not R.EXPLAIN.search(quoted[0])
+    assert [said(p) for p in TALK[2:]] == [[False]] * 2 and said("請同學在{P}集合後開始錄影。") == [True]
+
+
+def test_a_share_smaller_than_any_bucket_is_still_met(spark):
+    few = spark.range(1_000_000).filter(R.chosen(R.F.xxhash64("id"), R.F.lit(40_000 / 2e9))).count()
+    assert 5 <= few <= 50
+    assert spark.range(1000).filter(R.chosen(R.F.xxhash64("id"), R.F.lit(1.0))).count() == 1000
+
+
+def test_known_wordings_are_those_of_the_patterns(corpus):
+    parts = {p for t, _ in corpus for p in R.passages(t)[0]} | {"the the end", "go-go go", "no. no", "abcabc", "甲乙甲乙。", "ſcript needed", "xyz xy z", "error 50x", "error 500", "nothing here at all"}
+    assert {p for p in parts if R.is_known(p)} == {p for p in parts if R.SEED.search(R._replaced(p, R.FOLDED))}
