@@ -1,10 +1,10 @@
 """Items of varying size are packed into containers of fixed capacity.
 
 Whole containers are cut off items above the capacity first. Items then go, by hash, to groups of a
-bounded size, however skewed their sizes or sources are. In each group they are placed best fit
-first, and a local search exchanges one item for one, two for one, or moves items between underfull
-bins wherever that increases the sum of squared fills, until no two bins of the group have such an
-exchange left. What stands in bins still underfull after a round is packed again with that of the
+bounded size, however skewed their sizes or sources are. In each group they are placed as they come,
+each into the last bin or a new one, and a local search exchanges one item for one, two for one, or
+moves items between underfull bins wherever that increases the sum of squared fills, emptying bins,
+until no two bins of the group have such an exchange left. What stands in bins still underfull after a round is packed again with that of the
 other groups in the next; after the last, exchanges between bins of different groups may be left.
 """
 
@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from bisect import bisect_left, insort
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from heapq import heappop, heappush
 
 import numpy as np
@@ -27,6 +27,23 @@ GROUP_ITEMS = 20_000
 FULL = 0.998
 
 
+#: Tasks of a round at most.
+ROUND_TASKS = 1 << 16
+
+
+def next_fit(sizes: list[int], capacity: int) -> list[list[int]]:
+    """Bins of item indices: each item goes into the last bin, or a new one where that has no room. The search does the rest."""
+    bins: list[list[int]] = []
+    room = 0
+    for i, size in enumerate(sizes):
+        if size > room:
+            bins.append([])
+            room = capacity
+        bins[-1].append(i)
+        room -= size
+    return bins
+
+
 def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
     """Bins of item indices; the largest item first, each into the fullest bin with room."""
     bins: list[list[int]] = []
@@ -175,7 +192,7 @@ def _items(held: list[int], sizes: list[int], size: int) -> list[int]:
     raise ValueError(size)
 
 
-def _round(items: DataFrame, capacity: int, number: int, groups: int) -> DataFrame:
+def _round(items: DataFrame, capacity: int, number: int, groups: int, first: Callable[[list[int], int], list[list[int]]]) -> DataFrame:
     """``items`` (``key, uid, start, size``) with ``bin``, a string of round, group and number within it, and its ``fill``."""
     schema = T.StructType([*items.schema.fields, T.StructField("bin", T.StringType()), T.StructField("fill", T.IntegerType())])
 
@@ -186,9 +203,9 @@ def _round(items: DataFrame, capacity: int, number: int, groups: int) -> DataFra
 
         def emit() -> pa.RecordBatch:
             table = pa.Table.from_batches(held).combine_chunks()
-            table = table.sort_by([(c, "ascending") for c in ("size", "uid", "start")])  # the same bins however rows arrive
+            table = table.sort_by([("uid", "ascending"), ("start", "ascending")])  # the same bins however rows arrive
             sizes = table["size"].to_pylist()
-            bins = swap_search(best_fit(sizes, capacity), sizes, capacity)
+            bins = swap_search(first(sizes, capacity), sizes, capacity)
             of, fill = [0] * len(sizes), [0] * len(sizes)
             for n, b in enumerate(bins):
                 total = sum(sizes[i] for i in b)
@@ -213,15 +230,15 @@ def _round(items: DataFrame, capacity: int, number: int, groups: int) -> DataFra
             yield emit()
 
     grouped = items.withColumn("group", F.expr(f"cast(pmod(xxhash64(uid, start, {number}), {groups}) as int)"))
-    return grouped.repartition(min(groups, 4096), "group").sortWithinPartitions("group").mapInArrow(pack, schema)
+    return grouped.repartition(min(groups, ROUND_TASKS), "group").sortWithinPartitions("group").mapInArrow(pack, schema)
 
 
-def pack(items: DataFrame, key: str, size: str, capacity: int, group_items: int = GROUP_ITEMS, rounds: int = 3) -> DataFrame:
+def pack(items: DataFrame, key: str, size: str, capacity: int, group_items: int = GROUP_ITEMS, rounds: int = 3, first: Callable[[list[int], int], list[list[int]]] = next_fit) -> DataFrame:
     """Rows ``bin, key, start, size``: every token of every item placed once.
 
     Items of null or no size are left out. An item above ``capacity`` is split into whole containers and
     a rest, at ``start``; no other is. Rows that repeat a key are items of their own. An empty
-    table gives no bins. Other columns are left out.
+    table gives no bins. Other columns are left out. ``first`` places the items that the search begins with.
     """
     sized = items.select(F.col(key).alias("key"), F.col(size).cast("int").alias("whole")).filter("whole > 0")
     pieces = F.expr(f"transform(sequence(0, cast((whole - 1) div {capacity} as int)), i -> struct(i * {capacity} as start, least({capacity}, whole - i * {capacity}) as size))")
@@ -233,7 +250,7 @@ def pack(items: DataFrame, key: str, size: str, capacity: int, group_items: int
         if not n:
             break
         groups = -(-n // group_items)
-        placed = cut(_round(left, capacity, number, groups))
+        placed = cut(_round(left, capacity, number, groups, first))
         last = number == rounds or groups == 1
         kept = placed if last else placed.filter(F.col("fill") >= FULL * capacity)
         done.append(kept.select("bin", "key", "start", "size"))

@@ -73,3 +73,12 @@ def test_room_in_many_bins_saves_containers():
     sizes = [rng.randint(300, 900) for _ in range(2000)]
     first = P.best_fit(sizes, 2048)
     assert len(first) == 609 and len(P.swap_search(first, sizes, 2048)) <= 600  # 592 is a lower bound
+
+
+def test_the_search_empties_the_bins_that_the_first_placement_leaves():
+    rng = random.Random(2)
+    for sizes, most in (([1 + int(rng.expovariate(1 / 400)) % 2000 for _ in range(3000)], 1), ([rng.randint(300, 900) for _ in range(3000)], 8)):
+        first, least = P.next_fit(sizes, 2048), -(-sum(sizes) // 2048)
+        assert sorted(i for b in first for i in b) == list(range(len(sizes)))
+        bins = P.swap_search([list(b) for b in first], sizes, 2048)
+        assert len(first) > 1.1 * least and len(bins) <= least + most
