@@ -1,22 +1,25 @@
 """Splits that keep related records together.
 
 Records and the entities they name form a bipartite graph. Records that name the same entities are
-one node from the start; minimum labels then go from nodes to entities and back, with a jump along
-the label's own label, until nothing changes. Units are assigned to splits so that the labels deviate least from the given shares:
-large units one by one, small ones by cells of their hash within the stratum of their main label.
+one node from the start, numbered as it is written; minimum labels, which are such numbers, then go
+from nodes to entities and back, with a jump along the label's own label, until nothing changes.
+Units are assigned to splits so that the labels deviate least from the given shares: large units one
+by one, small ones of a common label by cells of their hash within the stratum of that label, those
+of any other label along their hashes within it.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from signloom.plans.durable import cut, release
 
 #: Units above this share of all records are placed one by one: at most its inverse. Small ones share so many cells a label.
 LARGE_SHARE = 0.0005
 UNIT_CELLS = 2048
-#: Labels told apart; rarer ones count as one.
+#: Labels whose strata are cells. Units of rarer ones are placed label by label, in parallel, by their running share of it.
 LABELS = 64
 
 
@@ -42,10 +45,13 @@ def units(records: DataFrame, segments: DataFrame) -> DataFrame:
     is a unit of its own.
     """
     named = cut(named_entities(records, segments))
-    nodes = named.filter(F.size("entities") > 0).groupBy("entities").agg(F.min("id").alias("node"))
-    edges = cut(nodes.select("node", F.explode("entities").alias("entity")))
-    labels = propagate(edges)
-    placed = named.join(nodes, "entities").select("id", "node").join(labels, "node").select("id", F.col("label").alias("unit"))
+    nodes = named.filter(F.size("entities") > 0).groupBy("entities").agg(F.min("id").alias("name"))
+    nodes = cut(nodes.withColumn("node", F.monotonically_increasing_id()))
+    entity = F.struct(F.xxhash64("e").alias("h"), F.xxhash64(F.lit(0x5EED), "e").alias("g"))  # 128 bits stand for its text
+    labels = propagate(nodes.select("node", F.explode("entities").alias("e")).select("node", entity.alias("entity")))
+    told = nodes.join(labels, "node")
+    unit = told.groupBy("label").agg(F.min("name").alias("unit"))
+    placed = named.join(told.join(unit, "label").select("entities", "unit"), "entities").select("id", "unit")
     return placed.unionByName(named.filter(F.size("entities") == 0).select("id", F.col("id").alias("unit")))
 
 
@@ -92,21 +98,44 @@ def assign(placed: DataFrame, labels: DataFrame, shares: DataFrame) -> DataFrame
     """Rows ``id, unit, split`` for the rows ``id, unit`` of ``placed``; whole units, near the shares for every label.
 
     ``labels`` has ``id, label``, null being a label of its own; ``shares`` has ``split, share``. Without
-    shares every split is null. What goes to the driver is bounded: large units, cells, labels.
+    shares every split is null. What goes to the driver is bounded: ``LABELS`` labels, and their counts
+    in large units and cells.
     """
     spark = placed.sparkSession
     given = {r["split"]: float(r["share"] or 0) for r in shares.filter("split is not null").select("split", "share").collect()}
     if not given:
         return placed.withColumn("split", F.lit(None).cast("string"))
     named = placed.join(labels.select("id", F.coalesce("label", F.lit("")).alias("label")).dropDuplicates(["id"]), "id", "left").fillna("", ["label"])
-    common = [r["label"] for r in named.groupBy("label").count().orderBy(F.desc("count"), "label").limit(LABELS - 1).collect()]
-    sizes = cut(named.withColumn("label", F.when(F.col("label").isin(common), F.col("label")).otherwise("\x00")).groupBy("unit", "label").agg(F.count(F.lit(1)).alias("n")))
+    sizes = cut(named.groupBy("unit", "label").agg(F.count(F.lit(1)).alias("n")))
+    common = sizes.groupBy("label").agg(F.sum("n").alias("all")).orderBy(F.desc("all"), "label").limit(LABELS)
+    known = spark.createDataFrame([(r["label"],) for r in common.collect()], "label string").withColumn("common", F.lit(True))
     total = sizes.agg(F.sum("n").alias("n")).first()["n"] or 0
-    whole = sizes.groupBy("unit").agg(F.sum("n").alias("size"), F.max(F.struct("n", "label")).alias("most"))
-    cell = F.when(F.col("size") > max(1.0, LARGE_SHARE * total), F.concat(F.lit("u"), "unit")).otherwise(F.concat_ws("/", F.lit("c"), F.expr(f"pmod(xxhash64(unit), {UNIT_CELLS})"), F.col("most.label")))
-    cells = cut(whole.select("unit", cell.alias("cell")))
+    whole = sizes.groupBy("unit").agg(F.sum("n").alias("size"), F.max(F.struct("n", "label")).alias("most")).select("unit", "size", F.col("most.label").alias("label"))
+    large = F.col("size") > max(1.0, LARGE_SHARE * total)
+    cell = F.when(large, F.concat(F.lit("u"), "unit")).when(F.col("common"), F.concat_ws("/", F.lit("c"), F.expr(f"pmod(xxhash64(unit), {UNIT_CELLS})"), "label"))
+    cells = cut(whole.join(F.broadcast(known), "label", "left").select("unit", "size", "label", cell.alias("cell")))
     items: dict[str, dict[str, int]] = {}
-    for r in sizes.join(cells, "unit").groupBy("cell", "label").agg(F.sum("n").alias("n")).collect():
+    counts = sizes.join(cells.filter("cell is not null").select("unit", "cell"), "unit").join(F.broadcast(known), "label", "left")
+    for r in counts.groupBy("cell", F.when(F.col("common"), F.col("label")).otherwise("\x00").alias("label")).agg(F.sum("n").alias("n")).collect():
         items.setdefault(r["cell"], {})[r["label"]] = r["n"]
     chosen = spark.createDataFrame([*place([*items.items()], given).items()], "cell string, split string")
-    return placed.join(cells, "unit").join(F.broadcast(chosen), "cell").select("id", "unit", "split")
+    rare = cells.filter("cell is null").select("unit", running_share(given).alias("split"))
+    split_of = cells.join(F.broadcast(chosen), "cell").select("unit", "split").unionByName(rare)
+    return placed.join(split_of, "unit").select("id", "unit", "split")
+
+
+def running_share(given: dict[str, float]) -> Column:
+    """The split of a unit (``unit, size, label``) by the share of its label that goes before it along the units' hashes.
+
+    Each label begins at a place of its own, so labels of one unit don't all go to the largest split.
+    """
+    order = Window.partitionBy("label").orderBy(F.xxhash64("unit"), "unit")
+    before = F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size") / 2
+    start = F.xxhash64(F.lit(7), "label").cast("double") / 2.0**64 + 0.5
+    place_of = F.pmod(before / F.sum("size").over(Window.partitionBy("label")) + start, F.lit(1.0))
+    whole, reached, split = sum(given.values()) or 1.0, 0.0, None
+    for name in sorted(given)[:-1]:
+        reached += given[name] / whole
+        split = F.when(place_of < reached, name) if split is None else split.when(place_of < reached, name)
+    last = F.lit(sorted(given)[-1])
+    return last if split is None else split.otherwise(last)

@@ -68,3 +68,21 @@ def test_assignment_keeps_units_and_shares(spark):
         assert abs(sum(r["split"] == s for r in got) / len(rows) - share) < 0.01
     assert {r["split"] for r in U.assign(placed, labels, shares.limit(0)).collect()} == {None}
     assert U.assign(placed.limit(0), labels, shares).count() == 0
+
+
+def test_every_label_however_rare_is_spread_by_the_shares(spark):
+    rng = random.Random(5)
+    units = [(f"u{n}", n % 100, rng.randint(1, 4)) for n in range(9000)]
+    rows = [(f"{u}-{k}", u, f"label{x}") for u, x, size in units for k in range(size)] + [(f"one{n}", f"one{n}", f"single{n}") for n in range(500)]
+    df = spark.createDataFrame(rows, "id string, unit string, label string")
+    given = {"train": 0.8, "dev": 0.08, "test": 0.12}
+    got = U.assign(df.select("id", "unit"), df.select("id", "label"), spark.createDataFrame([*given.items()], "split string, share double")).collect()
+    of, label = {r["id"]: r["split"] for r in got}, {i: x for i, _, x in rows}
+    assert len(got) == len(of) == len(rows)
+    assert len({(u, of[i]) for i, u, _ in rows}) == len({u for _, u, _ in rows})
+    for s, share in given.items():
+        for x in range(100):
+            own = [i for i in of if label[i] == f"label{x}"]
+            assert abs(sum(of[i] == s for i in own) / len(own) - share) < 0.06, (s, x)
+        single = [i for i in of if label[i].startswith("single")]
+        assert abs(sum(of[i] == s for i in single) / len(single) - share) < 0.06
