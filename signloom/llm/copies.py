@@ -1,7 +1,7 @@
 """Records that differ in formatting only are collapsed, and their copies counted.
 
 The canonical bytes of the records are partitioned recursively by radix: buckets of one prefix that
-hold too many rows are split by further bytes until each fits. Every bucket is then read into a trie
+hold too many rows or bytes are split by further bytes until each fits. Every bucket is then read into a trie
 of canonical bytes with a counter and the keys at each terminal. A bucket that no byte can split (all
 its rows are copies of one text) is salted by key; its tries are combined by one more, small,
 aggregation.
@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from signloom.llm.house_form import bare, bare_glosses, house_columns
 from signloom.plans.durable import cut
 
-BUCKET_ROWS = 100_000
+BUCKET_ROWS, BUCKET_BYTES = 100_000, 32 << 20
 STEP_BYTES = 6
 STRIDE = 16
 
@@ -45,8 +45,8 @@ def canonical_objects(df: DataFrame, key: str, line: str, text: str, glosses: st
     return house.select("key", F.concat_ws("\n", F.coalesce(bare(F.col("text_house")), absent), F.coalesce(bare_glosses(F.col("glosses_house")), absent), "rest").alias("canon"))
 
 
-def radix_buckets(rows: DataFrame, bucket_rows: int = BUCKET_ROWS, step: int = STEP_BYTES) -> DataFrame:
-    """``rows`` (``tbl, key, bytes``) with ``bucket`` and ``salts``: a prefix of ``step`` bytes, or of twice as many again and again, that at most ``bucket_rows`` rows share.
+def radix_buckets(rows: DataFrame, bucket_rows: int = BUCKET_ROWS, step: int = STEP_BYTES, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+    """``rows`` (``tbl, key, bytes``) with ``bucket`` and ``salts``: a prefix of ``step`` bytes, or of twice as many again and again, that at most ``bucket_rows`` rows of ``bucket_bytes`` in all share.
 
     Only rows of oversized buckets are counted again. Where an oversized bucket holds one text only,
     ``salts`` says in how many parts its keys go.
@@ -55,8 +55,9 @@ def radix_buckets(rows: DataFrame, bucket_rows: int = BUCKET_ROWS, step: int = S
     while True:
         depth *= 2  # a long beginning that many texts share costs few rounds
         at = left.withColumn("bucket", F.substring("bytes", 1, depth))
-        wide = at.groupBy("tbl", "bucket").agg(F.count(F.lit(1)).alias("n"), (F.min("bytes") == F.max("bytes")).alias("one")).filter(F.col("n") > bucket_rows)
-        wide = cut(wide.select("tbl", "bucket", F.when(F.col("one"), F.ceil(F.col("n") / bucket_rows)).otherwise(0).cast("int").alias("salts")))
+        wide = at.groupBy("tbl", "bucket").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("bytes")).alias("size"), (F.min("bytes") == F.max("bytes")).alias("one"))
+        times = F.greatest(F.col("n") / bucket_rows, F.col("size") / bucket_bytes)
+        wide = cut(wide.filter(times > 1).select("tbl", "bucket", F.when(F.col("one"), F.least(F.ceil(times), F.col("n"))).otherwise(0).cast("int").alias("salts")))
         if wide.isEmpty():
             done.append(at.withColumn("salts", F.lit(1)))
             break
@@ -107,14 +108,14 @@ def _tries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield emit(now[0], last, ends)
 
 
-def collapse(rows: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+def collapse(rows: DataFrame, bucket_rows: int = BUCKET_ROWS, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """Rows ``tbl, key, rep, copies``: each key of ``rows`` (``tbl, key, canon``) with the smallest key of its copies and their number.
 
     Null keys and null texts are left out; an empty text is a text like others. Repeated rows of one
     key count once.
     """
     own = cut(rows.filter("key is not null and canon is not null").select("tbl", "key", F.encode("canon", "utf-8").alias("bytes")).distinct())
-    buckets = radix_buckets(own, bucket_rows).withColumn("salt", F.expr("pmod(xxhash64(key), salts)").cast("int"))
+    buckets = radix_buckets(own, bucket_rows, bucket_bytes=bucket_bytes).withColumn("salt", F.expr("pmod(xxhash64(key), salts)").cast("int"))
     order = ["tbl", "bucket", "salt"]
     placed = buckets.repartition(*order).sortWithinPartitions(*order).select("tbl", "bucket", "salts", "salt", "bytes", "key")
     ends = cut(placed.mapInArrow(_tries, "tbl string, bytes binary, rep string, copies long, keys array<string>"))

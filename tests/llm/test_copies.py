@@ -46,3 +46,13 @@ def test_a_hot_text_is_salted(spark):
 def test_a_long_common_beginning(spark):
     rows = spark.createDataFrame([("t", f"k{i:03}", "同一個開頭" * 400 + str(i // 2)) for i in range(100)], "tbl string, key string, canon string")
     assert collapsed(rows, bucket_rows=5) == {("t", f"k{i:03}"): (f"k{i // 2 * 2:03}", 2) for i in range(100)}
+
+
+def test_buckets_are_bounded_by_bytes_too(spark):
+    long = [("t", f"k{i:02}", "同一個開頭" * 300 + chr(0x4E00 + i // 3) * 2000) for i in range(30)] + [("t", f"m{i}", "一" * 20000) for i in range(4)]
+    rows = spark.createDataFrame(long, "tbl string, key string, canon string")
+    own = rows.select("tbl", "key", F.encode("canon", "utf-8").alias("bytes"))
+    sizes = C.radix_buckets(own, bucket_bytes=50_000).groupBy("tbl", "bucket", F.expr("pmod(xxhash64(key), salts)")).agg(F.sum(F.length("bytes")).alias("b"), F.count("*").alias("n"))
+    assert sizes.filter("b > 50000 and n > 1").count() <= 1  # copies that fall on one salt
+    want = {("t", f"k{i:02}"): (f"k{i // 3 * 3:02}", 3) for i in range(30)} | {("t", f"m{i}"): ("m0", 4) for i in range(4)}
+    assert collapsed(rows, bucket_bytes=50_000) == want
