@@ -56,7 +56,7 @@ def nearest(keys: DataFrame, names: DataFrame) -> DataFrame:
     ).filter("at >= 0 and at <= n - len")
     # which (length of value, length of segment, place) to look at follows from the reference list alone
     places = piece.select("n", "len", "at").distinct()
-    probe = keys.select("key", F.length("key").alias("n")).join(F.broadcast(places), "n").withColumn("seg", F.expr("substring(key, at + 1, len)"))
+    probe = keys.select("key", F.length("key").alias("n")).join(F.broadcast(places) if _bounded(places) else places, "n").withColumn("seg", F.expr("substring(key, at + 1, len)"))
     near = probe.join(piece, ["n", "len", "at", "seg"]).select("key", "name_key", "entry", "n").distinct()
     limit = _allowed(F.col("n"), F.length("name_key"))
     scored = near.withColumn("distance", F.levenshtein("key", "name_key")).filter(F.col("distance") <= limit)
@@ -97,6 +97,6 @@ def map_tokens(df: DataFrame, key: str, tokens: str, master: DataFrame) -> DataF
     return odd.join(mapped.select(F.col("value").alias("token"), F.col("entry").alias("gloss_id")), "token").select("id", F.col("pos").cast("int").alias("pos"), "gloss_id").distinct()
 
 
-def _bounded(master: DataFrame, most: int = 500_000) -> bool:
-    """Whether the reference list is short enough to broadcast; counted, not assumed."""
-    return master.limit(most + 1).count() <= most
+def _bounded(table: DataFrame, most: int = 500_000) -> bool:
+    """Whether a table that follows from the reference list is short enough to broadcast; counted, not assumed."""
+    return table.limit(most + 1).count() <= most
