@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 
 HEAVY_TERMS = 256
 TRACKED_TERMS = 4096
-BLANK = r"(?U)^\s*$"
+#: White space, in a way that both dialects of regular expressions read.
+BLANK = r"^[\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]*$"
 
 
 def _is_term(t: Column) -> Column:
@@ -46,7 +47,7 @@ def count_terms(df: DataFrame, terms: str, heavy: list[str] | None = None) -> Da
         for batch in batches:
             lists = batch.column(0)
             row, term = pc.list_parent_indices(lists), pc.list_flatten(lists)
-            real = pc.and_(pc.is_valid(term), pc.invert(pc.fill_null(pc.match_substring_regex(term, r"^[\s\x0b\x1c-\x1f\x{85}\p{Z}]*$"), True)))
+            real = pc.and_(pc.is_valid(term), pc.invert(pc.fill_null(pc.match_substring_regex(term, BLANK), True)))
             row, term = row.filter(real), term.filter(real)
             at = pc.index_in(term, value_set=known)
             is_heavy = pc.is_valid(at)

@@ -19,3 +19,11 @@ def test_marks(spark, rows):
     df = spark.createDataFrame([(["a", "b"],)] * 3 + [(["b"],)] * 10 + [(["c", "c"],)] + [(["d"],)] * 2 + [([],)] * 20, "gloss array<string>")
     assert rows(T.mark_terms(df, "gloss").select("term", "mark")) == [("a", None), ("b", "common"), ("c", "rare"), ("d", "rare")]
     assert T.mark_terms(df.limit(0), "gloss").count() == 0
+
+
+def test_blank_is_one_class(spark, rows):
+    blank = ["", " ", "\t", "\n", "\x0b", "\x0c", "\r", "\x85", "\xa0", "\u1680", "\u2007", "\u2028", "\u202f", "\u205f", "\u3000", " \u3000\t"]
+    terms = ["\x1c", "\x1f", "\u200b", "\ufeff", "a b"]
+    df = spark.createDataFrame([(blank + terms,)], "g array<string>")
+    assert sorted(T.heavy_terms(df, "g")) == sorted(terms)
+    assert rows(T.count_terms(df, "g", heavy=["a b"])) == rows(T.count_terms(df, "g", heavy=blank + terms)) == sorted(((t, 1, 1) for t in terms), key=repr)
