@@ -6,6 +6,7 @@ import atexit
 import gc
 import shutil
 import tempfile
+import time
 import uuid
 import zipfile
 from pathlib import Path
@@ -69,6 +70,7 @@ def release(df: DataFrame) -> None:
 def sweep(spark: SparkSession) -> None:
     """Remove the shuffle files that nothing can read any more, now rather than when the driver next happens to collect garbage."""
     gc.collect()
+    time.sleep(0.2)  # the last query's events refer to it until they are handled
     spark.sparkContext._jvm.System.gc()
 
 
