@@ -8,7 +8,7 @@ grid of salts; a 128-bit sketch of the same hashes turns most chance meetings aw
 Jaccard similarity is computed from the texts.
 
 ``BANDS`` x ``ROWS`` lose a pair of similarity 0.7 with probability (1 - 0.7 ** 4) ** 24 = 0.0014, one of
-0.75 with 0.0001, and the sketch one of 0.7 with some 0.00005; there is no cap on buckets or candidates.
+0.75 with 0.0001, and the sketch one of 0.7 with some 0.00005 (40 of 128 bits, 19 expected, standard deviation 4.8); there is no cap on buckets or candidates.
 """
 
 from __future__ import annotations
@@ -25,9 +25,10 @@ from signloom.llm.house_form import bare, house_columns
 from signloom.plans.durable import cut, release, sweep
 
 BANDS, ROWS = 24, 4
-SKETCH_DIFFERENT = 38
-#: A bitmap has 16 bits a key, but no more than 2 to this power; passes are added until it has 4.
-FILTER_BITS = 28
+SKETCH_DIFFERENT = 40
+#: A bitmap has 16 bits a key, but no more than 2 to this power; passes are added until it has 4. There are so many at least,
+#: for what a pass writes and shuffles to be a part of the input.
+FILTER_BITS, LEAST_PASSES = 28, 2
 CHUNK = 4096
 #: Pairs in a bucket above which it is split into a grid, rows of either side in a cell of it, and buckets split so at once.
 #: Which buckets are split changes where rows meet, never which.
@@ -48,32 +49,42 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-def _signatures(texts: pa.Array, fields: np.ndarray, bands: Sequence[int] = range(BANDS), sketched: bool = True) -> tuple[np.ndarray, np.ndarray | None]:
-    """Keys of ``bands`` (texts x bands) and, if ``sketched``, both halves of the sketches (2 x texts) of texts of two characters or more."""
+def _pairs(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the pairs of adjacent characters of all texts (of two or more) in a row, and where each text's begin."""
     points = np.frombuffer("".join(texts.to_pylist()).encode("utf-32-le"), np.uint32)
     lengths = pc.utf8_length(texts).to_numpy().astype(np.int64)
-    ends = np.cumsum(lengths)
     inner = np.ones(len(points), bool)
-    inner[ends - 1] = False
+    inner[np.cumsum(lengths) - 1] = False
     first = np.flatnonzero(inner)
     pair = (_mix((points[first].astype(np.uint64) << np.uint64(32)) | points[first + 1]) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-    starts = np.concatenate([[0], np.cumsum(lengths - 1)[:-1]])
-    least = {}
-    for i in range(BANDS * ROWS) if sketched else [band * ROWS + row for band in bands for row in range(ROWS)]:
-        least[i] = np.minimum.reduceat(pair * _FACTORS[i] + _SHIFTS[i], starts)
-    keys = np.empty((len(lengths), len(bands)), np.uint64)
-    own = _mix(fields.astype(np.uint64))
+    return pair, np.concatenate([[0], np.cumsum(lengths - 1)[:-1]])
+
+
+def _least(pair: np.ndarray, starts: np.ndarray, i: int) -> np.ndarray:
+    return np.minimum.reduceat(pair * _FACTORS[i] + _SHIFTS[i], starts)
+
+
+def _band_keys(texts: pa.Array, fields: np.ndarray, bands: Sequence[int]) -> np.ndarray:
+    """The keys of ``bands`` (texts x bands)."""
+    pair, starts = _pairs(texts)
+    keys, own = np.empty((len(starts), len(bands)), np.uint64), _mix(fields.astype(np.uint64))
     for at, band in enumerate(bands):
         key = own ^ _BAND[band]
         for row in range(ROWS):
-            key = _mix(key * np.uint64(31) + least[band * ROWS + row])
+            key = _mix(key * np.uint64(31) + _least(pair, starts, band * ROWS + row))
         keys[:, at] = key
-    if not sketched:
-        return keys, None
-    place = np.arange(64, dtype=np.uint64)[:, None]
-    spread = np.stack([least[i] for i in range(BANDS * ROWS)]) * np.uint32(0x9E3779B1)
-    bits = ((spread[:64] >> np.uint32(31)) & np.uint32(1), (spread[-64:] >> np.uint32(30)) & np.uint32(1))
-    return keys, np.stack([(b.astype(np.uint64) << place).sum(axis=0, dtype=np.uint64) for b in bits])
+    return keys
+
+
+def _sketches(texts: pa.Array) -> list[np.ndarray]:
+    """Both halves of the texts' sketches: two bits of each of 64 hashes."""
+    pair, starts = _pairs(texts)
+    halves = [np.zeros(len(starts), np.uint64) for _ in range(2)]
+    for i in range(64):
+        spread = _least(pair, starts, i) * np.uint32(0x9E3779B1)
+        for half, bit in enumerate((31, 30)):
+            halves[half] |= ((spread >> np.uint32(bit)) & np.uint32(1)).astype(np.uint64) << np.uint64(i)
+    return halves
 
 
 class Keys:
@@ -115,7 +126,7 @@ def keys_of(df: DataFrame, bits: int, bands: Sequence[int] = range(BANDS)) -> Ke
         if "key" in batch_columns:
             yield from _summary((b.column(0).to_numpy().view(np.uint64) for b in batches if b.num_rows), bits, least)
         else:
-            yield from _summary((_signatures(b.column(0), b.column(1).to_numpy(), bands, False)[0].ravel() for b in batches if b.num_rows), bits, least)
+            yield from _summary((_band_keys(b.column(0), b.column(1).to_numpy(), bands).ravel() for b in batches if b.num_rows), bits, least)
 
     batch_columns, least = ["key"] if "key" in df.columns else ["text", "field"], max(2, CELL_ROWS // 64)
     rows = df.select(*batch_columns).mapInArrow(run, "chunk int, bits binary, key long, n long")
@@ -137,7 +148,7 @@ def with_sketches(classes: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                s, t = _signatures(batch.column("text"), batch.column("field").to_numpy(), ())[1]
+                s, t = _sketches(batch.column("text"))
                 yield batch.append_column("s", pa.array(s.view(np.int64))).append_column("t", pa.array(t.view(np.int64)))
 
     return classes.mapInArrow(run, classes.withColumns({"s": F.lit(0).cast("long"), "t": F.lit(0).cast("long")}).schema)
@@ -146,23 +157,18 @@ def with_sketches(classes: DataFrame) -> DataFrame:
 def bucket_rows(classes: DataFrame, bands: Sequence[int], other: Keys) -> DataFrame:
     """Rows ``key, cid, s, t`` of each of ``bands`` of each class, ``s`` and ``t`` its sketch; only those whose key the other side may hold."""
     shared, bits = classes.sparkSession.sparkContext.broadcast(other.bitmap), other.bits
-    known = "s" in classes.columns
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.frombuffer(shared.value, np.uint8)
         for whole in batches:
             for start in range(0, whole.num_rows, 4096):
                 batch = whole.slice(start, 4096)
-                keys, sketch = _signatures(batch.column("text"), batch.column("field").to_numpy(), bands, not known)
-                if known:
-                    sketch = np.stack([batch.column(c).to_numpy().view(np.uint64) for c in "st"])
-                flat = keys.ravel()
+                flat = _band_keys(batch.column("text"), batch.column("field").to_numpy(), bands).ravel()
                 may = np.flatnonzero(_held(flat, seen, bits))
-                of = may // len(bands)
-                columns = (flat[may].view(np.int64), batch.column("cid").to_numpy()[of], sketch[0][of].view(np.int64), sketch[1][of].view(np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "cid", "s", "t"])
+                of = pa.array(may // len(bands))
+                yield pa.RecordBatch.from_arrays([pa.array(flat[may].view(np.int64)), *(batch.column(c).take(of) for c in ("cid", "s", "t"))], names=["key", "cid", "s", "t"])
 
-    return classes.select("cid", "field", "text", *(["s", "t"] if known else [])).mapInArrow(rows, "key long, cid long, s long, t long")
+    return classes.select("cid", "field", "text", "s", "t").mapInArrow(rows, "key long, cid long, s long, t long")
 
 
 def _filtered(texts: DataFrame, ids: Keys) -> DataFrame:
@@ -188,7 +194,7 @@ def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def classes_and_members(df: DataFrame, key: str, split: str, fields: list[str], train: str, *more: str) -> tuple[DataFrame, DataFrame]:
-    """Classes ``cid, h, g, field, text, in_train, in_eval`` of equal texts per field, and members ``h, g, field, id, is_train`` and ``more``.
+    """Classes ``cid, h, g, field, text, in_train, in_eval, s, t`` of equal texts per field, and members ``h, g, field, id, is_train`` and ``more``.
 
     Classes are told by field and text and numbered; members find theirs by a hash of 128 bits.
     """
@@ -199,7 +205,7 @@ def classes_and_members(df: DataFrame, key: str, split: str, fields: list[str],
     rows = house.select(*kept, F.explode(each).alias("x")).select(*kept, "x.field", "x.text").filter(F.length("text") > 1)
     members = cut(rows.select(*_hashes(F.col("field"), F.col("text")), "field", "text", *kept).filter("id is not null"))
     classes = members.groupBy("h", "g", "field", "text").agg(F.max("is_train").alias("in_train"), F.max(~F.col("is_train")).alias("in_eval"))
-    numbered = cut(classes.withColumn("cid", F.monotonically_increasing_id()))
+    numbered = cut(with_sketches(classes.withColumn("cid", F.monotonically_increasing_id())))
     del rows, house, classes
     sweep(df.sparkSession)
     return numbered, members.drop("text")
@@ -238,9 +244,7 @@ def candidates(classes: DataFrame) -> DataFrame:
     """Rows ``one, other``: a class of an evaluation split and a training class that meet in a bucket and have like sketches."""
     spark = classes.sparkSession
     known = classes.filter("in_eval").count() * BANDS
-    passes = min(BANDS, max(1, -(-4 * known // 2**FILTER_BITS)))
-    if passes > 1:
-        classes = cut(with_sketches(classes))
+    passes = min(BANDS, max(LEAST_PASSES, -(-4 * known // 2**FILTER_BITS)))
     evaluation, training = classes.filter("in_eval"), classes.filter("in_train")
     parts = []
     for n in range(passes):
@@ -257,7 +261,7 @@ def candidates(classes: DataFrame) -> DataFrame:
     whole = parts[0]
     for part in parts[1:]:
         whole = whole.unionByName(part)
-    return whole.distinct() if passes > 1 else whole
+    return cut(whole.distinct())
 
 
 def links(classes: DataFrame) -> DataFrame:
