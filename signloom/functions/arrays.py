@@ -4,13 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-
-
-def bound(value: Column, use: Callable[[Column], Column]) -> Column:
-    """``use`` of a value that is computed once, though a lambda inside refers to it again and again."""
-    return F.get(F.transform(F.array(value), use), 0)
+from pyspark.sql.types import IntegerType
 
 
 def ngrams(tokens: Column, n: int) -> Column:
@@ -19,51 +16,45 @@ def ngrams(tokens: Column, n: int) -> Column:
     return F.when(F.size(tokens) >= n, runs).otherwise(F.array().cast("array<string>"))
 
 
-def clipped_matches(ref: Column, hyp: Column) -> Column:
-    """Over the distinct items of ``hyp``: the lesser of its counts in both arrays, summed.
-
-    Items are told from their equals by number, in sorted order, so the intersection of sets is that
-    of multisets.
-    """
-
-    def numbered(items: Column) -> Column:
-        number = lambda own: F.transform(own, lambda x, i: F.concat(x, F.lit("\x02"), (i - F.array_position(own, x)).cast("string")))
-        return bound(F.sort_array(items), number)
-
-    return F.size(F.array_intersect(numbered(ref), numbered(hyp)))
-
-
-def longest_common(ref: Column, hyp: Column) -> Column:
-    """Length of the longest common subsequence; 0 for empty arrays.
-
-    Up to 60 tokens of ``hyp`` are the bits of one number: a row of the table is one addition. Longer
-    ones carry a row of the table along.
-    """
-    some = (F.size(hyp) > 0) & (F.size(ref) > 0)
-    return F.when(some & (F.size(hyp) <= 60), _common_bits(ref, hyp)).when(some, _common_rows(ref, hyp)).otherwise(0)
-
-
-def _common_bits(ref: Column, hyp: Column) -> Column:
-    one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
-    placed = F.transform(hyp, lambda t, j: F.struct(t.alias("t"), F.call_function("shiftleft", one, j).alias("bit")))
-    mask = lambda places: F.transform(ref, lambda t: F.aggregate(places, none, lambda acc, p: acc + F.when(p["t"] == t, p["bit"]).otherwise(none)))
-    masks = bound(placed, mask)
-    full = F.call_function("shiftleft", one, F.size(hyp)) - 1
-    left = F.aggregate(masks, full, lambda v, m: (v + v.bitwiseAND(m)).bitwiseOR(v - v.bitwiseAND(m)).bitwiseAND(full))
-    return F.size(hyp) - F.bit_count(left)
-
-
-def _common_rows(ref: Column, hyp: Column) -> Column:
-    zero = F.transform(F.sequence(F.lit(0), F.size(hyp)), lambda _: F.lit(0))
-
-    def row(above: Column, token: Column) -> Column:
-        def cell(done: Column, j: Column) -> Column:
-            best = F.when(F.get(hyp, j) == token, F.get(above, j) + 1).otherwise(F.greatest(F.get(above, j + 1), F.element_at(done, -1)))
-            return F.concat(done, F.array(best))
-
-        return F.aggregate(F.sequence(F.lit(0), F.size(hyp) - 1), F.array(F.lit(0)), cell)
-
-    return F.element_at(F.aggregate(ref, zero, row), -1)
+def clipped(ref: list, hyp: list, orders: int) -> list[int]:
+    """For runs of 1 to ``orders`` tokens: over the distinct runs of ``hyp``, the lesser of its counts in both lists, summed."""
+    found = [0] * orders
+    for n in range(1, orders + 1):
+        have: dict = {}
+        for run in zip(*(ref[i:] for i in range(n)), strict=False):
+            have[run] = have.get(run, 0) + 1
+        for run in zip(*(hyp[i:] for i in range(n)), strict=False):
+            if have.get(run):
+                have[run] -= 1
+                found[n - 1] += 1
+        if not found[n - 1]:  # longer runs hold shorter ones
+            break
+    return found
+
+
+@F.arrow_udf(IntegerType())
+def clipped_matches(ref: pa.Array, hyp: pa.Array) -> pa.Array:
+    """Over the distinct items of ``hyp``: the lesser of its counts in both arrays, summed."""
+    return pa.array([clipped(a or [], b or [], 1)[0] for a, b in zip(ref.to_pylist(), hyp.to_pylist(), strict=True)], pa.int32())
+
+
+def common_length(ref: list, hyp: list) -> int:
+    """Length of the longest common subsequence: the tokens of ``hyp`` are the bits of one number, each of ``ref`` is an addition."""
+    masks: dict = {}
+    for place, token in enumerate(hyp):
+        masks[token] = masks.get(token, 0) | 1 << place
+    full = (1 << len(hyp)) - 1
+    left = full
+    for token in ref:
+        hit = left & masks.get(token, 0)
+        left = (left + hit | left - hit) & full
+    return len(hyp) - left.bit_count()
+
+
+@F.arrow_udf(IntegerType())
+def longest_common(ref: pa.Array, hyp: pa.Array) -> pa.Array:
+    """Length of the longest common subsequence; 0 for null and empty arrays."""
+    return pa.array([common_length(a or [], b or []) for a, b in zip(ref.to_pylist(), hyp.to_pylist(), strict=True)], pa.int32())
 
 
 def last_match(tokens: Column, markers: list[str]) -> Column:

@@ -18,6 +18,8 @@ SENTENCE_MARKS = "。，？?"
 LABELS = "Gloss|gloss|手語|TSL"
 QUOTES = "「」\"'"
 END_MARKS = "。．.!?！？"
+END_NOTE = r"[（(][^（）()]*[）)]$"
+VARIANT = r"^(.+?)_([A-Za-z]{1,2}\d?)$"
 PLACEHOLDER = "＿"
 
 
@@ -56,12 +58,12 @@ def clauses(value: Column | str) -> Column:
 
 def base_name(name: Column | str) -> Column:
     """A name without its variant suffix."""
-    return F.regexp_replace(_col(name), r"^(.+?)_([A-Za-z]{1,2}\d?)$", "$1")
+    return F.regexp_replace(_col(name), VARIANT, "$1")
 
 
 def variant_of(name: Column | str) -> Column:
     """The variant suffix of a name, null without one."""
-    return F.nullif(F.regexp_extract(_col(name), r"^(.+?)_([A-Za-z]{1,2}\d?)$", 2), F.lit(""))
+    return F.nullif(F.regexp_extract(_col(name), VARIANT, 2), F.lit(""))
 
 
 def clean_token(token: Column | str) -> Column:
@@ -128,7 +130,7 @@ def parse_prediction(raw: Column | str) -> Column:
         out = strip(strip(strip(line), "`"))
         out = F.regexp_replace(out, f"^(?:{LABELS})[：:][{SPACE}]*", "")
         out = strip(F.replace(F.translate(out, "／", "/"), F.lit(" "), F.lit("")), QUOTES)
-        out = F.regexp_replace(out, r"[（(][^（()）]*[）)]$", "")
+        out = F.regexp_replace(out, END_NOTE, "")
         return F.regexp_replace(out, f"[{END_MARKS}]+$", "")
 
     lines = F.filter(F.transform(F.split(strip(raw), LINE_BREAK), clean), lambda x: x != "")

@@ -1,15 +1,18 @@
 """Metrics of predictions against references, and of marker positions.
 
-A row holds its reference and its hypothesis, so pairing needs no join. Every metric is one
-aggregation of per-row numbers; nothing is exploded or shuffled by n-gram.
+A row holds its reference and its hypothesis, so pairing needs no join. The metrics of pairs come from
+one pass that counts Arrow batches; nothing is exploded or shuffled by n-gram.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from signloom.functions.arrays import clipped_matches, last_match, longest_common, ngrams
+from signloom.functions.arrays import clipped, common_length, last_match, longest_common
 from signloom.functions.text import tokens
 
 ORDERS = (1, 2, 3, 4)
@@ -21,20 +24,37 @@ def pairs(df: DataFrame, ref: str, hyp: str) -> DataFrame:
     return df.select(F.coalesce(tokens(ref), none).alias("ref"), F.coalesce(tokens(hyp), none).alias("hyp"))
 
 
-def _sums(paired: DataFrame, *more: Column) -> DataFrame:
-    """One row of all that BLEU needs, and ``more``, in one pass."""
-    sums = []
-    for n in ORDERS:
-        sums.append(F.coalesce(F.sum(clipped_matches(ngrams(F.col("ref"), n), ngrams(F.col("hyp"), n))), F.lit(0)).alias(f"matches_{n}"))
-        sums.append(F.coalesce(F.sum(F.greatest(F.size("hyp") - n + 1, F.lit(0))), F.lit(0)).alias(f"total_{n}"))
-    lengths = [F.coalesce(F.sum(F.size(c)), F.lit(0)).alias(f"{c}_len") for c in ("ref", "hyp")]
-    return paired.agg(*sums, *lengths, *more)
+COUNTS = (*(f"matches_{n}" for n in ORDERS), *(f"total_{n}" for n in ORDERS), "ref_len", "hyp_len", "n", "exact")
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The counts of a batch of pairs, in one row."""
+    for batch in batches:
+        counts, f1 = dict.fromkeys(COUNTS, 0), 0.0
+        for ref, hyp in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            same = ref == hyp
+            for n, m in zip(ORDERS, [max(len(hyp) - n + 1, 0) for n in ORDERS] if same else clipped(ref, hyp, len(ORDERS)), strict=True):
+                counts[f"matches_{n}"] += m
+                counts[f"total_{n}"] += max(len(hyp) - n + 1, 0)
+            counts["ref_len"] += len(ref)
+            counts["hyp_len"] += len(hyp)
+            counts["n"] += 1
+            counts["exact"] += same
+            if ref and hyp:
+                f1 += 2 * (len(hyp) if same else common_length(ref, hyp)) / (len(ref) + len(hyp))
+        yield pa.RecordBatch.from_arrays([*(pa.array([counts[c]], pa.int64()) for c in COUNTS), pa.array([f1])], names=[*COUNTS, "f1"])
+
+
+def sums(paired: DataFrame) -> DataFrame:
+    """One row of all that the metrics need, from one pass over the pairs: batches are counted where they are, and only their sums travel."""
+    parts = paired.select("ref", "hyp").mapInArrow(_counted, ", ".join(f"{c} long" for c in COUNTS) + ", f1 double")
+    return parts.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in (*COUNTS, "f1")])
 
 
 def bleu_counts(paired: DataFrame) -> DataFrame:
     """Rows ``n, matches, total`` for n of 1 to 4, those without any n-gram included."""
     each = F.array(*[F.struct(F.lit(n).alias("n"), F.col(f"matches_{n}").alias("matches"), F.col(f"total_{n}").alias("total")) for n in ORDERS])
-    return _sums(paired).select(F.explode(each).alias("x")).select("x.*")
+    return sums(paired).select(F.explode(each).alias("x")).select("x.*")
 
 
 def _bleu() -> Column:
@@ -48,7 +68,7 @@ def _bleu() -> Column:
 
 
 def bleu(paired: DataFrame) -> DataFrame:
-    return _sums(paired).select(_bleu().alias("bleu"))
+    return sums(paired).select(_bleu().alias("bleu"))
 
 
 def rouge_l_of(ref: Column, hyp: Column) -> Column:
@@ -57,35 +77,30 @@ def rouge_l_of(ref: Column, hyp: Column) -> Column:
     return F.when(common > 0, 2 * common / (F.size(ref) + F.size(hyp))).otherwise(0.0)
 
 
-def _mean_rouge_l() -> Column:
-    return (F.coalesce(F.avg(rouge_l_of(F.col("ref"), F.col("hyp"))), F.lit(0.0)) * 100).alias("rouge_l")
-
-
-def _share_exact() -> Column:
-    return (F.coalesce(F.avg((F.col("ref") == F.col("hyp")).cast("int")), F.lit(0.0)) * 100).alias("exact_match")
+def _mean(value: str) -> Column:
+    return F.when(F.col("n") > 0, F.col(value) / F.col("n") * 100).otherwise(0.0)
 
 
 def rouge_l(paired: DataFrame) -> DataFrame:
-    return paired.agg(_mean_rouge_l())
+    return sums(paired).select(_mean("f1").alias("rouge_l"))
 
 
 def exact_match(paired: DataFrame) -> DataFrame:
-    return paired.agg(_share_exact())
+    return sums(paired).select(_mean("exact").alias("exact_match"))
 
 
 def in_vocab(paired: DataFrame, names: DataFrame, name: str) -> DataFrame:
     """Rows ``known, total, in_vocab``: tokens of the hypotheses that are names, pooled. Tokens are counted before they join."""
     counts = paired.select(F.explode("hyp").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
     flagged = counts.join(names.select(F.col(name).alias("token"), F.lit(True).alias("known")).distinct(), "token", "left")
-    sums = flagged.agg(F.coalesce(F.sum(F.when(F.col("known"), F.col("n"))), F.lit(0)).alias("known"), F.coalesce(F.sum("n"), F.lit(0)).alias("total"))
-    return sums.withColumn("in_vocab", F.when(F.col("total") > 0, F.col("known") / F.col("total") * 100).otherwise(0.0))
+    both = flagged.agg(F.coalesce(F.sum(F.when(F.col("known"), F.col("n"))), F.lit(0)).alias("known"), F.coalesce(F.sum("n"), F.lit(0)).alias("total"))
+    return both.withColumn("in_vocab", F.when(F.col("total") > 0, F.col("known") / F.col("total") * 100).otherwise(0.0))
 
 
 def evaluate(df: DataFrame, ref: str, hyp: str, names: DataFrame, name: str) -> DataFrame:
     """Rows ``metric, value``: n, BLEU-4, ROUGE-L, exact match and in-vocabulary rate, to two places. An empty table scores 0."""
     paired = pairs(df, ref, hyp)
-    sums = _sums(paired, F.count(F.lit(1)).alias("n"), _mean_rouge_l(), _share_exact())
-    one = sums.select("n", _bleu().alias("bleu"), "rouge_l", "exact_match").crossJoin(in_vocab(paired, names, name).select("in_vocab"))
+    one = sums(paired).select("n", _bleu().alias("bleu"), _mean("f1").alias("rouge_l"), _mean("exact").alias("exact_match")).crossJoin(in_vocab(paired, names, name).select("in_vocab"))
     each = F.array(*[F.struct(F.lit(m).alias("metric"), F.round(F.col(c).cast("double"), 2).alias("value")) for m, c in (("n", "n"), ("BLEU-4", "bleu"), ("ROUGE-L", "rouge_l"), ("ExactMatch%", "exact_match"), ("InVocab%", "in_vocab"))])
     return one.select(F.explode(each).alias("x")).select("x.*")
 
