@@ -8,6 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+KEYWORDS = 1000
+
+
 def not_in(df: DataFrame, other: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Rows whose keys are not in ``other``; null keys are in nothing."""
     return df.join(other.select(*keys), list(keys), "left_anti")
@@ -61,8 +64,66 @@ def unexpected_tokens(df: DataFrame, key: str, tokens: str, names: DataFrame, na
 def first_keyword(df: DataFrame, text: str, keywords: DataFrame) -> DataFrame:
     """Rows with the first keyword, by its ``ord``, that their text holds; rows without one are dropped.
 
-    ``keywords`` (``ord, theme, keyword``) is a short list in the code and becomes one array, so there is no cross join.
+    ``keywords`` (``ord, theme, keyword``) is a short list in the code, of ``KEYWORDS`` at most, and becomes one
+    expression, so there is no cross join.
     """
-    listed = sorted((r["ord"], r["theme"], r["keyword"]) for r in keywords.collect())
+    listed = sorted((r["ord"], r["theme"], r["keyword"]) for r in keywords.limit(KEYWORDS + 1).collect())
+    if len(listed) > KEYWORDS:
+        raise ValueError(f"more than {KEYWORDS} keywords")
     chain = F.coalesce(*[F.when(F.col(text).contains(k), F.struct(F.lit(t).alias("theme"), F.lit(k).alias("keyword"))) for _, t, k in listed])
     return df.withColumn("__hit", chain).filter("__hit is not null").select(*df.columns, F.col("__hit.theme").alias("hit_theme"), F.col("__hit.keyword").alias("keyword"))
+
+
+def drop_counts(df: DataFrame, other: DataFrame, keys: Sequence[str], by: str) -> DataFrame:
+    """Rows ``by, rows, dropped, kept`` of ``not_in_any``, before anything is made distinct: a flag per key, one aggregation."""
+    flagged = df
+    for key in keys:
+        flagged = flagged.join(other.select(key).distinct().withColumn(f"__in_{key}", F.lit(True)), key, "left")
+    hit = F.greatest(*[F.coalesce(f"__in_{k}", F.lit(False)) for k in keys], F.lit(False))
+    return flagged.groupBy(by).agg(F.count(F.lit(1)).alias("rows"), F.count_if(hit).alias("dropped"), F.count_if(~hit).alias("kept"))
+
+
+def not_containing(df: DataFrame, text: str, key: str, others: DataFrame, other: str, gram: int = 8) -> DataFrame:
+    """Rows whose ``text`` holds no text of ``others`` anywhere inside; null and empty texts hold and are held by nothing.
+
+    A text inside another begins with the same characters there: the first ``gram`` of it (all, if it has
+    fewer) meet the runs of as many characters by equality, and what meets is looked at whole.
+    """
+    held = others.select(F.col(other).alias("__o")).filter("__o <> ''").distinct().withColumn("__n", F.least(F.length("__o"), F.lit(gram)))
+    held = held.withColumn("__g", F.expr("substring(__o, 1, __n)"))
+    lengths = [r["__n"] for r in held.select("__n").distinct().collect()]  # at most ``gram`` numbers
+    if not lengths:
+        return df
+    runs = F.flatten(F.array(*[F.when(F.length("__t") >= n, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("__t") - n + 1), _run_of(n)))).otherwise(F.array().cast("array<string>")) for n in sorted(lengths)]))
+    spread = df.select(F.col(key).alias("__k"), F.col(text).alias("__t")).filter("__t <> ''").select("__k", "__t", F.explode(runs).alias("__g"))
+    hit = spread.join(held.select("__g", "__o"), "__g").filter(F.col("__t").contains(F.col("__o"))).select(F.col("__k").alias(key)).distinct()
+    return df.join(hit, key, "left_anti")
+
+
+def _run_of(n: int):
+    return lambda i: F.substring(F.col("__t"), i, F.lit(n))
+
+
+def in_groups(df: DataFrame, groups: DataFrame, group: str, how: str) -> DataFrame:
+    """``df`` in (``left_semi``) or not in (``left_anti``) the groups; a null group is a group."""
+    names = groups.select(F.col(group).alias("__group"))
+    return df.join(names, F.col(group).eqNullSafe(F.col("__group")), how)
+
+
+def first_record(df: DataFrame, records: str, out: str) -> DataFrame:
+    """Rows with the first of their ``records`` as ``out``; rows whose list is null or empty are dropped."""
+    return df.filter(F.size(records) > 0).withColumn(out, F.get(records, 0)).drop(records)
+
+
+def nested_rows(df: DataFrame, nested: str, out: str, place: str) -> DataFrame:
+    """A row for each element of a nested list (a path, null-safe) with its ``place`` from 0; null and empty lists give none."""
+    return df.select("*", F.posexplode(nested).alias(place, out))
+
+
+def in_order(parts: Sequence[DataFrame], order: str) -> DataFrame:
+    """All rows of ``parts`` with ``part``, the number of the part they come from: ``part, order`` is the order of the whole."""
+    whole = None
+    for n, part in enumerate(parts):
+        rows = part.select(F.lit(n).alias("part"), "*")
+        whole = rows if whole is None else whole.unionByName(rows)
+    return whole

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from signloom.functions.text import PLACEHOLDER, norm_variants
+from signloom.functions.text import PLACEHOLDER, VARIANT, base_name, norm_variants, strip
 
 
 def frequencies(df: DataFrame, glosses: str) -> DataFrame:
@@ -63,7 +63,7 @@ def coverage(listed: DataFrame) -> DataFrame:
 
 def alias_names(entries: DataFrame, key: str, canonical: str, aliases: str) -> DataFrame:
     """Rows ``key, aliases``: normalised alias names other than the canonical one, distinct and sorted; entries without any keep an empty list."""
-    names = F.transform(F.coalesce(aliases, F.array().cast("array<string>")), lambda a: norm_variants(F.regexp_replace(a, r"^(.+?)_([A-Za-z]{1,2}\d?)$", "$1")))
+    names = F.transform(F.coalesce(aliases, F.array().cast("array<string>")), lambda a: norm_variants(F.regexp_replace(a, VARIANT, "$1")))
     return entries.select(key, F.array_sort(F.array_distinct(F.filter(names, lambda a: a != F.col(canonical)))).alias("aliases"))
 
 
@@ -77,3 +77,24 @@ def ordered_names(df: DataFrame, key: str, name: str, order: str) -> DataFrame:
     """Rows ``key, names``: the distinct names of each key in the order of their first row; for keys of few names."""
     first = df.groupBy(key, name).agg(F.min(order).alias("__at"))
     return first.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("__at", name))), lambda x: x[name]).alias("names"))
+
+
+def alias_lists(entries: DataFrame, key: str, canonical: str, names: DataFrame, name: str) -> DataFrame:
+    """Rows ``key, canonical, aliases``: the names that ``names`` has for an entry's key, without variant suffix, other than the canonical one, distinct and sorted.
+
+    Entries without any keep an empty list (a left outer join, one to many, collected before it joins).
+    """
+    bare = names.select(key, base_name(strip(F.col(name))).alias("__alias")).filter("__alias is not null")
+    lists = bare.groupBy(key).agg(F.array_sort(F.collect_set("__alias")).alias("__all"))
+    own = base_name(strip(F.col(canonical)))
+    return entries.join(lists, key, "left").select(key, canonical, F.filter(F.coalesce("__all", F.array().cast("array<string>")), lambda a: a != own).alias("aliases"))
+
+
+def source_counts(listed: DataFrame) -> DataFrame:
+    """Rows ``source, n``: the surfaces of a master list that have each source, ``twtsl-alias`` included."""
+    return listed.select(F.explode("sources").alias("source")).groupBy("source").agg(F.count(F.lit(1)).alias("n"))
+
+
+def status_counts(df: DataFrame, status: str) -> DataFrame:
+    """Rows ``status, n``; a null status is one."""
+    return df.groupBy(F.col(status).alias("status")).agg(F.count(F.lit(1)).alias("n"))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from signloom.functions.text import PLACEHOLDER
-from signloom.operators.joins import not_in, not_in_any, shared_groups
+from signloom.operators.joins import drop_counts, in_groups, not_in_any, shared_groups
 from signloom.operators.order import greedy_holdout, keep_first
 from signloom.plans.durable import cut
 
@@ -53,16 +53,22 @@ def split(records: DataFrame, test: DataFrame, plan: SplitPlan = SplitPlan()) ->
     texts = ["chinese", "gloss_text"]
     corpus = pool.filter("source = 'tslcorpus'")
     held = cut(greedy_holdout(corpus, "group", plan.corpus_test_ratio, plan.seed).select("group"))
-    candidates = corpus.join(held, "group", "left_semi").select(*pool.columns)
+    candidates = in_groups(corpus, held, "group", "left_semi")
     test_corpus = cut(keep_first(not_in_any(candidates, test, texts), texts, "_ord"))
-    rest = not_in(pool, held, ["group"]).select(*pool.columns)
+    rest = in_groups(pool, held, "group", "left_anti")
     seen = test.select(*texts).unionByName(test_corpus.select(*texts))
     rest = cut(keep_first(not_in_any(rest, seen, texts), texts, "_ord"))
-    dev = greedy_holdout(rest, "group", plan.dev_ratio, plan.seed, "source", plan.least_stratum).select(F.col("stratum").alias("source"), "group", F.lit("dev").alias("split"))
-    placed = rest.join(dev, ["source", "group"], "left").select(*pool.columns, F.coalesce("split", F.lit("train")).alias("split"))
+    dev = greedy_holdout(rest, "group", plan.dev_ratio, plan.seed, "source", plan.least_stratum).select("stratum", F.col("group").alias("held"), F.lit("dev").alias("split"))
+    placed = rest.join(dev, F.col("source").eqNullSafe(F.col("stratum")) & F.col("group").eqNullSafe(F.col("held")), "left").select(*pool.columns, F.coalesce("split", F.lit("train")).alias("split"))
     return placed.unionByName(test_corpus.withColumn("split", F.lit("test_corpus"))).unionByName(test.select(*pool.columns).withColumn("split", F.lit("test")))
 
 
+def holdout_counts(records: DataFrame, test: DataFrame, plan: SplitPlan = SplitPlan()) -> DataFrame:
+    """Rows ``source, rows, dropped, kept``: how many usable records share a text with ``test``, before repeated pairs are dropped."""
+    pool = without_class(usable(records), "confidence", "rule-derived", plan.include_rule_derived)
+    return drop_counts(pool, test, ["chinese", "gloss_text"], "source")
+
+
 def leaks(placed: DataFrame) -> DataFrame:
     """Rows ``pair, shared``: groups on both sides; 0 for a sound split."""
     of = lambda *s: placed.filter(F.col("split").isin(*s))

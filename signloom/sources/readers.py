@@ -17,6 +17,13 @@ def json_lines(spark: SparkSession, path: str, schema: T.StructType | str) -> Da
     return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
 
 
+def json_lines_unbroken(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
+    """Strict, and a blank line fails the read as well."""
+    lines = spark.read.text(path)
+    checked = lines.select(F.when(F.trim("value") == "", F.raise_error(F.lit("a blank line"))).otherwise(F.col("value")).alias("value"))
+    return checked.select(F.from_json("value", schema, {"mode": "FAILFAST"}).alias("r")).select("r.*")
+
+
 def json_log(spark: SparkSession, path: str, schema: T.StructType, key: str) -> DataFrame:
     """Tolerant, for resume logs: malformed lines and lines without the key are left out."""
     return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path).filter(F.col(key).isNotNull())
@@ -52,6 +59,23 @@ def landed_sheet(spark: SparkSession, path: str, required: list[str]) -> DataFra
     return sheet if {*required, "_ord"} <= {*sheet.columns} else sheet.limit(0)
 
 
+def sheet_from_row(spark: SparkSession, path: str, columns: list[str], first: int) -> DataFrame:
+    """A sheet landed as CSV without names, ``_ord`` first: its rows from number ``first`` on (``_ord`` from 1), its columns named by place.
+
+    Rows of fewer columns have nulls, those of more lose them; blank cells are null.
+    """
+    schema = T.StructType([T.StructField("_ord", T.LongType()), *(T.StructField(c, T.StringType()) for c in columns)])
+    return spark.read.schema(schema).option("multiLine", True).option("emptyValue", "").option("nullValue", "").csv(path).filter(F.col("_ord") >= first)
+
+
+def sheet_with_header_row(spark: SparkSession, path: str, header: int, width: int) -> DataFrame:
+    """A sheet whose names stand in row ``header``: the rows after it, under these names. ``width`` is the number of columns landed, ``_ord`` left out."""
+    rows = sheet_from_row(spark, path, [f"c{n}" for n in range(width)], header)
+    names = rows.filter(F.col("_ord") == header).first()
+    named = {f"c{n}": names[f"c{n}"] for n in range(width) if names is not None and names[f"c{n}"]}
+    return rows.filter(F.col("_ord") > header).select("_ord", *[F.col(c).alias(name) for c, name in named.items()])
+
+
 def file_pages(start: str, page: int, size: int) -> tuple[list, int]:
     """A service's page from a landed file of JSON lines, for replay and where there is no network."""
     with open(start, encoding="utf-8") as f:

@@ -11,8 +11,9 @@ def write_json_lines(df: DataFrame, path: str, order: str | None = None) -> None
     (df.orderBy(order) if order else df).write.mode("overwrite").option("ignoreNullFields", False).json(path)
 
 
-def append_log(df: DataFrame, path: str) -> None:
-    df.write.mode("append").parquet(path)
+def append_log(df: DataFrame, path: str, every: int = 0) -> None:
+    """Append to a log; with ``every``, each file holds as many rows at most, and a task that is lost repeats only its own."""
+    df.write.mode("append").option("maxRecordsPerFile", every).parquet(path)
 
 
 def object_json(df: DataFrame, key: str, value: str) -> DataFrame:
