@@ -160,7 +160,7 @@ def _parse_sql() -> str:
     line = strip(strip(strip("x"), "`"))
     line = f"regexp_replace({line}, '^(?:{text.LABELS})[：:][{_WS}]*', '')"
     line = strip(f"replace(translate({line}, '／', '/'), ' ', '')", text.QUOTES.replace("'", "''"))
-    line = f"regexp_replace({line}, '[（(][^（()）]*[）)]$', '')"
+    line = f"regexp_replace({line}, '{text.END_NOTE}', '')"
     line = f"regexp_replace({line}, '[{text.END_MARKS}]+$', '')"
     return f"""with lines as (select _ord, list_filter(list_transform(regexp_split_to_array({strip('raw')}, '{_BREAK}'), lambda x: {line}), lambda x: x <> '') as l from finetuned_e4b_ep2_test)
 select _ord, coalesce(list_filter(l, lambda x: contains(x, '/'))[1], l[-1], '') as pred from lines"""
@@ -306,9 +306,9 @@ def consistency_violations(spark: SparkSession, root: str) -> DataFrame:
     return corpus.inconsistent(table(spark, root, "tsl_sentences"), "chinese", "gloss_text")
 
 
-@query("select _ord, id, format('TC{:05d}', row_number() over (order by _ord)) as number from split_data where source = 'real'")
+@query("select _ord, id, format('TC{:05d}', row_number() over (order by _ord)) as number from split_data")
 def sequential_ids(spark: SparkSession, root: str) -> DataFrame:
-    own = table(spark, root, "split_data").filter("source = 'real'").select("_ord", "id")
+    own = table(spark, root, "split_data").select("_ord", "id")
     return order.sequential_ids(own, "_ord", "number", "TC", 5)
 
 
@@ -487,7 +487,7 @@ def fewshot_prompts(spark: SparkSession, root: str) -> DataFrame:
     return own.select("id", prompts.prompt("把句子譯成手語詞序。", F.col("chinese"), examples=prompts.exemplars(_POOL, F.col("id"))).alias("prompt"))
 
 
-# The limit of a training row in the reference; ``mask_labels`` cuts at 48, as its SQL does.
+# The limit of a training row in the reference.
 MAX_LEN = 512
 
 
@@ -495,15 +495,16 @@ def _codes(column: str):
     return F.transform(F.split(F.coalesce(column, F.lit("")), ""), lambda c: F.ascii(c))
 
 
-@query("""with c as (select _ord, list_transform(string_split(coalesce(chinese, ''), ''), lambda x: unicode(x)) as p, list_transform(string_split(coalesce(chinese, '') || coalesce(ref, ''), ''), lambda x: unicode(x)) as w from finetuned_e4b_ep2_test where chinese <> '' and ref <> '')
-select _ord, list_concat(list_transform(range(0, len(p)), lambda i: -100), w[len(p) + 1 :])[1:48] as labels from c""")
+_MASKED = """with c as (select _ord, list_transform(string_split(coalesce(chinese, ''), ''), lambda x: unicode(x)) as p, list_transform(string_split(coalesce(chinese, '') || coalesce(ref, ''), ''), lambda x: unicode(x)) as w from finetuned_e4b_ep2_test where chinese <> '' and ref <> '')
+select _ord, list_concat(list_transform(range(0, len(p)), lambda i: -100), w[len(p) + 1 :])[1:512] as labels from c"""
+
+
+@query(_MASKED)
 def mask_labels(spark: SparkSession, root: str) -> DataFrame:
-    own = table(spark, root, "finetuned_e4b_ep2_test").filter("chinese <> '' and ref <> ''")
-    return own.select("_ord", arrays.masked_labels(_codes("chinese"), F.transform(F.split(F.concat("chinese", "ref"), ""), lambda c: F.ascii(c)), 48).alias("labels"))
+    return mask_labels_512(spark, root)
 
 
-@query("""with c as (select _ord, list_transform(string_split(coalesce(chinese, ''), ''), lambda x: unicode(x)) as p, list_transform(string_split(coalesce(chinese, '') || coalesce(ref, ''), ''), lambda x: unicode(x)) as w from finetuned_e4b_ep2_test where chinese <> '' and ref <> '')
-select _ord, list_concat(list_transform(range(0, len(p)), lambda i: -100), w[len(p) + 1 :])[1:512] as labels from c""")
+@query(_MASKED)
 def mask_labels_512(spark: SparkSession, root: str) -> DataFrame:
     own = table(spark, root, "finetuned_e4b_ep2_test").filter("chinese <> '' and ref <> ''")
     return own.select("_ord", arrays.masked_labels(_codes("chinese"), F.transform(F.split(F.concat("chinese", "ref"), ""), lambda c: F.ascii(c)), MAX_LEN).alias("labels"))
@@ -519,7 +520,7 @@ def pad_batch(spark: SparkSession, root: str) -> DataFrame:
     return longest.select("_ord", arrays.padded(F.col("ids"), F.col("longest"), 0).alias("ids"), arrays.padded(F.transform("ids", lambda _: F.lit(1)), F.col("longest"), 0).alias("mask"))
 
 
-@query()
+@query("select id, array_to_string(string_split(coalesce(chinese, ''), ''), '/') as raw from finetuned_e4b_ep2_test")
 def infer_stub(spark: SparkSession, root: str) -> DataFrame:
     def client() -> Callable[[list[str]], list[str]]:
         return lambda texts: ["/".join(t) for t in texts]
@@ -584,3 +585,132 @@ def surface_forms(spark: SparkSession, root: str) -> DataFrame:
 @query("select split, count(distinct source_file)::bigint as files, count(distinct source)::bigint as sources, (count(*) filter (len(gloss) > 0))::bigint as with_gloss from tsl_sentences group by split")
 def groups_per_split(spark: SparkSession, root: str) -> DataFrame:
     return table(spark, root, "tsl_sentences").groupBy("split").agg(F.countDistinct("source_file").alias("files"), F.countDistinct("source").alias("sources"), F.count_if(F.size("gloss") > 0).alias("with_gloss"))
+
+
+# ---- sheets: token rows to blocks, blocks to sentences
+
+_SHEET = """tokens as (select s._ord, s.corpus_id, s.chinese, s.block, unnest(s.gloss) as token, generate_subscripts(s.gloss, 1)::int - 1 as place from (select *, sum((film_url is not null)::int) over (order by _ord) as block from scrape_tslcorpus_full) s where block > 0 and gloss is not null and len(gloss) > 0),
+lists as (select block, min(_ord) as _ord, coalesce(list(token order by place, _ord) filter (token is not null), []) as glosses from tokens group by block),
+named as (select l.block, l._ord, f.corpus_id, f.chinese, l.glosses from lists l join (select distinct _ord, corpus_id, chinese from tokens) f using (_ord))"""
+
+
+def _sheet_blocks(spark: SparkSession, root: str) -> DataFrame:
+    own = table(spark, root, "scrape_tslcorpus_full").select("_ord", "corpus_id", "chinese", "gloss", "film_url")
+    tokens = joins.nested_rows(order.blocks(own, F.col("film_url").isNotNull(), "_ord"), "gloss", "token", "place")
+    return corpus.block_tokens(tokens, "block", "place", "_ord", "token", "corpus_id", "chinese")
+
+
+@query(f"with {_SHEET} select block::bigint as block, corpus_id, chinese, array_to_string(glosses, '/') as gloss_text, len(glosses)::bigint as n from named")
+def block_tokens(spark: SparkSession, root: str) -> DataFrame:
+    return _sheet_blocks(spark, root).select("block", "corpus_id", "chinese", F.array_join("glosses", "/").alias("gloss_text"), F.size("glosses").cast("bigint").alias("n"))
+
+
+@query(f"with {_SHEET} select corpus_id, arg_min(chinese, _ord) as chinese, array_to_string(arg_min(glosses, _ord), '/') as gloss_text, count(distinct block)::bigint as n_videos from named group by corpus_id")
+def sheet_sentences(spark: SparkSession, root: str) -> DataFrame:
+    blocks = _sheet_blocks(spark, root).withColumn("marks", F.array().cast("array<string>"))
+    return corpus.merge_blocks(blocks, "block", "corpus_id", "_ord", "chinese", "glosses", "marks").select("corpus_id", "chinese", F.array_join("glosses", "/").alias("gloss_text"), "n_videos")
+
+
+@query(f"with {_SHEET} select corpus_id, count(distinct glosses)::bigint as glosses from named group by corpus_id having count(distinct glosses) > 1")
+def block_consistency(spark: SparkSession, root: str) -> DataFrame:
+    return corpus.inconsistent(_sheet_blocks(spark, root), "corpus_id", "glosses")
+
+
+# ---- nested records, unions, counts
+
+
+@query(f"""with r as (select line_id, case when json_valid(line) and json_type(line) = 'OBJECT' and json_type(line, '$.nms') = 'ARRAY' then from_json(json_extract(line, '$.nms'), '["VARCHAR"]') end as g from sentence_lines)
+select line_id, g[1] as first, len(g)::bigint as n from r where len(g) > 0""")
+def first_of_records(spark: SparkSession, root: str) -> DataFrame:
+    flags = F.expr("try_variant_get(try_parse_json(line), '$.nms', 'array<string>')")
+    some = table(spark, root, "sentence_lines").select("line_id", flags.alias("records")).withColumn("n", F.size("records").cast("bigint"))
+    return joins.first_record(some, "records", "first").select("line_id", "first", "n")
+
+
+@query("select id, chinese, place::int as place, gloss from (select id, chinese, unnest(gloss) as gloss, generate_subscripts(gloss, 1) - 1 as place from scrape_tslcorpus_full where chinese <> '')")
+def nested_sentences(spark: SparkSession, root: str) -> DataFrame:
+    sentence = F.struct("chinese", "gloss")
+    segments = table(spark, root, "scrape_tslcorpus_full").select("id", F.when(F.col("chinese") != "", F.array(sentence)).otherwise(F.array().cast("array<struct<chinese:string,gloss:array<string>>>")).alias("apiData"))
+    rows = joins.nested_rows(segments, "apiData", "s", "n").select("id", "s.chinese", "s.gloss")
+    return joins.nested_rows(rows, "gloss", "token", "place").select("id", "chinese", "place", F.col("token").alias("gloss"))
+
+
+@query("""select 0 as part, _ord, id, 'synth' as source, chinese, gloss_text from split_data where source = 'synth' union all select 1, _ord, id, 'twtsl-sentence', chinese, gloss_text from split_data where source = 'twtsl-sentence'
+union all select 2, _ord, id, 'tslcorpus', chinese, gloss_text from scrape_tslcorpus_full union all select 3, gloss_id, 'W' || gloss_id, 'word', surface, surface from gloss_master""")
+def source_union(spark: SparkSession, root: str) -> DataFrame:
+    own = lambda source: table(spark, root, "split_data").filter(F.col("source") == source).select("_ord", "id", "source", "chinese", "gloss_text")
+    segments = table(spark, root, "scrape_tslcorpus_full").select("_ord", "id", F.lit("tslcorpus").alias("source"), "chinese", "gloss_text")
+    words = table(spark, root, "gloss_master").select(F.col("gloss_id").alias("_ord"), F.concat(F.lit("W"), "gloss_id").alias("id"), F.lit("word").alias("source"), F.col("surface").alias("chinese"), F.col("surface").alias("gloss_text"))
+    return joins.in_order([own("synth"), own("twtsl-sentence"), segments, words], "_ord")
+
+
+@query("""with n as (select gloss_id, unnest(aliases) as alias from gloss_master), b as (select gloss_id, regexp_replace(alias, '^(.+?)_([A-Za-z]{1,2}\\d?)$', '\\1') as alias from n),
+l as (select gloss_id, list_sort(list_distinct(list(alias))) as al from b group by gloss_id)
+select m.gloss_id, m.surface, list_filter(coalesce(al, []), lambda a: a <> regexp_replace(m.surface, '^(.+?)_([A-Za-z]{1,2}\\d?)$', '\\1')) as aliases from gloss_master m left join l using (gloss_id)""")
+def alias_outer_join(spark: SparkSession, root: str) -> DataFrame:
+    entries = table(spark, root, "gloss_master")
+    return vocabulary.alias_lists(entries.select("gloss_id", "surface"), "gloss_id", "surface", entries.select("gloss_id", F.explode("aliases").alias("alias")), "alias")
+
+
+@query(f"with {_MASTER} select source, count(*)::bigint as n from (select unnest(sources) as source from listed) group by source")
+def vocab_sources(spark: SparkSession, root: str) -> DataFrame:
+    return vocabulary.source_counts(_master(spark, root))
+
+
+@query("select review_status as status, count(*)::bigint as n from split_data group by review_status")
+def status_rollup(spark: SparkSession, root: str) -> DataFrame:
+    return vocabulary.status_counts(table(spark, root, "split_data"), "review_status")
+
+
+@query(f"""with {_RECORDS}, {_TEST}, pool as (select *, coalesce(chinese in (select chinese from test where chinese is not null) or gloss_text in (select gloss_text from test where gloss_text is not null), false) as hit from records where chinese <> '' and gloss_text <> '' and not contains(gloss_text, '＿') and confidence is distinct from 'rule-derived')
+select source, count(*)::bigint as rows, (count(*) filter (hit))::bigint as dropped, (count(*) filter (not hit))::bigint as kept from pool group by source""")
+def holdout_counts(spark: SparkSession, root: str) -> DataFrame:
+    test = table(spark, root, "tsl_sentences").filter("split = 'test' and not coalesce(is_template, false)")
+    return split.holdout_counts(_records(spark, root), test)
+
+
+@query("select id, chinese from split_data p where not exists (select 1 from tsl_sentences t where t.split = 'test' and t.chinese <> '' and p.chinese <> '' and contains(p.chinese, t.chinese))")
+def decontaminate_contains(spark: SparkSession, root: str) -> DataFrame:
+    test = table(spark, root, "tsl_sentences").filter("split = 'test'")
+    return joins.not_containing(table(spark, root, "split_data").select("id", "chinese"), "chinese", "id", test, "chinese")
+
+
+@query("select 'batch' || (count(distinct source_file) + 1) as label from tsl_sentences")
+def batch_label(spark: SparkSession, root: str) -> DataFrame:
+    return corpus.batch_label(table(spark, root, "tsl_sentences"), "source_file")
+
+
+VERB_TEMPLATES = [(1, "V1", ["{T}我{V}{P}。", "我{T}{V}{P}。"], ["{T}", "我", "{P}", "{V}"], ["書包", "手機"], ["買", "找"], ["今天", "明天"]), (2, "V2", ["我不{V}。"], ["我", "{V}", "不"], None, ["走", "說"], None)]
+
+
+@query("""with t as (select 1 as ord, 'V1' as tid, ['{T}我{V}{P}。', '我{T}{V}{P}。'] as phrasings, ['{T}', '我', '{P}', '{V}'] as gloss, ['書包', '手機'] as slots, ['買', '找'] as verbs, ['今天', '明天'] as times union all select 2, 'V2', ['我不{V}。'], ['我', '{V}', '不'], [null], ['走', '說'], [null]),
+e as (select tid, gloss, p, v, tm, unnest(phrasings) as phrase from (select *, unnest(times) as tm from (select *, unnest(verbs) as v from (select *, unnest(slots) as p from t)))),
+f as (select tid, replace(replace(replace(phrase, '{P}', coalesce(p, '')), '{V}', coalesce(v, '')), '{T}', coalesce(tm, '')) as chinese, array_to_string(list_filter(list_transform(gloss, lambda g: replace(replace(replace(g, '{P}', coalesce(p, '')), '{V}', coalesce(v, '')), '{T}', coalesce(tm, ''))), lambda g: g <> ''), '/') as gloss_text from e)
+select distinct tid, chinese, gloss_text from f where chinese not in (select chinese from tsl_sentences where chinese is not null)""")
+def template_verbs(spark: SparkSession, root: str) -> DataFrame:
+    templates = dimension(spark, VERB_TEMPLATES, "ord int, tid string, phrasings array<string>, gloss array<string>, slots array<string>, v_slots array<string>, times array<string>")
+    return corpus.expand_templates(templates, table(spark, root, "tsl_sentences")).drop("place")
+
+
+TASK, GRAMMAR = "把句子譯成手語詞序。", "時間放句首。\n否定放句尾。"
+
+
+@query("select id, 'zero' as strategy, '把句子譯成手語詞序。' || chr(10) || chr(10) || '中文：' || chinese || chr(10) || 'Gloss：' as prompt from tsl_sentences where chinese is not null union all select id, 'rules', '把句子譯成手語詞序。' || chr(10) || chr(10) || '時間放句首。' || chr(10) || '否定放句尾。' || chr(10) || chr(10) || '中文：' || chinese || chr(10) || 'Gloss：' from tsl_sentences where chinese is not null")
+def strategy_prompts(spark: SparkSession, root: str) -> DataFrame:
+    own = table(spark, root, "tsl_sentences").filter("chinese is not null")
+    each = F.array(*[F.struct(F.lit(n).alias("strategy"), prompts.prompt(TASK, F.col("chinese"), rules).alias("prompt")) for n, rules in (("zero", None), ("rules", GRAMMAR))])
+    return own.select("id", F.explode(each).alias("x")).select("id", "x.strategy", "x.prompt")
+
+
+_EXEMPLAR_IDS = ("S000000001", "S000000002", "S000000003")
+
+
+@query(f"select id, chinese, gloss_text from tsl_sentences where id in {_EXEMPLAR_IDS}")
+def exemplar_rows(spark: SparkSession, root: str) -> DataFrame:
+    return table(spark, root, "tsl_sentences").filter(F.col("id").isin(*_EXEMPLAR_IDS)).select("id", "chinese", "gloss_text")
+
+
+@query("select id, list_filter(gloss, lambda t: t is not null and not contains(t, '＿')) as gloss, regexp_full_match(source_file, '.*W\\d{2}.*') as is_word_sheet from tsl_sentences where gloss is not null and source_file is not null")
+def placeholder_free(spark: SparkSession, root: str) -> DataFrame:
+    own = table(spark, root, "tsl_sentences").filter("gloss is not null and source_file is not null")
+    return own.select("id", arrays.without(F.col("gloss"), text.PLACEHOLDER).alias("gloss"), F.col("source_file").rlike(r"W\d{2}").alias("is_word_sheet"))

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from signloom.operators import checks, joins, metrics, order, vocabulary
+from signloom.plans import corpus
 
 
 # ---- metrics
@@ -200,3 +201,75 @@ def test_verdicts(spark):
     assert [tuple(r) for r in got] == [("no", "s；p；q"), ("yes", "s；p")]
     said = spark.createDataFrame([("甲要確認；native",), ("甲要確認；",), ("可；要確認",)], "t string").coalesce(1)
     assert [r[0] for r in said.select(checks.bucket(F.col("t"), [("native", "n")], [("確認", "c")], "ok")).collect()] == ["n", "c", "ok"]
+
+
+def test_blocks_from_token_rows(spark, rows):
+    data = [(1, 7, 2, "乙", "s"), (1, 7, 1, "甲", "s"), (2, 7, 1, None, "s"), (3, 8, 1, "丙", "t"), (3, 8, 1, "丁", "t")]
+    df = spark.createDataFrame(data, "o long, block long, place int, token string, sid string")
+    got = rows(corpus.block_tokens(df, "block", "place", "o", "token", "sid"))
+    assert got == [(7, ["甲", "乙"], 1, "s"), (8, ["丁", "丙"], 3, "t")]
+    assert corpus.block_tokens(df.limit(0), "block", "place", "o", "token", "sid").count() == 0
+
+
+def test_nested_records(spark, rows):
+    df = spark.createDataFrame([("a", [("x", ["p", None])]), ("b", []), ("c", None), ("d", [None]), ("e", [("y", None)])], "id string, recs array<struct<n:string,l:array<string>>>")
+    assert rows(joins.first_record(df, "recs", "r").select("id", "r.n")) == [("a", "x"), ("d", None), ("e", "y")]
+    first = joins.first_record(df, "recs", "r")
+    assert rows(joins.nested_rows(first, "r.l", "t", "at").select("id", "at", "t")) == [("a", 0, "p"), ("a", 1, None)]
+
+
+def test_union_in_order_and_alias_lists(spark, rows):
+    a, b = spark.createDataFrame([(2, "x")], "_ord long, id string"), spark.createDataFrame([("y", 1), ("z", None)], "id string, _ord long")
+    assert rows(joins.in_order([a, b], "_ord")) == [(0, 2, "x"), (1, 1, "y"), (1, None, "z")]
+    entries = spark.createDataFrame([(1, "飯_A"), (2, "水"), (3, None)], "id long, name string")
+    names = spark.createDataFrame([(1, "飯"), (1, "吃_B2 "), (1, "吃"), (1, None), (9, "無"), (2, "水")], "id long, alias string")
+    assert rows(vocabulary.alias_lists(entries, "id", "name", names, "alias")) == [(1, "飯_A", ["吃"]), (2, "水", []), (3, None, [])]
+
+
+def test_drops_are_counted_before_dedup(spark, rows):
+    pool = spark.createDataFrame([("a", "x", "s"), ("a", "x", "s"), ("b", "y", "s"), (None, "y", None), ("c", None, None)], "t string, g string, src string")
+    test = spark.createDataFrame([("a", "q"), (None, "y"), (None, None)], "t string, g string")
+    assert rows(joins.drop_counts(pool, test, ["t", "g"], "src")) == sorted([("s", 3, 3, 0), (None, 2, 1, 1)], key=repr)
+    assert rows(joins.not_in_any(pool, test, ["t", "g"]).select("t", "g", "src")) == [("c", None, None)]
+
+
+def test_rows_that_hold_no_other_text(spark, rows):
+    texts = ["今天我去圖書館看書", "我去", "去圖", "", None, "我去圖書館", "很長" * 3000 + "我去圖書館"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, t string")
+    for others in (["我去圖書館"], ["書"], ["去圖", "看書看書看書"], ["", None], ["今天我去圖書館看書了"], ["很長" * 2999 + "很長我"]):
+        small = spark.createDataFrame([(o,) for o in others], "o string")
+        want = [i for i, t in enumerate(texts) if not (t and any(o and o in t for o in others))]
+        assert [r["id"] for r in joins.not_containing(df, "t", "id", small, "o").orderBy("id").collect()] == want
+
+
+def test_a_null_group_is_held_out_whole(spark):
+    pool = spark.createDataFrame([("a", 1), (None, 2), (None, 3)], "group string, n int")
+    held = spark.createDataFrame([(None,)], "group string")
+    assert [r["n"] for r in joins.in_groups(pool, held, "group", "left_anti").collect()] == [1]
+    assert sorted(r["n"] for r in joins.in_groups(pool, held, "group", "left_semi").collect()) == [2, 3]
+
+
+def test_metrics_of_one_pass_match_plain_counts(spark):
+    rng = random.Random(8)
+    pairs = [("/".join(rng.choice("甲乙丙丁戊") for _ in range(rng.randint(0, 90))), "/".join(rng.choice("甲乙丙丁") for _ in range(rng.randint(0, 80)))) for _ in range(60)] + [("甲/乙", "甲/乙"), (None, "甲"), ("甲", None), ("", "")]
+    own = [([t for t in (a or "").split("/") if t], [t for t in (b or "").split("/") if t]) for a, b in pairs]
+
+    def lcs(a, b):
+        line = [0] * (len(b) + 1)
+        for x in a:
+            line = [0, *(line[:1] and [0] * len(b))] if not b else _next(line, x, b)
+        return line[-1]
+
+    def _next(line, x, b):
+        out = [0]
+        for j, y in enumerate(b):
+            out.append(line[j] + 1 if x == y else max(line[j + 1], out[j]))
+        return out
+
+    grams = lambda t, n: Counter(tuple(t[i : i + n]) for i in range(len(t) - n + 1))
+    got = metrics.sums(metrics.pairs(spark.createDataFrame(pairs, "ref string, pred string").repartition(3), "ref", "pred")).first()
+    for n in (1, 2, 3, 4):
+        assert got[f"matches_{n}"] == sum((grams(a, n) & grams(b, n)).total() for a, b in own)
+        assert got[f"total_{n}"] == sum(max(len(b) - n + 1, 0) for _, b in own)
+    assert got["n"] == len(pairs) and got["exact"] == sum(a == b for a, b in own)
+    assert abs(got["f1"] - sum(2 * lcs(a, b) / (len(a) + len(b)) for a, b in own if a and b)) < 1e-9

@@ -138,3 +138,19 @@ def test_no_private_folder_on_a_cluster(spark):
     kept = durable.cut(spark.range(5))
     durable.sweep(spark)
     assert kept.count() == 5
+
+
+def test_landed_sheets_with_names_in_a_row_or_none(spark, rows, tmp_path):
+    path = tmp_path / "s.csv"
+    path.write_text('1,title,,\n2,note,"two\nlines",\n3,id,text,\n4,a,x,1\n5,b,,\n')
+    assert rows(readers.sheet_from_row(spark, str(path), ["id", "text"], 4)) == [(4, "a", "x"), (5, "b", None)]
+    named = readers.sheet_with_header_row(spark, str(path), 3, 3)
+    assert named.columns == ["_ord", "id", "text"] and rows(named) == [(4, "a", "x"), (5, "b", None)]
+    lines = tmp_path / "l.jsonl"
+    lines.write_text('{"id": "1"}\n\n{"id": "2"}\n')
+    with pytest.raises(Exception, match="a blank line"):
+        readers.json_lines_unbroken(spark, str(lines), "id string").collect()
+    lines.write_text('{"id": "1"}\n{"id": "2"}\n')
+    assert rows(readers.json_lines_unbroken(spark, str(lines), "id string")) == [("1",), ("2",)]
+    sinks.append_log(spark.range(10).coalesce(1), str(tmp_path / "log"), every=4)
+    assert len(list((tmp_path / "log").glob("*.parquet"))) == 3 and spark.read.parquet(str(tmp_path / "log")).count() == 10
