@@ -169,6 +169,7 @@ def rebuilt(dirty: DataFrame, outs: dict[str, str]) -> DataFrame:
     pieces = F.when(F.col("y.c").rlike(f"^[{HOUSE_CLASS}]*$"), F.array("y.c")).otherwise(F.split("y.c", ""))
     points = (
         dirty.withColumn("__row", F.monotonically_increasing_id())  # before the generator: one number a row
+        .repartition("__row")  # the rows are shuffled once; their pieces, which are many more, never
         .select("__row", F.posexplode(F.concat(*runs)).alias("__seg", "x"))
         .withColumn("__mixed", F.col("x.run").rlike(r"\p{IsLatin}") & F.col("x.run").rlike(r"[\p{IsGreek}\p{IsCyrillic}]"))
         .select("__row", "__seg", "__mixed", F.col("x.f").alias("__f"), F.col("x.row").alias("__rest"), F.posexplode(F.when(F.col("x.run").isNull(), no_text).otherwise(with_next)).alias("__at", "y"))
