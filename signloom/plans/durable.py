@@ -69,9 +69,10 @@ def release(df: DataFrame) -> None:
 
 def sweep(spark: SparkSession) -> None:
     """Remove the shuffle files that nothing can read any more, now rather than when the driver next happens to collect garbage."""
-    gc.collect()
-    time.sleep(0.2)  # the last query's events refer to it until they are handled
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):  # the last query's events refer to it until they are handled
+        gc.collect()
+        time.sleep(0.3)
+        spark.sparkContext._jvm.System.gc()
 
 
 def ship(spark: SparkSession) -> None:
