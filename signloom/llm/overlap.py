@@ -253,6 +253,7 @@ def candidates(classes: DataFrame) -> DataFrame:
         ones = keys_of(evaluation, bits, bands)
         right = cut(bucket_rows(training, bands, ones).toDF("key", "other", "s_other", "t_other"))
         others = keys_of(right, bits)
+        sweep(spark)
         left = bucket_rows(evaluation, bands, others).toDF("key", "one", "s_one", "t_one")
         parts.append(cut(_met(left, right, _grid(spark, ones, others))))
         release(right)
