@@ -4,8 +4,10 @@ Whole containers are cut off items above the capacity first. Items then go, by h
 bounded size, however skewed their sizes or sources are. In each group they are placed as they come,
 each into the last bin or a new one, and a local search exchanges one item for one, two for one, or
 moves items between underfull bins wherever that increases the sum of squared fills, emptying bins,
-until no two bins of the group have such an exchange left. What stands in bins still underfull after a round is packed again with that of the
-other groups in the next; after the last, exchanges between bins of different groups may be left.
+until no two bins of the group have such an exchange left. What stands in
+bins still underfull after a round, and in some full ones, is packed again with that of the other
+groups in the next, from a best fit and with the same search; after the last, exchanges between bins
+of different groups may be left.
 """
 
 from __future__ import annotations
@@ -25,6 +27,8 @@ from signloom.plans.durable import cut
 
 GROUP_ITEMS = 20_000
 FULL = 0.998
+#: One in so many of the full bins is packed again with the underfull ones, for these to have something to exchange with.
+MATERIAL = 8
 
 
 #: Tasks of a round at most.
@@ -238,7 +242,8 @@ def pack(items: DataFrame, key: str, size: str, capacity: int, group_items: int
 
     Items of null or no size are left out. An item above ``capacity`` is split into whole containers and
     a rest, at ``start``; no other is. Rows that repeat a key are items of their own. An empty
-    table gives no bins. Other columns are left out. ``first`` places the items that the search begins with.
+    table gives no bins. Other columns are left out. ``first`` places the items that the search begins with in
+    the first round.
     """
     sized = items.select(F.col(key).alias("key"), F.col(size).cast("int").alias("whole")).filter("whole > 0")
     pieces = F.expr(f"transform(sequence(0, cast((whole - 1) div {capacity} as int)), i -> struct(i * {capacity} as start, least({capacity}, whole - i * {capacity}) as size))")
@@ -250,13 +255,13 @@ def pack(items: DataFrame, key: str, size: str, capacity: int, group_items: int
         if not n:
             break
         groups = -(-n // group_items)
-        placed = cut(_round(left, capacity, number, groups, first))
-        last = number == rounds or groups == 1
-        kept = placed if last else placed.filter(F.col("fill") >= FULL * capacity)
-        done.append(kept.select("bin", "key", "start", "size"))
+        placed = cut(_round(left, capacity, number, groups, first if number == 1 else best_fit))
+        last = number == rounds or placed.filter(F.col("fill") < capacity).select("bin").distinct().count() < 2
+        again = F.lit(False) if last else (F.col("fill") < FULL * capacity) | (F.pmod(F.xxhash64("bin"), F.lit(MATERIAL)) == 0)
+        done.append(placed.filter(~again).select("bin", "key", "start", "size"))
         if last:
             break
-        left = placed.filter(F.col("fill") < FULL * capacity).select("key", "uid", "start", "size")
+        left = placed.filter(again).select("key", "uid", "start", "size")
     whole = done[0]
     for part in done[1:]:
         whole = whole.unionByName(part)
