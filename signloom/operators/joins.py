@@ -87,21 +87,27 @@ def not_containing(df: DataFrame, text: str, key: str, others: DataFrame, other:
     """Rows whose ``text`` holds no text of ``others`` anywhere inside; null and empty texts hold and are held by nothing.
 
     A text inside another begins with the same characters there: the first ``gram`` of it (all, if it has
-    fewer) meet the runs of as many characters by equality, and what meets is looked at whole.
+    fewer) meet the runs of as many characters by equality of their hashes, and what meets is looked at whole.
+    Texts decide, so a ``key`` may repeat or be null. The runs are many times the file whose size Spark takes
+    them to have: they travel as two hashes without their text, and merge joins keep them out of the driver.
     """
-    held = others.select(F.col(other).alias("__o")).filter("__o <> ''").distinct().withColumn("__n", F.least(F.length("__o"), F.lit(gram)))
-    held = held.withColumn("__g", F.expr("substring(__o, 1, __n)"))
-    lengths = [r["__n"] for r in held.select("__n").distinct().collect()]  # at most ``gram`` numbers
+    sized = others.select(F.col(other).alias("__o")).filter("__o <> ''").withColumn("__n", F.least(F.length("__o"), F.lit(gram)))
+    lengths = [r["__n"] for r in sized.select("__n").distinct().collect()]  # at most ``gram`` numbers
     if not lengths:
         return df
-    runs = F.flatten(F.array(*[F.when(F.length("__t") >= n, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("__t") - n + 1), _run_of(n)))).otherwise(F.array().cast("array<string>")) for n in sorted(lengths)]))
-    spread = df.select(F.col(key).alias("__k"), F.col(text).alias("__t")).filter("__t <> ''").select("__k", "__t", F.explode(runs).alias("__g"))
-    hit = spread.join(held.select("__g", "__o"), "__g").filter(F.col("__t").contains(F.col("__o"))).select(F.col("__k").alias(key)).distinct()
-    return df.join(hit, key, "left_anti")
+    held = sized.select("__o", F.xxhash64(F.expr("substring(__o, 1, __n)")).alias("__g")).distinct()
+    texts = df.select(F.col(text).alias("__t")).filter("__t <> ''").distinct()
+    runs = F.flatten(F.array(*[F.when(F.length("__t") >= n, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("__t") - n + 1), _run_of(n)))).otherwise(F.array().cast("array<bigint>")) for n in sorted(lengths)]))
+    spread = texts.select(F.xxhash64("__t").alias("__h"), F.explode(runs).alias("__g"))
+    met = spread.join(held.select("__g").distinct().hint("merge"), "__g", "left_semi")
+    near = met.join(texts.withColumn("__h", F.xxhash64("__t")).hint("merge"), "__h").select("__t", "__g").alias("near")
+    same = F.expr("near.__g = held.__g and contains(near.__t, held.__o)")
+    hit = near.join(held.alias("held").hint("merge"), same, "left_semi").select("__t").distinct()
+    return df.join(hit, F.col(text) == F.col("__t"), "left_anti")
 
 
 def _run_of(n: int):
-    return lambda i: F.substring(F.col("__t"), i, F.lit(n))
+    return lambda i: F.xxhash64(F.substring(F.col("__t"), i, F.lit(n)))
 
 
 def in_groups(df: DataFrame, groups: DataFrame, group: str, how: str) -> DataFrame:

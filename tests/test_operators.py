@@ -242,6 +242,22 @@ def test_rows_that_hold_no_other_text(spark, rows):
         assert [r["id"] for r in joins.not_containing(df, "t", "id", small, "o").orderBy("id").collect()] == want
 
 
+def test_runs_of_texts_are_not_broadcast(spark, tmp_path):
+    # Spark takes the runs to be as large as the file, however many times that they are
+    texts = [f"{i * 7919 % 100_003:06d}今天我去圖書館看書{i:05d}" for i in range(5000)]
+    spark.createDataFrame(list(enumerate(texts)), "id int, t string").coalesce(1).write.parquet(str(tmp_path / "t"))
+    spark.createDataFrame([(t[3:],) for t in texts[::5]], "o string").coalesce(1).write.parquet(str(tmp_path / "o"))
+    got = joins.not_containing(spark.read.parquet(str(tmp_path / "t")), "t", "id", spark.read.parquet(str(tmp_path / "o")), "o")
+    assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
+    assert got.columns == ["id", "t"] and [r["id"] for r in got.orderBy("id").collect()] == [i for i in range(5000) if i % 5]
+
+
+def test_texts_decide_what_holds_another_whatever_their_keys(spark, rows):
+    df = spark.createDataFrame([("a", "我去圖書館"), ("a", "我去車站"), (None, "我去圖書館"), (None, "我去車站"), (None, None), ("a", "我去車站")], "id string, t string")
+    others = spark.createDataFrame([("圖書館",), ("圖書館",), ("圖書館很大",)], "o string")
+    assert rows(joins.not_containing(df, "t", "id", others, "o")) == sorted([("a", "我去車站"), ("a", "我去車站"), (None, "我去車站"), (None, None)], key=repr)
+
+
 def test_a_null_group_is_held_out_whole(spark):
     pool = spark.createDataFrame([("a", 1), (None, 2), (None, 3)], "group string, n int")
     held = spark.createDataFrame([(None,)], "group string")
